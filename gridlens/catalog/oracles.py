@@ -654,3 +654,52 @@ O["forecast_interval"] = f"""{forecasts('n')} SELECT device_id, step, {r('fc', 3
 O["extend_forecast"] = f"""{forecasts('buffered')}, l AS (SELECT device_id, fc, slope FROM i WHERE step = 15)
 SELECT device_id, step, {r('fc', 3)} AS forecast FROM i
 UNION ALL SELECT device_id, CAST(range + 15 AS INT), {r('fc + slope * range', 3)} FROM l CROSS JOIN range(1, 10)"""
+
+SHOWN = ["voltage_mean", "voltage_std", "current_skew", "power_trend_slope", "is_power_safe"]
+O["standardize"] = f"""WITH w AS (SELECT device_id, seq, {', '.join(f'{FEATURES[n]} AS {n}' for n in SHOWN)} FROM ({windows(READINGS)})),
+m AS (SELECT {', '.join(f'avg({n}) AS m_{n}, coalesce(nullif(stddev_pop({n}), 0), 1) AS s_{n}' for n in SHOWN)} FROM w)
+SELECT device_id, seq, {', '.join(f"{r(f'({n} - m_{n}) / s_{n}', 3)} AS {n}" for n in SHOWN)} FROM w CROSS JOIN m"""
+O["append_and_read_log"] = f"""SELECT date_trunc('second', ts) AS timestamp, {r('voltage', 2)} AS voltage, {r('current', 3)} AS current, {r('power', 2)} AS power
+FROM ({READINGS})"""
+O["write_and_read_dataset"] = f"""SELECT date_trunc('millisecond', ts) AS timestamp, voltage, current, power, fault_label, {name_of('fault_label')} AS fault_name
+FROM ({labelled(READINGS)})"""
+
+# Streams
+
+O["stream_readings"] = f"""SELECT seq, {r('voltage')} AS voltage, {r('current')} AS current, {r('voltage * current * 0.92e0')} AS power
+FROM ({READINGS}) WHERE seq % 17 <> 0"""
+O["stream_running_stats"] = f"""SELECT s.device_id, samples, {r('kwh')} AS energy_kwh, {', '.join(f'{s}_min, {s}_avg, {s}_max' for s in SIGNALS)},
+  {', '.join(f'peak_{s}, peak_{s}_time' for s in SIGNALS)}
+FROM ({ORACLES['signal_stats']}) s JOIN (SELECT device_id, kwh FROM ({totals(READINGS)})) USING (device_id) JOIN ({ORACLES['peaks']}) USING (device_id)"""
+O["stream_features"] = O["feature_vector"]
+O["stream_ewma"] = O["ewma_snap"]
+# Windows and sessions that end after the newest event are still open.
+O["stream_adc"] = f"""SELECT * FROM ({O['adc_to_rms']}) WHERE window_start_ms + 1000 <= (SELECT max(sample_ms) FROM ({ADC}))"""
+O["stream_alerts"] = f"WITH b AS ({PREDICTED}) {LIMIT_ALERTS} UNION ALL {MODEL_ALERTS}"
+O["stream_sessions"] = f"""WITH t AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY device_id ORDER BY ts, seq) AS wait FROM ({READINGS})),
+s AS (SELECT *, sum(CASE WHEN wait IS NULL OR wait > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM t),
+g AS (SELECT device_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS sample_count, {r('max(power)')} AS peak_power_w FROM s GROUP BY device_id, k)
+SELECT * FROM g WHERE end_time + INTERVAL 360 MINUTE <= (SELECT max(ts) FROM events)"""
+O["stream_drop_repeated"] = O["drop_repeated"]
+O["stream_live_table"] = f"""WITH m AS (SELECT * FROM ({metered(PREDICTED)}))
+SELECT device_id, seq, ts AS timestamp, {r('voltage', 2)} AS voltage, {r('current', 3)} AS current, {r('power', 2)} AS power,
+  {r('energy_kwh', 6)} AS energy_kwh, {name_of('fault_id')} AS fault_name, {ANOMALOUS} AS is_anomaly FROM ({newest('SELECT * FROM m', 1)})"""
+O["stream_history_table"] = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq) AS pos FROM ({READINGS}))
+SELECT device_id, seq, ts AS timestamp, voltage, current, power FROM t WHERE pos % 5 = 0"""
+O["stream_session_table"] = f"""SELECT device_id, min(ts) AS start_time, max(ts) AS end_time, samples AS sample_count, {r('any_value(kwh)')} AS energy_kwh,
+  any_value(peak_power) AS peak_power_w, any_value(peak_power_time) AS peak_power_time
+FROM ({READINGS}) JOIN (SELECT device_id, kwh, samples FROM ({totals(READINGS)})) USING (device_id) JOIN ({ORACLES['peaks']}) USING (device_id) GROUP BY device_id, samples"""
+
+
+def tenth(base: str) -> str:
+    """Rows up to the newest multiple of ten of each device."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq) AS pos, count(*) OVER (PARTITION BY device_id) AS c
+FROM ({base})) WHERE pos <= c // 10 * 10"""
+
+
+O["stream_health_table"] = f"""WITH b AS ({tenth(PREDICTED)}), c AS (SELECT device_id, n, {', '.join(f'{x} AS {c}' for c, x in COMPONENTS.items())}
+  FROM ({summary('SELECT * FROM b', scored=True)})), t AS (SELECT device_id, n AS pos, {TOTAL} AS total FROM c)
+SELECT device_id, pos, {r('total', 1)} AS overall_score, {health_label('total')} AS label FROM t"""
+O["stream_recommendations"] = f"""WITH b AS ({tenth(READINGS)}), f AS (SELECT * FROM ({summary('SELECT * FROM b')}) JOIN ({totals('SELECT * FROM b')}) USING (device_id)),
+{ADVICE} SELECT device_id, samples AS pos, CAST(row_number() OVER (PARTITION BY device_id ORDER BY rank, rule) AS INT) AS position,
+  CASE rank WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, title FROM a JOIN f USING (device_id)"""

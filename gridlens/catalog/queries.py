@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from gridlens.config import SIGNALS
 from gridlens.functions import scalar as S
 from gridlens.functions.numeric import half_up
-from gridlens.operators import anomaly, energy, faults, features, forecast, insights, records, serving
-from gridlens.plans import reports
-from gridlens.sources import adc, parse, tables
-from gridlens.session import tune
+from gridlens.operators import anomaly, energy, faults, features, forecast, insights, learn, records, serving
+from gridlens.operators import forest as learned_forest
+from gridlens.plans import reports, scoring
+from gridlens.session import materialize, scratch_path, tune
+from gridlens.sources import adc, files, parse, tables
+from gridlens.streaming import jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,15 +120,20 @@ def adc_to_rms(spark, folder):
     return rounded(adc.adc_to_rms(tables.adc_samples(spark, folder), window_ms=1000))
 
 
-@query
-def ewma_snap(spark, folder):
-    noisy = readings(spark, folder).withColumns(
+def _noisy(df):
+    """Readings with many zeros, which smoothing may snap to."""
+    changed = df.withColumns(
         {
             "current": F.when(F.col("seq") % 3 > 0, F.lit(0.0)).otherwise(F.col("current") / 10),
             "voltage": F.when(F.col("seq") % 5 > 0, F.lit(0.0)).otherwise(F.col("voltage") / 10),
         }
     )
-    out = adc.ewma_snap(noisy.select("device_id", "seq", "ts", "voltage", "current"))
+    return changed.select("device_id", "seq", "ts", "voltage", "current")
+
+
+@query
+def ewma_snap(spark, folder):
+    out = adc.ewma_snap(_noisy(readings(spark, folder)))
     return rounded(out.select(*READING, "smooth_voltage", "smooth_current"))
 
 
@@ -654,3 +661,223 @@ def extend_forecast(spark, folder):
     r = coarse(spark, folder)
     fits, seasons = forecast.fit_trend(r)
     return rounded(forecast.extend_forecast(forecast.forecast(r, fits, seasons), fits, 24), 3)
+
+
+@query
+def standardize(spark, folder):
+    names = list(features.FEATURE_NAMES)
+    windows = materialize(features.sliding_features(readings(spark, folder)), "windows")
+    scaled = learn.Scaler.fit(windows, names).transform(windows)
+    shown = ["voltage_mean", "voltage_std", "current_skew", "power_trend_slope", "is_power_safe"]
+    return rounded(scaled.select(*READING, *shown), 3)
+
+
+def _training_windows(spark, folder):
+    """Scaled windows with labels, split into train and test parts."""
+    windows = materialize(features.sliding_features(tables.labelled(readings(spark, folder))), "windows")
+    scaled = learn.Scaler.fit(windows, features.FEATURE_NAMES).transform(windows)
+    return faults.stratified_split(scaled)
+
+
+def _test_metrics(test, predicted_id):
+    found = faults.confusion(test.withColumn("fault_id", predicted_id.cast("int")))
+    return rounded(faults.classification_metrics(found))
+
+
+@query
+def isolation_forest(spark, folder):
+    windows = _training_windows(spark, folder)
+    forest = learned_forest.fit_isolation_forest(windows, features.FEATURE_NAMES)
+    return rounded(forest.decide(windows).select(*READING, "decision", (F.col("decision") < 0).alias("is_anomaly")))
+
+
+@query
+def detector_train_metrics(spark, folder):
+    windows = _training_windows(spark, folder)
+    forest = learned_forest.fit_isolation_forest(windows, features.FEATURE_NAMES)
+    return rounded(learned_forest.detector_metrics(forest.decide(windows)))
+
+
+@query
+def random_forest(spark, folder):
+    windows = _training_windows(spark, folder)
+    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=20, depth=8)
+    test = learn.forest_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), model)
+    return _test_metrics(test, S.predicted_class("rf"))
+
+
+@query
+def gradient_boosting(spark, folder):
+    windows = _training_windows(spark, folder)
+    models = learn.fit_boosted(windows.filter("NOT is_test"), features.FEATURE_NAMES, rounds=3, depth=3)
+    test = learn.boosted_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), models)
+    return _test_metrics(test, S.predicted_class("gb"))
+
+
+@query
+def cross_validate(spark, folder):
+    windows = _training_windows(spark, folder)
+    return learn.cross_validate(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=10, depth=6)
+
+
+@query
+def feature_importance(spark, folder):
+    windows = _training_windows(spark, folder)
+    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=20, depth=8)
+    return learn.feature_importance(spark, model, features.FEATURE_NAMES)
+
+
+@query
+def learned_forecaster(spark, folder):
+    samples = learn.scaled_samples(coarse(spark, folder))
+    model = learn.fit_forecaster(samples)
+    return learn.forecaster_metrics(model.predict(samples))
+
+
+@query
+def score_readings(spark, folder):
+    rows = tables.labelled(readings(spark, folder))
+    models = scoring.train(rows, trees=20, depth=5, rounds=2)
+    scored = scoring.score_readings(rows, models)
+    return scored.select(*READING, "score", "is_anomaly", "is_outlier", "fault_id", "fault_name", "confidence")
+
+
+@query
+def fit_or_load(spark, folder):
+    """Scores with models that were saved and loaded again."""
+    rows = tables.labelled(readings(spark, folder))
+    path = scratch_path(spark, "models")
+    scoring.fit_or_load(spark, path, rows, trees=10, depth=4, rounds=1)
+    models = scoring.fit_or_load(spark, path, rows)
+    return scoring.score_readings(rows, models).select(*READING, "score", "is_outlier", "fault_id")
+
+
+@query
+def append_and_read_log(spark, folder):
+    path = scratch_path(spark, "log")
+    files.append_log(readings(spark, folder).filter("seq % 2 = 0"), path)
+    files.append_log(readings(spark, folder).filter("seq % 2 = 1"), path)
+    return files.read_log(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def write_and_read_dataset(spark, folder):
+    path = scratch_path(spark, "dataset")
+    rows = tables.labelled(readings(spark, folder)).withColumn("fault_name", S.fault_name("fault_label"))
+    files.write_dataset(rows, path)
+    return files.read_dataset(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+# Streams, run over all input there is
+
+
+def _stream(spark, folder, name):
+    # As a pattern, the path may be a single file.
+    return jobs.read_stream(spark, f"{folder}/{name}.parque[t]", tables.table(spark, folder, name).schema)
+
+
+def _reading_stream(spark, folder):
+    return tables.as_readings(_stream(spark, folder, "events"))
+
+
+@query
+def stream_readings(spark, folder):
+    raw = _reading_stream(spark, folder)
+    lines = raw.select(
+        "seq",
+        F.when(F.col("seq") % 17 == 0, "noise")
+        .otherwise(F.concat(F.col("voltage").cast("string"), F.lit(","), F.col("current").cast("string")))
+        .alias("value"),
+    )
+    return rounded(jobs.run_to_table(jobs.reading_stream(lines)))
+
+
+@query
+def stream_running_stats(spark, folder):
+    found = jobs.run_to_table(state.running_stats(_reading_stream(spark, folder)))
+    final = records.latest_reading(found, order=("pos",))
+    times = {f"peak_{s}_time": F.timestamp_micros(f"peak_{s}_us").cast("timestamp_ntz") for s in SIGNALS}
+    spread = [f"{s}_{n}" for s in SIGNALS for n in ("min", "avg", "max")]
+    shown = final.withColumns(times).withColumnRenamed("pos", "samples")
+    return rounded(shown.select("device_id", "samples", "energy_kwh", *spread, *[f"peak_{s}" for s in SIGNALS], *times))
+
+
+@query
+def stream_features(spark, folder):
+    names = list(features.FEATURE_NAMES)
+    found = jobs.run_to_table(state.window_features(_reading_stream(spark, folder)))
+    return rounded(found.select(*READING, *names))
+
+
+@query
+def stream_scores(spark, folder):
+    """Windows of a stream scored with models trained on the table."""
+    models = scoring.train(tables.labelled(readings(spark, folder)), trees=10, depth=4, rounds=1)
+    scored = scoring.score_windows(state.window_features(_reading_stream(spark, folder)), models)
+    return rounded(jobs.run_to_table(scored.select(*READING, "decision", "fault_id", "confidence")))
+
+
+@query
+def stream_ewma(spark, folder):
+    found = jobs.run_to_table(state.ewma(_noisy(_reading_stream(spark, folder))))
+    return rounded(found.select(*READING, "smooth_voltage", "smooth_current"))
+
+
+@query
+def stream_adc(spark, folder):
+    samples = tables.as_adc_samples(_stream(spark, folder, "lineitem"))
+    return rounded(jobs.run_to_table(jobs.adc_stream(samples, window_ms=1000)))
+
+
+@query
+def stream_alerts(spark, folder):
+    return jobs.run_to_table(jobs.alert_stream(tables.predictions(_reading_stream(spark, folder))))
+
+
+@query
+def stream_sessions(spark, folder):
+    return rounded(jobs.run_to_table(jobs.session_stream(_reading_stream(spark, folder), "360 minutes")))
+
+
+@query
+def stream_drop_repeated(spark, folder):
+    hourly = _reading_stream(spark, folder).withColumns(
+        {"ts": F.date_trunc("hour", "ts").cast("timestamp_ntz"), "device_id": F.col("device_id") % 10}
+    )
+    return jobs.run_to_table(state.drop_repeated(hourly)).select(*READING, "ts")
+
+
+def _stream_tables(spark, folder):
+    """The maintained tables after a stream of scored readings."""
+    scored = tables.predictions(state.running_stats(_reading_stream(spark, folder)))
+    scored = scored.withColumn("is_anomaly", S.is_anomaly("anomaly_score"))
+    kept = jobs.Tables(spark, scratch_path(spark, "tables"), perf_log=tables.inference_log(spark, folder))
+    kept.start(scored, scratch_path(spark, "tables-checkpoint")).awaitTermination()
+    return kept
+
+
+@query
+def stream_live_table(spark, folder):
+    live = _stream_tables(spark, folder).read("live")
+    return live.select(*READING, "timestamp", *SIGNALS, "energy_kwh", "fault.fault_name", "anomaly.is_anomaly")
+
+
+@query
+def stream_history_table(spark, folder):
+    return _stream_tables(spark, folder).read("readings").select(*READING, "timestamp", *SIGNALS)
+
+
+@query
+def stream_session_table(spark, folder):
+    return rounded(_stream_tables(spark, folder).read("session"))
+
+
+@query
+def stream_health_table(spark, folder):
+    return rounded(_stream_tables(spark, folder).read("health").select("device_id", "pos", "overall_score", "label"))
+
+
+@query
+def stream_recommendations(spark, folder):
+    found = _stream_tables(spark, folder).read("recommendations")
+    return found.select("device_id", "pos", "position", "priority", "title")

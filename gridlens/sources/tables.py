@@ -90,7 +90,11 @@ def sensor_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def adc_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    return as_adc_samples(table(spark, folder, "lineitem"))
+
+
+def as_adc_samples(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
         (F.col("l_suppkey") % 10).alias("device_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_ms"),
         (1200 + (F.col("l_partkey") * 37 + F.col("l_linenumber") * 101) % 1709).cast("int").alias("raw_v"),

@@ -74,7 +74,7 @@ def main() -> None:
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in sys.argv[2:] or queries:
-        start = time.time()
+        start, found = time.time(), ()
         try:
             found = queries[name](spark, folder).toPandas()
             took = time.time() - start
@@ -85,9 +85,9 @@ def main() -> None:
                 if not len(found):
                     note += " EMPTY"
         except Exception as e:
-            took, note = time.time() - start, f"{type(e).__name__}: {str(e)[:600]}"
+            took, note = time.time() - start, f"{type(e).__name__}: {str(e)[:300]}"
         bad += note not in ("ok", "rows only")
-        print(f"{name:28s} {took:6.2f}s {len(found) if 'found' in dir() else 0:8d} {note}", flush=True)
+        print(f"{name:28s} {took:6.2f}s {len(found):8d} {note}", flush=True)
     print("failures:", bad)
 
 
