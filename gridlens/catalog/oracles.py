@@ -293,7 +293,7 @@ def zscores(base: str) -> str:
 
 
 ZSCORE = (
-    "coalesce((" + " + ".join(f"coalesce(least(z_{s} / 4, 1), 0)" for s in SIGNALS) + ") / nullif("
+    "coalesce((" + " + ".join(f"CASE WHEN z_{s} IS NULL THEN 0 ELSE least(z_{s} / 4, 1) END" for s in SIGNALS) + ") / nullif("
     + " + ".join(f"CASE WHEN z_{s} IS NULL THEN 0 ELSE 1 END" for s in SIGNALS) + ", 0), 0)"
 )
 O["zscore_score"] = f"SELECT device_id, seq, {r(ZSCORE)} AS zscore FROM ({zscores(COARSE)})"

@@ -17,6 +17,8 @@ def half_up(x, digits: int = 4) -> Column:
     form is. Rounding half to even differs on exact ties only.
     """
     scale = 10**digits
+    if isinstance(x, str):  # the same in one call, for tables with many columns
+        return F.expr(f"CAST(floor(`{x}` * {scale} + 0.500001D) AS DOUBLE) / {scale}")
     return F.floor(col(x) * F.lit(scale) + F.lit(0.500001)).cast("double") / F.lit(scale)
 
 
@@ -27,7 +29,8 @@ def sdiv(a, b, default: float | None = 0.0) -> Column:
 
 
 def clamp(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(x)))
+    """``x`` within bounds; nulls stay, which ``least`` and ``greatest`` alone would skip."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(x))))
 
 
 def sanitize(x, fallback: float, lo: float, hi: float) -> Column:

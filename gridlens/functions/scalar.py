@@ -75,7 +75,7 @@ def gauge_ratio(x, top: float) -> Column:
     """Share of a gauge that is filled."""
     if top <= 0:
         return F.lit(0.0)
-    return F.least(col(x) / F.lit(float(top)), F.lit(1.0))
+    return F.when(col(x).isNotNull(), F.least(col(x) / F.lit(float(top)), F.lit(1.0)))
 
 
 def threshold_score(v="voltage", i="current", p="power", s: Settings = DEFAULTS) -> Column:

@@ -30,14 +30,23 @@ def _deviations() -> dict[str, Column]:
 
 def zscore_score() -> Column:
     """Mean over the signals of their distance from the mean, four deviations counting as 1."""
-    parts = [F.least(z / 4.0, F.lit(1.0)) for z in _deviations().values()]
+    parts = [F.when(z.isNotNull(), F.least(z / 4.0, F.lit(1.0))) for z in _deviations().values()]
     found = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
     summed = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     return F.when(found > 0, summed / found).otherwise(F.lit(0.0))
 
 
+def _with_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Readings with the figures of ``train_stats``, null for a device without any."""
+    if keys:
+        return df.join(stats, list(keys), "left")
+    whole = stats.first()  # one row for the whole table
+    return df.withColumns({c: F.lit(whole[c]).cast("double") for c in stats.columns})
+
+
 def with_zscore(df: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    scored = df.join(stats, list(keys)).withColumn("zscore", zscore_score())
+    """Add ``zscore``; without ``keys``, ``stats`` has one row for all devices."""
+    scored = _with_stats(df, stats, keys).withColumn("zscore", zscore_score())
     return scored.drop(*[c for c in stats.columns if c not in keys])
 
 
@@ -51,8 +60,8 @@ def zscore_alerts(df: DataFrame, stats: DataFrame, keys: Sequence[str] = KEYS) -
             F.when(level.isNotNull(), F.struct(F.lit(s).alias("signal"), level.alias("level"), text.alias("message")))
         )
     raised = F.filter(F.array(*found), lambda a: a.isNotNull())
-    kept = [c for c in df.columns]
-    return df.join(stats, list(keys)).select(*kept, F.inline(raised))
+    kept = df.columns
+    return _with_stats(df, stats, keys).select(*kept, F.inline(raised))
 
 
 def detect(
@@ -62,17 +71,19 @@ def detect(
     settings: Settings = DEFAULTS,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
+    stat_keys: Sequence[str] = KEYS,
     **split,
 ) -> DataFrame:
     """Ensemble anomaly score of each reading, with the score of each method.
 
     ``forest`` is the isolation-forest score where one is known, else that method counts 0.
+    ``stat_keys`` are the keys ``stats`` was made with, none for one row over all devices.
     """
     series = ordered(df, keys, order, behind=settings.window - 1, **split)
     scored = series.own(
         series.df.withColumn("moving_avg", moving_average_score(series, settings=settings))
     ).drop("pos")
-    scored = with_zscore(scored, stats, keys).withColumns(
+    scored = with_zscore(scored, stats, stat_keys).withColumns(
         {
             "threshold": threshold_score(s=settings),
             "isolation_forest": F.lit(0.0) if forest is None else forest,

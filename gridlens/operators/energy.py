@@ -68,6 +68,11 @@ def energy_steps(
     return series.own(series.df.withColumn("kwh", energy_step(series)))
 
 
+def power_columns(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """What energy figures need, so that nothing else is shuffled or written."""
+    return df.select(*keys, *order, "power")
+
+
 def running_energy(
     df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
 ) -> DataFrame:
@@ -80,7 +85,7 @@ def running_energy(
 def energy_totals(df: DataFrame, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Energy and time span of each device."""
     hours = (F.max(micros("ts")) - F.min(micros("ts"))) / F.lit(1e6) / 3600
-    return energy_steps(df, keys, **split).groupBy(*keys).agg(
+    return energy_steps(power_columns(df, keys), keys, **split).groupBy(*keys).agg(
         F.sum("kwh").alias("energy_kwh"), hours.alias("hours"), F.count(F.lit(1)).alias("samples")
     )
 
@@ -89,7 +94,7 @@ def energy_report(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[s
     """Energy, cost, power peak and present load status of each device."""
     peak, at = first_peak("power")
     now = F.max_by("power", F.struct(*ORDER))
-    steps = energy_steps(df, keys, **split)
+    steps = energy_steps(power_columns(df, keys), keys, **split)
     out = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.sum("kwh").alias("energy_kwh"),
@@ -140,7 +145,7 @@ def power_distribution(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def energy_trend(df: DataFrame, days: int = 7, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Meter level at the end of each of the last ``days`` days with consumption."""
-    used = running_energy(df, keys, **split).filter("energy_kwh <> 0")
+    used = running_energy(power_columns(df, keys), keys, **split).filter("energy_kwh <> 0")
     daily = used.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.max("energy_kwh").alias("energy_kwh"))
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))
     return (
@@ -157,7 +162,7 @@ def daily_energy(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def energy_audit(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Energy and cost of the newest day, its week and month, and in total: a row per period."""
-    daily = daily_energy(energy_steps(df, keys, **split), keys)
+    daily = daily_energy(energy_steps(power_columns(df, keys), keys, **split), keys)
     daily = daily.withColumn("_last", F.max("day").over(Window.partitionBy(*keys)))
     sums = []
     for name, unit in (("today", "day"), ("week", "week"), ("month", "month"), ("total", None)):
@@ -178,7 +183,7 @@ def session_summary(
     Sessions are numbered by a running count of gaps rather than a session window, because the
     latter sorts all rows of a device in one task.
     """
-    series = ordered(df, keys, order, behind=1, **split)
+    series = ordered(power_columns(df, keys, order), keys, order, behind=1, **split)
     wait = micros("ts") - F.lag(micros("ts")).over(series.window())
     stepped = series.df.withColumn("_wait", wait)
     opens = F.when(F.col("_wait").isNull() | (F.col("_wait") > int(gap_minutes * 60_000_000)), 1).otherwise(0)

@@ -64,6 +64,9 @@ def label_distribution(df: DataFrame, label: str = "fault_label") -> DataFrame:
     )
 
 
+MOST_LABELS = 10_000
+
+
 def hash_rank(key: str) -> Column:
     """A reproducible shuffle key: 32 bits of an MD5 digest, as a number."""
     return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
@@ -86,8 +89,12 @@ def stratified_split(df: DataFrame, share: float = 0.2, label: str = "fault_labe
         .filter("_upto >= _take AND _upto - _n < _take")
         .select(label, F.col("_range").alias("_cut"), (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest"))
     )
-    # A label has one cut, or none if its share rounds to no rows, so this side has a row per label.
-    placed = coded.join(F.broadcast(cuts), label, "left")
+    # A label has one cut, or none if its share rounds to no rows. As local rows, the few cuts join
+    # without a shuffle of the table; with more labels than that, Spark chooses the join.
+    few = cuts.take(MOST_LABELS + 1)
+    if len(few) <= MOST_LABELS:
+        cuts = df.sparkSession.createDataFrame(few, cuts.schema)
+    placed = coded.join(cuts, label, "left")
     at_cut = F.col("_range") == F.col("_cut")
     sure = placed.filter(~F.coalesce(at_cut, F.lit(False))).withColumn(
         "is_test", F.coalesce(F.col("_range") < F.col("_cut"), F.lit(False))

@@ -1,7 +1,7 @@
 """Row order inside a device, without sorting a busy device in one task.
 
 ``ordered`` numbers the rows of each device and hands out window specs for row frames. It first
-counts rows per device. While the largest device fits in one task, the device is the window
+counts rows per device, unless the whole input is small. While the largest device fits in one task, the device is the window
 partition. Beyond that, the rows are range-partitioned by (device, time), which splits any
 device evenly, their positions follow from per-partition counts, and every window partition is
 a chunk of fixed size that carries copies of the few neighbouring rows a frame looks at.
@@ -21,7 +21,10 @@ from gridlens.session import materialize
 
 GROUP_LIMIT = 4_000_000  # rows of one device that one task may sort
 CHUNK = 65_536  # rows of one chunk of a busier device
-TASK_ROWS = 1_000_000  # rows per shuffle partition at scale
+SMALL_BYTES = 32 << 20  # an input this small fits in one task, so that its groups need no count
+ROW_BYTES = 16  # of a reading in a file, to estimate rows from bytes
+TASK_ROWS = 4_000_000  # rows per shuffle partition at scale
+TASK_CEILING = 200_000  # shuffle partitions a driver can keep track of
 SLICES = 512  # slices of map tasks in a two-step top-n
 TASK_FLOOR = 8_192  # below this, a further task costs more than it saves
 
@@ -60,11 +63,21 @@ class Series:
 
 def task_count(df: DataFrame, rows: int) -> int:
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(ceil(rows / TASK_ROWS), min(default, ceil(rows / TASK_FLOOR)), 1)
+    return max(min(ceil(rows / TASK_ROWS), TASK_CEILING), min(default, ceil(rows / TASK_FLOOR)), 1)
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(all rows, rows of the largest group)."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Spark's estimate of the size of ``df`` from the files it reads."""
+    plan = getattr(df, "_jdf", None)
+    return None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str], exact: bool = False) -> tuple[int, int]:
+    """(all rows, rows of the largest group), or upper estimates where the whole input is small."""
+    size = None if exact else input_bytes(df)
+    if size is not None and size <= SMALL_BYTES:
+        rows = size // ROW_BYTES + 1
+        return rows, min(rows, GROUP_LIMIT)
     per_group = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     row = per_group.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
     return row["total"] or 0, row["largest"] or 0
@@ -81,15 +94,15 @@ def ordered(
 ) -> Series:
     """Number the rows of each group; frames may look ``behind`` and ``ahead`` that many rows."""
     keys, order = tuple(keys), tuple(order)
-    limit, chunk = limit or GROUP_LIMIT, chunk or CHUNK
-    total, largest = group_sizes(df, keys)
+    total, largest = group_sizes(df, keys, exact=limit is not None)
+    limit = limit or GROUP_LIMIT
     if largest <= limit:
         spread = df.repartition(task_count(df, total), *keys)
         numbered = spread.withColumn(
             "pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
         )
         return Series(numbered, keys, keys, order, total)
-    return _in_chunks(_positions(df, keys, order, total), keys, behind, ahead, chunk, total)
+    return _in_chunks(_positions(df, keys, order, total), keys, behind, ahead, chunk or CHUNK, total)
 
 
 def _positions(df: DataFrame, keys: tuple, order: tuple, total: int) -> DataFrame:
@@ -172,7 +185,7 @@ def latest(
     is large, the survivors of many map tasks are first cut to ``n`` per slice of tasks, so no
     reducer sees more than ``n`` rows from each of a bounded number of tasks or slices.
     """
-    _, largest = group_sizes(df, keys)
+    _, largest = group_sizes(df, keys, exact=limit is not None)
     newest = [F.col(c).desc() for c in order]
 
     def cut(rows: DataFrame, *part: str) -> DataFrame:

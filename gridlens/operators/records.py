@@ -13,8 +13,8 @@ from gridlens.functions.scalar import fault_name, load_status3, log_level, perce
 from gridlens.operators.ordered import latest, ordered
 
 
-def build_record(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Nested reading record with rounded values."""
+def build_record(df: DataFrame, keys: Sequence[str] = KEYS, extra: Sequence[str] = ()) -> DataFrame:
+    """Nested reading record with rounded values; ``extra`` columns are kept as they are."""
     return df.select(
         *keys,
         "seq",
@@ -33,6 +33,7 @@ def build_record(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             half_up("health_score", 1).alias("score"),
             F.coalesce("health_label", F.lit("Unknown")).alias("label"),
         ).alias("health"),
+        *extra,
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.numeric import half_up
 from gridlens.functions.scalar import cost, load_status3
-from gridlens.operators.energy import energy_steps, energy_totals, first_peak, peaks, running_energy
+from gridlens.operators.energy import energy_steps, energy_totals, first_peak, peaks, power_columns, running_energy
 from gridlens.operators.insights import advise, device_summary, efficiency_report
 
 KINDS = ("daily", "monthly", "full")
@@ -36,7 +36,7 @@ def monthly_report(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[
     """Energy, cost and power peak per day of each device's newest month."""
     peak, at = first_peak("power")
     day = F.to_date("ts").alias("day")
-    daily = energy_steps(df, keys, **split).groupBy(*keys, day).agg(
+    daily = energy_steps(power_columns(df, keys), keys, **split).groupBy(*keys, day).agg(
         F.sum("kwh").alias("_kwh"), peak.alias("peak_power_w"), at.alias("_at")
     )
     last = F.max("day").over(Window.partitionBy(*keys))

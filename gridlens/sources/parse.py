@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,37 +19,45 @@ def parse_lines(df: DataFrame, value: str = "value", settings: Settings = DEFAUL
 
     With ``strict``, lines with not-a-number or infinite values are dropped as well.
     """
-    parts = F.split(F.col(value), ",")
+    parts = F.split(F.col(value), ",", 3)
     v = F.try_element_at(parts, F.lit(1)).try_cast("double")
     i = F.try_element_at(parts, F.lit(2)).try_cast("double")
-    out = df.withColumns({"voltage": v, "current": i}).filter(
-        F.col("voltage").isNotNull() & F.col("current").isNotNull()
-    )
-    if strict:
-        for c in ("voltage", "current"):
-            out = out.filter(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+
+    def usable(r: Column) -> Column:
+        found = r["voltage"].isNotNull() & r["current"].isNotNull()
+        if not strict:
+            return found
+        return found & ~F.isnan(r["voltage"] + r["current"]) & (F.abs(r["voltage"] + r["current"]) != F.lit(float("inf")))
+
+    out = _kept(df, F.struct(v.alias("voltage"), i.alias("current")), usable)
     power = F.col("voltage") * F.col("current") * F.lit(settings.assumed_power_factor)
     return out.withColumn("power", power).drop(value)
 
 
+def _kept(df: DataFrame, parsed: Column, usable: Callable[[Column], Column]) -> DataFrame:
+    """Append the fields of ``parsed`` where it is usable and drop other rows.
+
+    As a generator, the parsed struct is evaluated once; a filter on it would be pushed below the
+    projection and parse each line again.
+    """
+    return df.select("*", F.inline(F.filter(F.array(parsed), usable)))
+
+
+def _complete(r: Column) -> Column:
+    return r["voltage"].isNotNull() & r["current"].isNotNull() & r["power"].isNotNull()
+
+
 def parse_tagged_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Lines such as ``Vrms: 230.1 V Current: 2.5 A Power: 529.2 W``; other lines are dropped."""
     pattern = r"Vrms:\s([\d.]+).*Current:\s([\d.]+).*Power:\s([\d.]+)"
-    found = {
-        name: F.regexp_extract(value, pattern, n).try_cast("double")
-        for n, name in enumerate(("voltage", "current", "power"), start=1)
-    }
-    return df.filter(F.col(value).rlike(pattern)).withColumns(found).drop(value)
+    names = ("voltage", "current", "power")
+    groups = [F.regexp_extract(value, pattern, n).try_cast("double").alias(c) for n, c in enumerate(names, start=1)]
+    return _kept(df, F.struct(*groups), _complete).drop(value)
 
 
 def parse_json_payload(df: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages with voltage, current and power; malformed messages are dropped."""
-    return (
-        df.withColumn("_m", F.from_json(value, PAYLOAD))
-        .filter("_m.voltage IS NOT NULL AND _m.current IS NOT NULL AND _m.power IS NOT NULL")
-        .select("*", "_m.*")
-        .drop(value, "_m")
-    )
+    return _kept(df, F.from_json(value, PAYLOAD), _complete).drop(value)
 
 
 def sanitize_fields(df: DataFrame, fallbacks: dict[str, float]) -> DataFrame:

@@ -82,6 +82,9 @@ def run_to_table(stream: DataFrame, path: str | None = None, name: str = "stream
     return spark.read.schema(stream.schema).parquet(path)
 
 
+HISTORY = ("device_id", "seq", "ts", "voltage", "current", "power", "energy_kwh", "anomaly_score", "pos")
+
+
 class Tables:
     """Tables kept up to date by a stream, as Parquet folders under ``root``.
 
@@ -127,13 +130,13 @@ class Tables:
                 return None
             raise
 
-    def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        """The present rows of a table, or those before a micro-batch."""
+    def read(self, name: str, upto_batch: int | None = None) -> DataFrame | None:
+        """The present rows of a table, or those as of a micro-batch."""
         base, batches = self._load(f"{self.root}/{name}_base"), self._load(f"{self.root}/{name}")
-        if base is not None and before is not None:
-            base = base.filter(F.col("upto") < before)
-        if batches is not None and before is not None:
-            batches = batches.filter(F.col("batch_id") < before)
+        if upto_batch is not None:
+            # A base of the same micro-batch may be left from an earlier try and is about to be replaced.
+            base = None if base is None else base.filter(F.col("upto") < upto_batch)
+            batches = None if batches is None else batches.filter(F.col("batch_id") <= upto_batch)
         upto = None if base is None else base.agg(F.max("upto")).first()[0]
         if upto is None:
             found = batches
@@ -148,27 +151,39 @@ class Tables:
 
     def compact(self, batch_id: int) -> None:
         for name in self.reducers:
-            rows = self.read(name, before=batch_id + 1)
+            rows = self.read(name, batch_id)
             if rows is not None:
                 rows.write.mode("overwrite").parquet(f"{self.root}/{name}_base/upto={batch_id}")
 
+    def expire(self, name: str, upto: int) -> None:
+        """Delete the batches of a table that its base of micro-batch ``upto`` holds, and older bases."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsc.hadoopConfiguration()
+        for folder, key in ((f"{self.root}/{name}", "batch_id"), (f"{self.root}/{name}_base", "upto")):
+            fs = fs_path(folder).getFileSystem(conf)
+            for status in fs.listStatus(fs_path(folder)) if fs.exists(fs_path(folder)) else []:
+                label, _, number = status.getPath().getName().partition("=")
+                old = number.isdigit() and (int(number) <= upto if key == "batch_id" else int(number) < upto)
+                if label == key and old:
+                    fs.delete(status.getPath(), True)
+
     def store(self, batch: DataFrame, batch_id: int) -> None:
         """Write one micro-batch of scored readings from ``running_stats``; runs once per micro-batch."""
         batch = batch.persist()
         labelled = batch.withColumns({"health_score": F.lit(100.0), "health_label": F.lit(None).cast("string")})
-        known = self.read("health", before=batch_id)
+        known = self.read("health", batch_id - 1)
         if known is not None:
             health = known.select("device_id", F.col("overall_score").alias("_s"), F.col("label").alias("_l"))
             labelled = labelled.join(health, "device_id", "left").withColumns(
                 {"health_score": F.coalesce("_s", "health_score"), "health_label": F.coalesce("_l", "health_label")}
             ).drop("_s", "_l")
-        records = build_record(labelled.withColumn("health_label", F.coalesce("health_label", health_label("health_score"))))
-        with_pos = records.join(batch.select("device_id", "seq", "pos"), ["device_id", "seq"])
-        self._write("live", batch_id, latest_reading(records, KEYS, ("timestamp", "seq")))
-        self._write("readings", batch_id, with_pos.filter(F.col("pos") % self.history_every == 0).drop("pos"))
+        label = F.coalesce("health_label", health_label("health_score"))
+        records = build_record(labelled.withColumn("health_label", label), extra=("pos",))
+        self._write("live", batch_id, latest_reading(records, KEYS, ("timestamp", "seq")).drop("pos"))
+        self._write("readings", batch_id, records.filter(F.col("pos") % self.history_every == 0).drop("pos"))
         self._write("alerts", batch_id, alert_record(batch))
         self._write("session", batch_id, _sessions(batch))
-        self._write("history", batch_id, batch.select("device_id", "seq", "ts", "voltage", "current", "power", "energy_kwh", "anomaly_score", "pos"))
+        self._write("history", batch_id, batch.select(*HISTORY))
         due = batch.filter(F.col("pos") % self.health_every == 0).groupBy("device_id").agg(F.max("pos").alias("pos"))
         self._health(batch_id, due)
         if self.perf_log is not None:
@@ -181,7 +196,7 @@ class Tables:
 
     def _health(self, batch_id: int, due: DataFrame) -> None:
         """Health and recommendations as of each due device's newest multiple of ``health_every``."""
-        history = self.read("history", before=batch_id + 1)
+        history = self.read("history", batch_id)
         rows = history.join(due.withColumnRenamed("pos", "_due"), "device_id").filter(F.col("pos") <= F.col("_due"))
         facts = device_summary(rows.drop("_due"))
         self._write("health", batch_id, health_score(facts, self.settings).join(due, "device_id"))
