@@ -633,7 +633,7 @@ def fits(base: str) -> str:
     return f"""x AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq) - 1 AS idx FROM ({base})),
 f AS (SELECT device_id, count(*) AS n, coalesce(regr_slope(power, idx), 0) AS slope, coalesce(regr_intercept(power, idx), avg(power)) AS intercept,
   CASE WHEN count(*) > 100 THEN least(60, count(*) // 3) ELSE 0 END AS period FROM x GROUP BY 1),
-s AS (SELECT device_id, idx % period AS phase, avg(power) AS season FROM x JOIN f USING (device_id) WHERE period > 0 AND idx < n // period * period GROUP BY 1, 2)"""
+s AS (SELECT device_id, idx % nullif(period, 0) AS phase, avg(power) AS season FROM x JOIN f USING (device_id) WHERE period > 0 AND idx < n // nullif(period, 0) * period GROUP BY 1, 2)"""
 
 
 O["fit_trend"] = f"WITH {fits(COARSE)} SELECT device_id, n, {r('slope', 6)} AS slope, {r('intercept', 6)} AS intercept, period FROM f"
@@ -644,7 +644,7 @@ def forecasts(origin: str) -> str:
     return f"""WITH {fits(COARSE)}, b AS (SELECT device_id, count(*) AS buffered, stddev_pop(power) FILTER (WHERE age <= 50) AS sd FROM ({newest(COARSE, 120)}) GROUP BY 1),
 k AS (SELECT device_id, buffered, sd, slope, intercept, period, CAST(range AS INT) AS step, {origin} + range - 1 AS idx_at FROM b JOIN f USING (device_id) CROSS JOIN range(1, 16)),
 p AS (SELECT k.*, CASE WHEN buffered < 3 THEN 0 ELSE greatest(0, CASE WHEN season IS NULL THEN slope * idx_at + intercept ELSE (slope * idx_at + intercept) * 0.6e0 + season * 0.4e0 END) END AS fc
-  FROM k LEFT JOIN s ON s.device_id = k.device_id AND s.phase = k.idx_at % k.period),
+  FROM k LEFT JOIN s ON s.device_id = k.device_id AND s.phase = k.idx_at % nullif(k.period, 0)),
 i AS (SELECT *, sd * sqrt(step / 15) * 1.96e0 AS margin FROM p)"""
 
 

@@ -547,7 +547,7 @@ def stability_features(spark, folder):
 
 @query
 def moving_avg_score(spark, folder):
-    return rounded(anomaly.moving_average_scores(readings(spark, folder)).select(*READING, "moving_avg"))
+    return rounded(features.moving_average_scores(readings(spark, folder)).select(*READING, "moving_avg"))
 
 
 @query

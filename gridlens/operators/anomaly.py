@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gridlens.config import DEFAULTS, KEYS, ORDER, SIGNALS, Settings
 from gridlens.functions.numeric import fixed
 from gridlens.functions.scalar import ensemble_score, is_anomaly, threshold_score
-from gridlens.operators.features import moving_average_score
-from gridlens.operators.ordered import latest, ordered
+from gridlens.operators.features import moving_average_scores
+from gridlens.operators.ordered import latest
 
 
 def train_stats(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -79,10 +79,7 @@ def detect(
     ``forest`` is the isolation-forest score where one is known, else that method counts 0.
     ``stat_keys`` are the keys ``stats`` was made with, none for one row over all devices.
     """
-    series = ordered(df, keys, order, behind=settings.window - 1, **split)
-    scored = series.own(
-        series.df.withColumn("moving_avg", moving_average_score(series, settings=settings))
-    ).drop("pos")
+    scored = moving_average_scores(df, settings, keys, order, **split).drop("pos")
     scored = with_zscore(scored, stats, stat_keys).withColumns(
         {
             "threshold": threshold_score(s=settings),
@@ -94,13 +91,6 @@ def detect(
     ).withColumn("is_anomaly", is_anomaly("score", settings))
 
 
-def moving_average_scores(
-    df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
-) -> DataFrame:
-    series = ordered(df, keys, order, behind=settings.window - 1, **split)
-    return series.own(series.df.withColumn("moving_avg", moving_average_score(series, settings=settings)))
-
-
 def anomaly_rate(df: DataFrame, last_n: int = 100, flag: str = "is_anomaly", keys: Sequence[str] = KEYS) -> DataFrame:
     """Share of anomalies among the newest readings of each device."""
     share = F.avg(F.when(F.col(flag), 1.0).otherwise(0.0))

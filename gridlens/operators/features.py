@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +109,7 @@ def _pair_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def window_matrix(
     v: np.ndarray, i: np.ndarray, p: np.ndarray, names: Sequence[str], settings: Settings
 ) -> dict[str, np.ndarray]:
-    """The features ``names`` of windows ``v, i, p`` (one window per row)."""
+    """The features ``names``, and ``moving_avg`` on request, of windows ``v, i, p`` (one per row)."""
     wanted = set(names)
     f: dict[str, np.ndarray] = {}
     for name, x in zip(SIGNALS, (v, i, p)):
@@ -134,6 +134,9 @@ def window_matrix(
     for name in SIGNALS:
         spread = _ratio(f[f"{name}_std"], f[f"{name}_mean"])
         f[f"{name}_stability_idx"] = 1.0 - np.minimum(spread, 1.0)
+    if "moving_avg" in wanted:
+        apart = [_distance(x[:, -1], x[:, :-1].mean(axis=1)) for x in (v, i, p)]
+        f["moving_avg"] = sum(apart) / len(apart)
     for name, x in (("voltage", v), ("current", i)):
         if f"{name}_crest_factor" in wanted:
             f[f"{name}_crest_factor"] = _ratio(x.max(axis=1), np.sqrt((x * x).mean(axis=1)), 1.0)
@@ -150,6 +153,19 @@ def _most_common(votes: np.ndarray) -> np.ndarray:
     return values[counts.argmax(axis=1)]
 
 
+def _with_tail(batches: Iterable[pd.DataFrame], keep: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Each batch after the last ``keep`` rows of those before it, and the places of its own rows."""
+    tail: pd.DataFrame | None = None
+    for batch in batches:
+        carried = 0 if tail is None else len(tail)
+        rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+        tail = rows.tail(keep)
+        new = np.arange(carried, len(rows))
+        if "_own" in rows:
+            new = new[rows["_own"].to_numpy(dtype=bool)[new]]
+        yield rows, new
+
+
 def _slide(
     batches: Iterable[pd.DataFrame],
     size: int,
@@ -159,17 +175,9 @@ def _slide(
     settings: Settings,
 ) -> Iterator[pd.DataFrame]:
     """Windows that end at every ``step``-th row of a device, over a sorted stream of batches."""
-    tail: pd.DataFrame | None = None
-    for batch in batches:
-        carried = 0 if tail is None else len(tail)
-        rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-        tail = rows.tail(size - 1)
+    for rows, new in _with_tail(batches, size - 1):
         pos = rows["pos"].to_numpy()
-        # Windows that end inside the carried rows are done already.
-        ends = np.arange(max(size - 1, carried), len(rows))
-        ends = ends[(pos[ends] >= size) & (pos[ends] % step == 0)]
-        if "_own" in rows:
-            ends = ends[rows["_own"].to_numpy(dtype=bool)[ends]]
+        ends = new[(pos[new] >= size) & (pos[new] % step == 0)]
         if len(ends) == 0:
             continue
 
@@ -183,6 +191,36 @@ def _slide(
         yield pd.concat([out, pd.DataFrame(found)], axis=1)
 
 
+def _distance(latest: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Distance of readings from the mean before them, a fifth of it counting as 1."""
+    return np.minimum(np.abs(latest - base) / np.where(base > 0, base, 1.0) * 5, 1.0)
+
+
+def _distances(batches: Iterable[pd.DataFrame], size: int, least: int) -> Iterator[pd.DataFrame]:
+    """``moving_avg`` of each row, over the up to ``size - 1`` rows of its device before it."""
+    for rows, new in _with_tail(batches, size - 1):
+        pos = rows["pos"].to_numpy()[new]
+        seen = np.minimum(pos - 1, size - 1)
+        counted = np.arange(size - 1) >= (size - 1 - seen)[:, None]
+        total = np.zeros(len(new))
+        for s in SIGNALS:
+            x = rows[s].to_numpy(dtype=float)
+            before = sliding_window_view(np.concatenate([np.zeros(size - 1), x]), size - 1)[new]
+            total += _distance(x[new], np.where(counted, before, 0.0).sum(axis=1) / np.maximum(seen, 1))
+        score = np.where(pos >= least, total / len(SIGNALS), 0.0)
+        yield rows.iloc[new].reset_index(drop=True).assign(moving_avg=score)
+
+
+def moving_average_scores(
+    df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
+) -> DataFrame:
+    """How far each reading is from the mean of the ones before it, as ``moving_avg`` from 0 to 1."""
+    size = settings.window
+    rows = ordered(df, keys, order, behind=size - 1, **split).sorted()
+    schema = T.StructType(rows.schema.fields + [T.StructField("moving_avg", T.DoubleType())])
+    return rows.mapInPandas(lambda batches: _distances(batches, size, 10), schema).drop("_own", "_chunk")
+
+
 def sliding_features(
     df: DataFrame,
     size: int | None = None,
@@ -238,16 +276,3 @@ def tumbling_features(
 def label_columns(features: DataFrame, label: str = "fault_label") -> DataFrame:
     """Windows with the label of their last row, for training."""
     return features.filter(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-
-
-def moving_average_score(series: Series, size: int | None = None, settings: Settings = DEFAULTS) -> Column:
-    """How far the newest reading is from the mean of the ones before it, 20 % counting as 1."""
-    size = size or settings.window
-    before = series.rows(1 - size, -1)
-    parts = []
-    for s in SIGNALS:
-        base = F.avg(s).over(before)
-        share = F.abs(F.col(s) - base) / F.when(base > 0, base).otherwise(F.lit(1.0))
-        parts.append(F.least(share * 5, F.lit(1.0)))
-    mean = (parts[0] + parts[1] + parts[2]) / 3
-    return F.when(F.col("pos") >= 10, mean).otherwise(F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.scalar import ensemble_score, fault_name, forest_score, is_anomaly, threshold_score
-from gridlens.operators.anomaly import moving_average_scores, train_stats, with_zscore
+from gridlens.operators.anomaly import train_stats, with_zscore
 from gridlens.operators.features import FEATURE_NAMES, sliding_features
 from gridlens.operators.forest import IsolationForest, fit_isolation_forest
 from gridlens.operators.learn import (
@@ -71,8 +71,7 @@ def score_readings(df: DataFrame, models: Models, settings: Settings = DEFAULTS,
 
     ``is_anomaly`` follows the ensemble of all methods, ``is_outlier`` the isolation forest alone.
     """
-    averaged = moving_average_scores(df, settings, **split).drop("pos")
-    windows = sliding_features(averaged, settings=settings, **split).drop("pos")
+    windows = sliding_features(df, names=[*FEATURE_NAMES, "moving_avg"], settings=settings, **split).drop("pos")
     scored = score_windows(windows, models)
     scored = with_zscore(scored, models.stats, KEYS).withColumns(
         {

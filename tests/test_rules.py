@@ -183,7 +183,7 @@ def test_zscore_over_all_devices_and_for_unknown_ones(series):
 
 def test_moving_average_needs_ten(series):
     df = series({1: [(230, 2, 400)] * 9 + [(230, 4, 400)] * 2})
-    found = [r["moving_avg"] for r in anomaly.moving_average_scores(df).orderBy("seq").collect()]
+    found = [r["moving_avg"] for r in features.moving_average_scores(df).orderBy("seq").collect()]
     assert found[:9] == [0] * 9 and found[9] == pytest.approx(1 / 3) and found[10] > 0
 
 

@@ -19,7 +19,7 @@ CASES = {
     "energy_trend": lambda df, **s: energy.energy_trend(df, **s),
     "energy_audit": lambda df, **s: energy.energy_audit(df, **s),
     "session_summary": lambda df, **s: energy.session_summary(df, 60, **s),
-    "moving_average": lambda df, **s: anomaly.moving_average_scores(df, **s),
+    "moving_average": lambda df, **s: features.moving_average_scores(df, **s),
     "detect": lambda df, **s: anomaly.detect(df, anomaly.train_stats(df), **s),
     "sliding_features": lambda df, **s: features.sliding_features(df, **s),
     "tumbling_features": lambda df, **s: features.tumbling_features(df, **s),
@@ -80,7 +80,7 @@ def test_frames_may_not_pass_a_chunk(small):
 
 def test_window_plan_has_one_shuffle_and_one_sort(small):
     s = ordered.ordered(small, behind=29)
-    plan = s.own(s.df.withColumn("m", anomaly.moving_average_score(s)))._jdf.queryExecution().executedPlan().toString()
+    plan = s.own(s.df.withColumn("m", F.avg("power").over(s.rows(-29, -1))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
     assert plan.count("Sort [") == 1
 
