@@ -375,8 +375,8 @@ SPREAD = ", ".join(f"{r(f'{f}({s})')} AS {s}_{f}" for s in SIGNALS for f in ("mi
 O["signal_stats"] = f"SELECT device_id, count(*) AS samples, {SPREAD} FROM ({READINGS}) GROUP BY device_id"
 O["recent_signal_stats"] = f"SELECT device_id, count(*) AS samples, {SPREAD} FROM ({newest(COARSE, 80)}) GROUP BY device_id"
 O["peaks"] = peaks(READINGS)
-EARLY = f"SELECT * FROM ({READINGS}) WHERE seq % 2 = 0"
-O["session_peak"] = f"""WITH a AS ({peaks(EARLY)}), b AS ({peaks(READINGS)})
+STORED = f"SELECT * REPLACE (power * CASE WHEN device_id % 2 = 0 THEN 1.1e0 ELSE 0.9e0 END AS power) FROM ({READINGS})"
+O["session_peak"] = f"""WITH a AS ({peaks(READINGS)}), b AS ({peaks(STORED)})
 SELECT a.device_id, CASE WHEN {r('b.peak_power', 2)} > a.peak_power THEN {r('b.peak_power', 2)} ELSE a.peak_power END AS peak_power,
   CASE WHEN {r('b.peak_power', 2)} > a.peak_power THEN b.peak_power_time ELSE a.peak_power_time END AS peak_power_time
 FROM a JOIN b USING (device_id)"""

@@ -382,9 +382,10 @@ def peaks(spark, folder):
 @query
 def session_peak(spark, folder):
     r = readings(spark, folder)
-    early = r.filter("seq % 2 = 0")
-    stored = energy.session_summary(r, gap_minutes=100000).select("device_id", "peak_power_w", "peak_power_time")
-    return energy.merge_session_peak(energy.peaks(early), stored).select("device_id", "peak_power", "peak_power_time")
+    # The stored session of every second device ran at a higher load than the live one, others at a lower.
+    factor = F.when(F.col("device_id") % 2 == 0, 1.1).otherwise(0.9)
+    stored = energy.session_summary(r.withColumn("power", F.col("power") * factor), gap_minutes=100000)
+    return energy.merge_session_peak(energy.peaks(r), stored).select("device_id", "peak_power", "peak_power_time")
 
 
 @query
@@ -755,8 +756,8 @@ def fit_or_load(spark, folder):
 @query
 def append_and_read_log(spark, folder):
     path = scratch_path(spark, "log")
-    files.append_log(readings(spark, folder).filter("seq % 2 = 0"), path)
-    files.append_log(readings(spark, folder).filter("seq % 2 = 1"), path)
+    files.append_log(readings(spark, folder).filter("power < 500"), path)
+    files.append_log(readings(spark, folder).filter("power >= 500"), path)
     return files.read_log(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 

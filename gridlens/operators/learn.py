@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from math import ceil
 
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from gridlens.config import DEFAULTS, FAULT_NAMES, KEYS, Settings
 from gridlens.functions.scalar import predicted_class, predicted_confidence, soft_vote, top_classes
 from gridlens.operators.forecast import chrono_split, frame_sequences, minmax_scale, signal_ranges
+from gridlens.operators.ordered import TASK_FLOOR
+
+TRAINING_ROWS = 250_000  # rows per partition of a training table
 
 
 @dataclass
@@ -60,14 +64,30 @@ def with_vector(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
 
 
-def class_weight(df: DataFrame, label: str = "fault_label") -> Column:
+def label_counts(df: DataFrame, label: str = "fault_label") -> dict[int, int]:
+    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # per label
+
+
+def class_weight(counts: dict[int, int], label: str = "fault_label") -> Column:
     """Weight that makes all labels count the same: rows over labels times rows of the label."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # per label
     total = sum(counts.values())
     weights = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, total / (len(counts) * n))])
     return F.try_element_at(weights, F.col(label))
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """Training passes over the same rows many times; put a small table into few partitions."""
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(ceil(rows / TRAINING_ROWS), min(default, ceil(rows / TASK_FLOOR)), 1))
+
+
+def weighted_rows(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+    """Vectors, labels and balancing weights."""
+    counts = label_counts(df, label)
+    rows = with_vector(df, names).withColumns({"label": F.col(label).cast("double"), "weight": class_weight(counts, label)})
+    return packed(rows.select("features", "label", "weight"), sum(counts.values()))
+
+
 def fit_random_forest(
     df: DataFrame,
     names: Sequence[str],
@@ -86,8 +106,7 @@ def fit_random_forest(
         maxDepth=depth or settings.tree_depth,
         seed=seed,
     )
-    rows = with_vector(df, names).withColumns({"label": F.col(label).cast("double"), "weight": class_weight(df, label)})
-    return learner.fit(rows.select("features", "label", "weight"))
+    return learner.fit(weighted_rows(df, names, label))
 
 
 def fit_boosted(
@@ -100,7 +119,8 @@ def fit_boosted(
     seed: int = 42,
 ) -> dict[int, GBTClassificationModel]:
     """Boosted trees for each label that occurs, against all others."""
-    rows = with_vector(df, names).select("features", label).persist()
+    counts = label_counts(df, label)
+    rows = packed(with_vector(df, names).select("features", label), sum(counts.values())).persist()
     learner = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -110,8 +130,7 @@ def fit_boosted(
         subsamplingRate=0.8,
         seed=seed,
     )
-    labels = sorted(r[0] for r in rows.select(label).distinct().collect())  # at most the known faults
-    models = {k: learner.fit(rows.withColumn("label", (F.col(label) == k).cast("double"))) for k in labels}
+    models = {k: learner.fit(rows.withColumn("label", (F.col(label) == k).cast("double"))) for k in sorted(counts)}
     rows.unpersist()
     return models
 
@@ -161,7 +180,6 @@ def cross_validate(
     seed: int = 42,
 ) -> DataFrame:
     """Mean and deviation of the weighted F1 of the random forest over folds."""
-    rows = with_vector(df, names).withColumns({"label": F.col(label).cast("double"), "weight": class_weight(df, label)})
     learner = RandomForestClassifier(
         weightCol="weight", numTrees=trees or settings.trees, maxDepth=depth or settings.tree_depth, seed=seed
     )
@@ -172,7 +190,7 @@ def cross_validate(
         numFolds=folds,
         seed=seed,
     )
-    found = validator.fit(rows.select("features", "label", "weight"))
+    found = validator.fit(weighted_rows(df, names, label))
     return df.sparkSession.createDataFrame(
         [(folds, float(found.avgMetrics[0]), float(found.stdMetrics[0]))], "folds int, cv_mean double, cv_std double"
     )
@@ -216,7 +234,8 @@ def with_inputs(samples: DataFrame) -> DataFrame:
 
 
 def fit_forecaster(samples: DataFrame, settings: Settings = DEFAULTS, penalty: float = 1e-3) -> LearnedForecaster:
-    rows = with_inputs(samples.filter("is_train")).select("features", "targets").persist()
+    rows = with_inputs(samples.filter("is_train")).select("features", "targets")
+    rows = packed(rows, rows.count()).persist()
     steps = []
     for n in range(settings.horizon):
         learner = LinearRegression(regParam=penalty, solver="normal", predictionCol="prediction")
