@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.config import FAULT_NAMES, KEYS
 from gridlens.functions.numeric import half_up, sdiv
 from gridlens.functions.scalar import fault_name
-from gridlens.operators.ordered import latest
+from gridlens.operators.ordered import GROUP_LIMIT, group_sizes, latest
 
 
 def fault_distribution(df: DataFrame, last_n: int = 100, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -72,36 +72,51 @@ def hash_rank(key: str) -> Column:
     return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
 
 
-def stratified_split(df: DataFrame, share: float = 0.2, label: str = "fault_label", key: str = "seq") -> DataFrame:
+def _local(df: DataFrame) -> DataFrame:
+    """A table with a row per label as local rows, which join without a shuffle of the other side."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def stratified_split(
+    df: DataFrame, share: float = 0.2, label: str = "fault_label", key: str = "seq", limit: int | None = None
+) -> DataFrame:
     """Mark the test part, the same share of each label, as ``is_test``.
 
-    The test rows of a label are those with the lowest digests of ``key``. Digests fall evenly
-    into 2^20 ranges; row counts per range tell in which one a label's cut lies, and only the
-    rows of that range are ranked one by one.
+    The test rows of a label are those with the lowest digests of ``key``, which is unique. While
+    every label fits in one task, its rows are ranked. Beyond that, digests fall evenly into 2^20
+    ranges; row counts per range tell in which one a label's border lies, and only the rows of
+    that range are ranked to find it. Marking the rows is then a comparison per row.
     """
-    coded = df.withColumn("_h", hash_rank(key)).withColumn("_range", F.shiftright("_h", 12))
+    _, largest = group_sizes(df, (label,), exact=limit is not None)
+    if largest <= (limit or GROUP_LIMIT):
+        same = Window.partitionBy(label)
+        rank = F.row_number().over(same.orderBy("_h", key))
+        share_of = F.floor(F.count(F.lit(1)).over(same) * share + 0.5)
+        return df.withColumn("_h", hash_rank(key)).withColumn("is_test", rank <= share_of).drop("_h")
+    labels = df.select(label).distinct().limit(MOST_LABELS + 1).count()
+    # With more labels than that, the tables below stay distributed and Spark chooses the joins.
+    local = _local if labels <= MOST_LABELS else lambda rows: rows
+    coded = df.select(label, key).withColumn("_h", hash_rank(key)).withColumn("_range", F.shiftright("_h", 12))
     upto = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
+    ranges = (
         coded.groupBy(label, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(label))})
         .withColumn("_take", F.floor(F.col("_all") * share + 0.5))
         .filter("_upto >= _take AND _upto - _n < _take")
-        .select(label, F.col("_range").alias("_cut"), (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest"))
+        .select(label, "_range", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest"))
     )
-    # A label has one cut, or none if its share rounds to no rows. As local rows, the few cuts join
-    # without a shuffle of the table; with more labels than that, Spark chooses the join.
-    few = cuts.take(MOST_LABELS + 1)
-    if len(few) <= MOST_LABELS:
-        cuts = df.sparkSession.createDataFrame(few, cuts.schema)
-    placed = coded.join(cuts, label, "left")
-    at_cut = F.col("_range") == F.col("_cut")
-    sure = placed.filter(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        "is_test", F.coalesce(F.col("_range") < F.col("_cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    borders = (
+        coded.join(local(ranges), [label, "_range"])
+        .withColumn("_rank", rank)
+        .filter(F.col("_rank") == F.col("_rest"))
+        .select(label, F.col("_h").alias("_border"), F.col(key).alias("_last"))
     )
-    ranked = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    close = placed.filter(at_cut).withColumn("is_test", ranked <= F.col("_rest"))
-    return sure.unionByName(close).drop("_h", "_range", "_cut", "_rest")
+    # A label whose share rounds to no rows has no border.
+    below = (F.col("_h") < F.col("_border")) | ((F.col("_h") == F.col("_border")) & (F.col(key) <= F.col("_last")))
+    placed = df.withColumn("_h", hash_rank(key)).join(local(borders), label, "left")
+    return placed.withColumn("is_test", F.coalesce(below, F.lit(False))).drop("_h", "_border", "_last")
 
 
 def confusion(df: DataFrame, label: str = "fault_label", predicted: str = "fault_id") -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import SMALL, frame
 from pandas.testing import assert_frame_equal
 from pyspark.sql import functions as F
 
-from gridlens.operators import anomaly, energy, features, forecast, ordered, records
+from gridlens.operators import anomaly, energy, faults, features, forecast, ordered, records
 from gridlens.plans import reports
 from gridlens.sources import adc, parse, tables
 
@@ -26,6 +26,7 @@ CASES = {
     "chrono_split": lambda df, **s: forecast.chrono_split(df, **s),
     "fit_trend": lambda df, **s: forecast.fit_trend(df, **s)[0],
     "fit_seasonal": lambda df, **s: forecast.fit_trend(df, **s)[1],
+    "stratified_split": lambda df, **s: faults.stratified_split(df, limit=s.get("limit")),
     "report_daily": lambda df, **s: reports.report(df, "daily", **s),
     "ewma": lambda df, **s: adc.ewma_snap(_with_zeros(df), **s),
     "drop_repeated": lambda df, **s: parse.drop_repeated(df.withColumn("ts", F.date_trunc("hour", "ts")), **s),
