@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import sharding, url_filter
+from gridlens.llm import bpe, langid, packing, sharding, url_filter, warc
+from gridlens.llm.units import BATCH_ROWS
+from gridlens.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table, with rows set to travel to Python in batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -38,4 +43,41 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shards, op3_url_filter)}
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written as archives, read back and resolved."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    read = warc.read_archives(spark, path).select(
+        "record_id", "id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    )
+    found = warc.resolve(materialize(read, "warc-records"), ["payload_bytes", "payload_digest"])
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("original_id").cast("long").alias("refers_to"))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shards, op3_url_filter, op5_byte_bpe, op8_language, op9_warc, op10_packing)}

@@ -13,4 +13,12 @@ WITH p AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best LEFT JOIN r ON rule = h || q
 """
 
-ORACLES: dict[str, str] = {"op3_url_filter": OP3}
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+d AS (SELECT page_id, payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+t AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to FROM t
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": OP3, "op9_warc": OP9}
