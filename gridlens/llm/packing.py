@@ -14,6 +14,8 @@ Cases: a null or empty text is one end token; repeated rows are packed as often
 from __future__ import annotations
 
 import json
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -110,6 +112,7 @@ class Texts:
     """Ids of texts by a tokenizer file; each unit of text a task has not met yet goes through the library."""
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer)
         # only where the pattern alone cuts the text are units independent of each other
         parts, spec = json.loads(tokenizer)["pre_tokenizer"], json.loads(tokenizer)
@@ -117,7 +120,8 @@ class Texts:
         self.kept: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return encode_texts(texts, self._encode, self.kept) if self.cut else self._encode(texts)

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: White space before a space, so that the space need not begin a new match of the pattern.
 _INSIDE = re.compile(r"\s |^ ")
 #: Texts are worked on in blocks of so many characters; so many units and their ids are kept by a task.
-BLOCK_CHARS, KEPT_UNITS = 2_000_000, 300_000
+BLOCK_CHARS, KEPT_UNITS = 2_000_000, 800_000
 #: Texts of that many rows at most travel to Python at once.
 BATCH_ROWS = 512
 
