@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import bpe, langid, packing, sharding, url_filter, warc
+from gridlens.llm import ann, bpe, langid, packing, sharding, sketch, url_filter, warc
 from gridlens.llm.units import BATCH_ROWS
 from gridlens.session import materialize, scratch_path
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of all other vectors for every vector whose id is divisible by 20."""
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Minimax shards of documents; equal texts stay together."""
     return sharding.shard_rows(table(spark, folder, "documents"), shards=40).select(
@@ -55,6 +60,11 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return sketch.edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -80,4 +90,4 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_shards, op3_url_filter, op5_byte_bpe, op8_language, op9_warc, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neighbours, op2_shards, op3_url_filter, op5_byte_bpe, op7_fingerprints, op8_language, op9_warc, op10_packing)}
