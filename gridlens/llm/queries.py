@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import ann, bpe, langid, packing, sharding, sketch, url_filter, warc
+from gridlens.llm import ann, bpe, langid, line_dedup, minhash, packing, sharding, sketch, url_filter, warc
 from gridlens.llm.units import BATCH_ROWS
 from gridlens.session import materialize, scratch_path
 
@@ -48,6 +48,13 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that match an earlier one."""
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")) + F.size("lines_removed"))
+    return found.select("doc_id", n_lines.cast("long").alias("n_lines"), "lines_removed", "text")
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +67,11 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicates of documents by 3-word shingles at 0.85."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=3, share=(85, 100))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return sketch.edited_fingerprints(table(spark, folder, "documents"))
@@ -90,4 +102,4 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neighbours, op2_shards, op3_url_filter, op5_byte_bpe, op7_fingerprints, op8_language, op9_warc, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neighbours, op2_shards, op3_url_filter, op4_line_dedup, op5_byte_bpe, op6_minhash, op7_fingerprints, op8_language, op9_warc, op10_packing)}
