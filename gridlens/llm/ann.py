@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gridlens.session import materialize
 
-SAMPLE, PROBES, BRANCHES, LEAF_SAMPLE, ROUNDS = 20_000, 256, 16, 64, 8
+SAMPLE, PROBES, BRANCHES, LEAF_SAMPLE, ROUNDS = 8_192, 256, 8, 256, 8
 #: Rows and queries of a leaf that meet in one tile at most, on average.
 TILE_ROWS, TILE_QUERIES = 4_096, 1_024
 RECALL = 0.97
