@@ -98,14 +98,23 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     next_rows = materialize(_successors(rows.select("row", "id", F.length("text").cast("long").alias("n_chars"))), "sketch-next")
-    full = rows.select("row", "id", "text", digest(F.col("text")).alias("digest"), sketch(F.col("text")).alias("sketch"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = full.join(next_rows.select(F.col("row").alias("before"), F.col("next").alias("row"), "n_chars"), "row").select(
-        "before", F.substring("text", F.lit(1), half).alias("head"), F.col("digest").alias("next_digest"), F.col("sketch").alias("next_sketch")
+    # both sides of the last join read this one shuffle of the texts
+    ordered = rows.join(next_rows.select(F.col("row").alias("before"), F.col("next").alias("row"), F.col("n_chars").alias("n_before")), "row")
+    heads = ordered.select(
+        "before",
+        F.col("id").alias("next_id"),
+        F.substring("text", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("head"),
+        digest(F.col("text")).alias("next_digest"),
+        sketch(F.col("text")).alias("next_sketch"),
     )
     n = F.length("text")
-    joined = full.join(heads, F.col("row") == F.col("before")).withColumn(
-        "edited", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head")
+    joined = ordered.drop("before").join(heads, F.col("row") == F.col("before"))
+    joined = joined.withColumns(
+        {
+            "digest": digest(F.col("text")),
+            "sketch": sketch(F.col("text")),
+            "edited": F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "head"),
+        }
     )
     made = joined.withColumns({"edited_digest": digest(F.col("edited")), "edited_sketch": sketch(F.col("edited"))})
     own = F.col("digest"), F.col("sketch")
@@ -117,4 +126,5 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -
         fingerprint(F.col("edited_digest"), F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(*own, F.col("edited_digest"), F.col("edited_sketch")).alias("near_edited"),
         likeness(*own, F.col("next_digest"), F.col("next_sketch")).alias("near_next"),
+        F.col("next_id").alias(f"next_{id}"),
     )
