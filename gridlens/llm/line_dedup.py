@@ -39,6 +39,8 @@ COUNTERS, PART = 1 << 22, 1 << 16
 #: Lines with a prefix word that one task compares; rows it reads before it does so.
 TILE, CHUNK = 16_384, 400_000
 KEY_BYTES = 12
+#: A prefix word is a hash whose lowest bits hold its position, up to the largest; a capped one only weakens the filter.
+POS_BITS, POS_MOST = 8, 255
 
 
 def line_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
@@ -137,17 +139,17 @@ def _meetings(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarra
 def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> DataFrame:
     """Distinct pairs (``a``, ``b``) of classes (``node``, ``n``, ``bits``, ``prefix``, ``component``) that meet."""
     rows = classes.select("node", "n", "bits", "component", F.explode("prefix").alias("word"))
-    rows = rows.select("node", "n", "bits", "component", F.col("word.token").alias("token"), F.col("word.pos").alias("pos"))
     if not grouped:
         rows = rows.drop("component")
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, n = rows["token"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+        word, n = rows["word"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
+        token, pos = word >> POS_BITS, word & POS_MOST
         order = np.lexsort((n, token))
         nodes = rows["node"].combine_chunks()
         group = rows["component"].to_pandas().factorize()[0][order] if grouped else None
         bits = rows["bits"].to_numpy().view(np.uint64)[order]
-        for a, b in _meetings(token[order], n[order], rows["pos"].to_numpy().astype(np.int64)[order], bits, group, share):
+        for a, b in _meetings(token[order], n[order], pos[order], bits, group, share):
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[a])), nodes.take(pa.array(order[b]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> Da
             held.append(pa.Table.from_batches([batch]))
             if sum(t.num_rows for t in held) >= CHUNK:
                 whole = pa.concat_tables(held)
-                token = whole["token"].to_numpy()
+                token = whole["word"].to_numpy() >> POS_BITS
                 cut = int(np.searchsorted(token, token[-1]))  # the last word may go on
                 if cut:
                     yield from pairs(whole.slice(0, cut))
@@ -168,7 +170,7 @@ def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> Da
         if held:
             yield from pairs(pa.concat_tables(held))
 
-    met = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a binary, b binary")
+    met = rows.repartition(F.shiftright("word", POS_BITS)).sortWithinPartitions("word").mapInArrow(run, "a binary, b binary")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
@@ -191,8 +193,8 @@ def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
                 salt = np.where(tiles[times] > 1, low * tiles[times] + high, 0).astype(np.uint64)
                 owner, place, tokens = owner[times], place[times], np.where(salt > 0, mix(tokens[times] + salt), tokens[times])
             ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
-            words = pa.StructArray.from_arrays([pa.array(tokens.view(np.int64)), pa.array(place, pa.int32())], names=["token", "pos"])
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
+            words = (tokens.view(np.int64) & ~POS_MOST) | np.minimum(place, POS_MOST)
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words))
             text = np.repeat(np.arange(len(counts)), counts)
             line = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
             filled = pa.array([k is not None for k in keys], pa.bool_())
@@ -202,7 +204,7 @@ def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "row", "id", "line", "n", "bits", "prefix"]).filter(filled)
 
-    schema = "node binary, row long, id long, line int, n int, bits long, prefix array<struct<token: long, pos: int>>"
+    schema = "node binary, row long, id long, line int, n int, bits long, prefix array<long>"
     found = df.select("row", "id", "text").mapInArrow(lines, schema)
     classes = found.groupBy("node").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "line-classes")
