@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 class Settings:
     """Thresholds of a fleet. Pass a changed copy (``dataclasses.replace``) to any operator."""
 
+    # fixed values: the defaults on which results depend
     voltage_nominal: float = 230.0
     voltage_high: float = 250.0
     voltage_low: float = 200.0

@@ -49,6 +49,7 @@ def _complete(r: Column) -> Column:
 
 def parse_tagged_lines(df: DataFrame, value: str = "value") -> DataFrame:
     """Lines such as ``Vrms: 230.1 V Current: 2.5 A Power: 529.2 W``; other lines are dropped."""
+    # fixed value: the accepted form of a line
     pattern = r"Vrms:\s([\d.]+).*Current:\s([\d.]+).*Power:\s([\d.]+)"
     names = ("voltage", "current", "power")
     groups = [F.regexp_extract(value, pattern, n).try_cast("double").alias(c) for n, c in enumerate(names, start=1)]

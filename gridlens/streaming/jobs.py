@@ -20,6 +20,7 @@ from gridlens.sources.adc import rms_columns
 from gridlens.sources.parse import drop_test_rows, parse_json_payload, parse_lines
 
 BYTES_PER_TRIGGER = 64 << 20  # bounds the rows of a device in one micro-batch
+OFFSETS_PER_TRIGGER = 1_000_000  # the same for Kafka, where options may set another number
 
 
 def read_stream(
@@ -30,10 +31,10 @@ def read_stream(
     max_bytes: int = BYTES_PER_TRIGGER,
     **options: str,
 ) -> DataFrame:
-    """New files of a folder (or pattern) as a stream. ``fmt="kafka"`` takes its options as given."""
+    """New files of a folder (or pattern) as a stream. ``fmt="kafka"`` takes its options as given, and bounds a micro-batch."""
     reader = spark.readStream.format(fmt).options(**options)
     if fmt == "kafka":
-        return reader.load()
+        return reader.option("maxOffsetsPerTrigger", options.get("maxOffsetsPerTrigger", OFFSETS_PER_TRIGGER)).load()
     return reader.schema(schema).option("maxBytesPerTrigger", max_bytes).load(path)
 
 
