@@ -5,8 +5,8 @@ class. Words are ordered by rarity, as counted over all lines in a table of ``CO
 by hash; any common order is correct, and a counter is never below the word's true number of lines. Two
 lines of Jaccard similarity of at least ``SHARE`` share a word among the first ``n - ceil(SHARE * n) + 1`` of each in that order,
 so classes meet by these prefix words. Words counted once meet nobody and are left out. A pair that meets
-has to pass the length filter, the positional filter, and a bound on the overlap from 64-bit parities of both
-sets; then similarity is checked on the full sets.
+has to pass the length filter, the positional filter, and a bound on the overlap from bit parities of both
+sets, of 64 bits for short lines and up to 1,024 for long ones; then similarity is checked on the full sets.
 
 A task that holds all classes with a prefix word does not emit all its pairs: a pair is left out where
 earlier pairs already connect its lines. Where every emitted pair is confirmed nothing is lost by that; for
@@ -41,6 +41,9 @@ TILE, CHUNK = 16_384, 400_000
 KEY_BYTES = 12
 #: A prefix word is a hash whose lowest bits hold its position, up to the largest; a capped one only weakens the filter.
 POS_BITS, POS_MOST = 8, 255
+#: Distinct words up to which parities take 1, 2 and 4 numbers of 64 bits; lines of more words take 16. More bits only strengthen the filter.
+WIDTHS = [(80, 1), (180, 2), (400, 4)]
+WIDEST = 16
 
 
 def line_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
@@ -82,8 +85,51 @@ def rarity(df: DataFrame, text: str) -> np.ndarray:
     return codes
 
 
-def prefixes(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix words that may be shared: their lines, positions and hashes; and the parity bits of every line."""
+def parities(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """For each run of values, which bits an odd number of them falls on; the bits of a wider one fold to those of a narrower."""
+    sizes = np.diff(starts)
+    widths = np.full(len(sizes), WIDEST)
+    for most, width in reversed(WIDTHS):
+        widths[sizes <= most] = width
+    ends = np.concatenate([[0], np.cumsum(widths)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bit = values >> np.uint64(54)
+    words = np.zeros(ends[-1], dtype=np.uint64)
+    at = ends[owner] + (bit >> np.uint64(6)).astype(np.int64) % widths[owner]
+    np.bitwise_xor.at(words, at, np.uint64(1) << (bit & np.uint64(63)))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
+
+
+class Parities:
+    """Parities of rows, in the order of ``order``."""
+
+    def __init__(self, packed: pa.Array, order: np.ndarray):
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 8
+        self.words = np.frombuffer(packed.buffers()[2], np.uint8)[: 8 * ends[-1]].view("<u8")
+        self.begin, self.width = ends[:-1][order], np.diff(ends)[order]
+        self.folded = np.bitwise_xor.reduceat(self.words, ends[:-1])[order]
+
+    def _of(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Parities of rows, folded to ``width`` numbers."""
+        out = np.empty((len(rows), width), np.uint64)
+        for wide in np.unique(self.width[rows]):
+            here = np.flatnonzero(self.width[rows] == wide)
+            whole = self.words[self.begin[rows[here], None] + np.arange(wide)]
+            out[here] = np.bitwise_xor.reduce(whole.reshape(len(here), wide // width, width), axis=1)
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At most as many values as are in one of two rows only; ``a`` is not wider than ``b``."""
+        out = np.empty(len(a), np.int64)
+        for width in np.unique(self.width[a]):
+            here = np.flatnonzero(self.width[a] == width)
+            out[here] = np.bitwise_count(self._of(a[here], width) ^ self._of(b[here], width)).sum(axis=1)
+        return out
+
+
+def prefixes(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Prefix words that may be shared: their lines, positions and hashes; and the parities of every line."""
+    bits = parities(values, starts)
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     code = codes[_counter(values)]
@@ -92,14 +138,10 @@ def prefixes(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: t
     place = np.arange(len(values)) - np.repeat(starts[:-1], sizes)
     length = sizes - -(-share[0] * sizes // share[1]) + 1
     wanted = (place < length[owner]) & (code > 1)
-    bits = np.zeros(len(sizes), dtype=np.uint64)
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        bits[filled] = np.bitwise_xor.reduceat(np.uint64(1) << (values >> np.uint64(58)), starts[filled])
     return owner[wanted], place[wanted], values[wanted], bits
 
 
-def _meetings(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, group: np.ndarray | None, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Parities, group: np.ndarray | None, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (sorted by token and size) that share a token and pass all filters.
 
     Without ``group`` a pair is left out if earlier ones connect its rows; with it, if both rows are of one group.
@@ -112,10 +154,13 @@ def _meetings(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarra
         near = (token[alive] == token[other]) & (share[1] * n[alive] >= share[0] * n[other])
         alive, other = alive[near], other[near]
         together = n[alive] + n[other]
-        by_bits = (together - np.bitwise_count(bits[alive] ^ bits[other])) // 2
+        by_bits = (together - np.bitwise_count(bits.folded[alive] ^ bits.folded[other])) // 2
         by_place = np.minimum(pos[alive], pos[other]) + np.minimum(n[alive] - pos[alive], n[other] - pos[other])
         fits = (share[0] + share[1]) * np.minimum(by_bits, by_place) >= share[0] * together
         a, b = alive[fits], other[fits]
+        together = n[a] + n[b]
+        fits = (share[0] + share[1]) * ((together - bits.apart(a, b)) // 2) >= share[0] * together
+        a, b = a[fits], b[fits]
         if group is None:
             new = label[a] != label[b]
             a, b = a[new], b[new]
@@ -148,7 +193,7 @@ def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> Da
         order = np.lexsort((n, token))
         nodes = rows["node"].combine_chunks()
         group = rows["component"].to_pandas().factorize()[0][order] if grouped else None
-        bits = rows["bits"].to_numpy().view(np.uint64)[order]
+        bits = Parities(rows["bits"].combine_chunks(), order)
         for a, b in _meetings(token[order], n[order], pos[order], bits, group, share):
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[a])), nodes.take(pa.array(order[b]))], names=["a", "b"])
 
@@ -186,7 +231,7 @@ def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
             owner, place, tokens, bits = prefixes(values, starts, codes, share)
             tiles = 1 + np.where(codes[_counter(tokens)] > 16, 16 * 2.0 ** ((codes[_counter(tokens)].astype(float) - 15) / 8), 0).astype(np.int64) // TILE
             if (tiles > 1).any():  # a block meets every block of the word, in a task for each two
-                own = (mix(bits[owner] + np.uint64(1)) % tiles.astype(np.uint64)).astype(np.int64)
+                own = (mix(Parities(bits, np.arange(len(sizes))).folded[owner] + np.uint64(1)) % tiles.astype(np.uint64)).astype(np.int64)
                 times = np.repeat(np.arange(len(tiles)), tiles)
                 with_block = np.arange(len(times)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
                 low, high = np.minimum(own[times], with_block), np.maximum(own[times], with_block)
@@ -200,11 +245,11 @@ def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
             filled = pa.array([k is not None for k in keys], pa.bool_())
             columns = [
                 pa.array(keys, pa.binary()), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(line, pa.int32()),
-                pa.array(sizes, pa.int32()), pa.array(bits.view(np.int64)), prefix,
+                pa.array(sizes, pa.int32()), bits, prefix,
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "row", "id", "line", "n", "bits", "prefix"]).filter(filled)
 
-    schema = "node binary, row long, id long, line int, n int, bits long, prefix array<long>"
+    schema = "node binary, row long, id long, line int, n int, bits binary, prefix array<long>"
     found = df.select("row", "id", "text").mapInArrow(lines, schema)
     classes = found.groupBy("node").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "line-classes")

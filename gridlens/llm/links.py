@@ -71,17 +71,25 @@ def members(df: DataFrame, pairs: DataFrame, sets_of: Callable[[list], tuple[np.
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``links`` (``a``, ``b``).
 
-    Labels take the least of their neighbours', then the label of their label, until nothing changes.
+    Each round, a node takes the least of itself and its neighbours, then what that one took; links between what
+    nodes took are the next round's, about half or fewer, until none is left. The rounds are then put together from the last.
     """
-    edges = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct()
-    edges = materialize(edges, "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("component"))
-        onward = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = hooked.join(onward, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
-        labels = materialize(jumped, "labels")
-        if labels.where("was <> component").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+
+    def undirected(a: str, b: str, pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
+
+    edges, rounds = undirected("a", "b", links), []
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        near = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("near"))
+        near = materialize(near, "labels")
+        further = near.select(F.col("node").alias("near"), F.col("near").alias("component"))
+        taken = materialize(near.join(further, "near").select("node", "component"), "labels")
+        rounds.append(taken)
+        of = lambda c: taken.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        edges = undirected("of_a", "of_b", edges.join(of("a"), "a").join(of("b"), "b"))
+    found = rounds.pop() if rounds else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for taken in reversed(rounds):
+        onward = found.select(F.col("node").alias("component"), F.col("component").alias("onward"))
+        found = taken.join(onward, "component", "left").select("node", F.coalesce("onward", "component").alias("component"))
+    return materialize(found, "labels")

@@ -96,7 +96,7 @@ def test_line_blocks_lose_no_pair():
     owner, place, tokens, bits = line_dedup.prefixes(np.concatenate([np.sort(mix(s)) for s in sets]), starts, codes, share)
     n = np.diff(starts)
     order = np.lexsort((n[owner], tokens))
-    args = (tokens[order], n[owner][order], place[order], bits[owner][order])
+    args = (tokens[order], n[owner][order], place[order], line_dedup.Parities(bits, owner[order]))
     everything = {frozenset((owner[order[a]], owner[order[b]])) for x, y in line_dedup._meetings(*args, np.arange(len(order)), share) for a, b in zip(x, y, strict=True)}
     for i in range(60):
         for j in range(i):
@@ -105,6 +105,33 @@ def test_line_blocks_lose_no_pair():
                 assert frozenset((i, j)) in everything
 
 
+def test_line_parities_never_exceed_the_difference():
+    """Lines of all widths against each other; unrelated long lines of similar length are known to be below 0.8."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 80, 81, 95, 180, 181, 200, 400, 401, 450, 2000)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], s[:0]]) for s in sets] + sets
+    sets.sort(key=len)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = line_dedup.Parities(line_dedup.parities(np.concatenate(sets), starts), np.arange(len(sets)))
+    a, b = np.triu_indices(len(sets), 1)
+    true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    assert (bits.apart(a, b) <= true).all() and ((bits.apart(a, b) - true) % 2 == 0).all()
+    unrelated = [(x, y) for x, y, d in zip(a, b, true, strict=True) if len(sets[x]) >= 81 and d == len(sets[x]) + len(sets[y]) and 80 * len(sets[y]) <= 100 * len(sets[x])]
+    assert unrelated and all(bits.apart(np.array([x]), np.array([y]))[0] * 180 > 20 * (len(sets[x]) + len(sets[y])) for x, y in unrelated)
+
+
+def test_components_of_long_paths(spark):
+    """Paths, a star and a pair, in any order of names, against their smallest nodes."""
+    rng = np.random.default_rng(8)
+    names = [f"{k:05d}".encode() for k in rng.permutation(5000)[:700]]
+    groups = [names[:300], names[300:500], names[500:502], names[502:]]
+    pairs = [p for g in groups[:3] for p in zip(g, g[1:], strict=False)] + [(groups[3][0], x) for x in groups[3][1:]]
+    found = links.components(spark.createDataFrame(pairs + pairs[:5], "a binary, b binary")).collect()
+    expected = {bytes(x): min(g) for g in groups for x in g}
+    assert {bytes(r.node): bytes(r.component) for r in found} == expected and len(found) == len(expected)
+    assert not links.components(spark.createDataFrame([], "a binary, b binary")).count()
+
+
 def test_bpe_round_trip(docs, none):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {t: i for i, t in enumerate(bpe.read_ranks(path)) if t}
