@@ -673,13 +673,9 @@ O["stream_running_stats"] = f"""SELECT s.device_id, samples, {r('kwh')} AS energ
 FROM ({ORACLES['signal_stats']}) s JOIN (SELECT device_id, kwh FROM ({totals(READINGS)})) USING (device_id) JOIN ({ORACLES['peaks']}) USING (device_id)"""
 O["stream_features"] = O["feature_vector"]
 O["stream_ewma"] = O["ewma_snap"]
-# Windows and sessions that end after the newest event are still open.
-O["stream_adc"] = f"""SELECT * FROM ({O['adc_to_rms']}) WHERE window_start_ms + 1000 <= (SELECT max(sample_ms) FROM ({ADC}))"""
+O["stream_adc"] = O["adc_to_rms"]
 O["stream_alerts"] = f"WITH b AS ({PREDICTED}) {LIMIT_ALERTS} UNION ALL {MODEL_ALERTS}"
-O["stream_sessions"] = f"""WITH t AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY device_id ORDER BY ts, seq) AS wait FROM ({READINGS})),
-s AS (SELECT *, sum(CASE WHEN wait IS NULL OR wait > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS k FROM t),
-g AS (SELECT device_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS sample_count, {r('max(power)')} AS peak_power_w FROM s GROUP BY device_id, k)
-SELECT * FROM g WHERE end_time + INTERVAL 360 MINUTE <= (SELECT max(ts) FROM events)"""
+O["stream_sessions"] = O["session_summary"]
 O["stream_drop_repeated"] = O["drop_repeated"]
 O["stream_live_table"] = f"""WITH m AS (SELECT * FROM ({metered(PREDICTED)}))
 SELECT device_id, seq, ts AS timestamp, {r('voltage', 2)} AS voltage, {r('current', 3)} AS current, {r('power', 2)} AS power,

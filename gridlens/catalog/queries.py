@@ -827,7 +827,7 @@ def stream_ewma(spark, folder):
 @query
 def stream_adc(spark, folder):
     samples = tables.as_adc_samples(_stream(spark, folder, "lineitem"))
-    return rounded(jobs.run_to_table(jobs.adc_stream(samples, window_ms=1000)))
+    return rounded(jobs.adc_stream(samples, window_ms=1000))
 
 
 @query
@@ -837,7 +837,7 @@ def stream_alerts(spark, folder):
 
 @query
 def stream_sessions(spark, folder):
-    return rounded(jobs.run_to_table(jobs.session_stream(_reading_stream(spark, folder), "360 minutes")))
+    return jobs.session_stream(_reading_stream(spark, folder), 360)
 
 
 @query

@@ -175,10 +175,8 @@ def energy_audit(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[st
     )
 
 
-def session_summary(
-    df: DataFrame, gap_minutes: float = 60, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
-) -> DataFrame:
-    """Sessions of each device, which end where no reading follows within the gap.
+def _session_rows(df: DataFrame, gap_minutes: float, keys: Sequence[str], order: Sequence[str], **split) -> DataFrame:
+    """Readings with the number of their session and the energy since the reading before in it.
 
     Sessions are numbered by a running count of gaps rather than a session window, because the
     latter sorts all rows of a device in one task.
@@ -189,17 +187,66 @@ def session_summary(
     opens = F.when(F.col("_wait").isNull() | (F.col("_wait") > int(gap_minutes * 60_000_000)), 1).otherwise(0)
     numbered = series.own(running_sums(series, stepped.withColumn("_opens", opens), {"session_no": F.col("_opens")}))
     kwh = F.when(F.col("_opens") == 1, 0.0).otherwise(F.col("power") / 1000 * (F.col("_wait") / F.lit(1e6) / 3600))
+    return numbered.withColumn("_kwh", kwh)
+
+
+def session_summary(
+    df: DataFrame, gap_minutes: float = 60, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
+) -> DataFrame:
+    """Sessions of each device, which end where no reading follows within the gap."""
     peak, at = first_peak("power")
-    return numbered.groupBy(*keys, "session_no").agg(
+    return _session_rows(df, gap_minutes, keys, order, **split).groupBy(*keys, "session_no").agg(
         F.min("ts").alias("start_time"),
         F.max("ts").alias("end_time"),
         F.count(F.lit(1)).alias("sample_count"),
-        half_up(F.sum(kwh), 6).alias("energy_kwh"),
+        half_up(F.sum("_kwh"), 6).alias("energy_kwh"),
         half_up(peak, 2).alias("peak_power_w"),
         at.alias("peak_power_time"),
     )
 
 
+def session_parts(df: DataFrame, gap_minutes: float = 60) -> DataFrame:
+    """Sessions of some readings of each device, with what is needed to join them with those of other readings."""
+    peak, at = first_peak("power")
+    return _session_rows(df, gap_minutes, KEYS, ORDER).groupBy(*KEYS, "session_no").agg(
+        F.min("ts").alias("start_time"),
+        F.max("ts").alias("end_time"),
+        F.count(F.lit(1)).alias("sample_count"),
+        F.sum("_kwh").alias("kwh"),
+        F.min_by("power", F.struct(*ORDER)).alias("first_power"),
+        peak.alias("peak"),
+        at.alias("peak_time"),
+    ).drop("session_no")
+
+
+def merge_sessions(parts: DataFrame, readings: DataFrame, gap_minutes: float = 60) -> DataFrame:
+    """Sessions of all readings from parts of them, whatever order these came in.
+
+    Parts that follow each other within the gap are one session, to which the time between them adds energy.
+    Where parts of a device overlap in time, their sums do not add up, and that device's sessions are
+    taken from its readings.
+    """
+    line = Window.partitionBy(*KEYS).orderBy("start_time", "end_time")
+    reach = F.max("end_time").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.withColumn("_reach", reach).withColumn("_wait", micros("start_time") - micros("_reach"))
+    mixed = placed.filter("_wait <= 0").select(*KEYS).distinct()
+    apart = placed.join(mixed, list(KEYS), "left_anti")
+    opens = F.when(F.col("_wait").isNull() | (F.col("_wait") > int(gap_minutes * 60_000_000)), 1).otherwise(0)
+    between = F.when(F.col("_opens") == 1, 0.0).otherwise(F.col("first_power") / 1000 * (F.col("_wait") / F.lit(1e6) / 3600))
+    numbered = apart.withColumn("_opens", opens).withColumns({"session_no": F.sum("_opens").over(line), "_kwh": F.col("kwh") + between})
+    joined = numbered.groupBy(*KEYS, "session_no").agg(
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.sum("sample_count").alias("sample_count"),
+        half_up(F.sum("_kwh"), 6).alias("energy_kwh"),
+        half_up(F.max("peak"), 2).alias("peak_power_w"),
+        F.min(F.when(F.col("peak_time").isNotNull(), F.struct(-F.col("peak"), "peak_time")))["peak_time"].alias("peak_power_time"),
+    )
+    if mixed.isEmpty():
+        return joined
+    return joined.unionByName(session_summary(readings.join(mixed, list(KEYS), "left_semi"), gap_minutes))
+
+
 def mean_power_factor(v: str, i: str, p: str, default: float = 0.0) -> Column:
     """Power factor of mean values."""
     apparent = F.col(v) * F.col(i)

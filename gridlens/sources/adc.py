@@ -25,21 +25,37 @@ from gridlens.operators.ordered import Series, ordered
 SNAP = {"voltage": 5.0, "current": 0.05}
 
 
-def rms(raw: str, gain: float) -> Column:
-    """Calibrated level of the samples of a window, from their peak-to-peak swing."""
-    swing = (F.max(raw) - F.min(raw)) * F.lit(ADC_VOLTS_PER_STEP)
+def level(high: Column, low: Column, gain: float) -> Column:
+    """Calibrated level of a window's samples, from their peak-to-peak swing."""
+    swing = (high - low) * F.lit(ADC_VOLTS_PER_STEP)
     clean = F.when(swing < ADC_NOISE_VOLTS, F.lit(0.0)).otherwise(swing)
     return clean / 2 * ADC_PEAK_TO_RMS * gain
 
 
 def rms_columns() -> list[Column]:
     return [
-        rms("raw_v", ADC_VOLTAGE_GAIN).alias("voltage"),
-        rms("raw_i", ADC_CURRENT_GAIN).alias("current"),
+        level(F.max("raw_v"), F.min("raw_v"), ADC_VOLTAGE_GAIN).alias("voltage"),
+        level(F.max("raw_i"), F.min("raw_i"), ADC_CURRENT_GAIN).alias("current"),
         F.count(F.lit(1)).alias("samples"),
     ]
 
 
+def adc_parts(df: DataFrame, window_ms: int = 200, keys: Sequence[str] = KEYS) -> DataFrame:
+    """What of some samples is needed to know their windows' levels once the other samples come."""
+    start = (F.floor(F.col("sample_ms") / window_ms) * window_ms).alias("window_start_ms")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("raw_v", "raw_i") for n, f in (("high", F.max), ("low", F.min))]
+    return df.groupBy(*keys, start).agg(*ends, F.count(F.lit(1)).alias("samples"))
+
+
+def merge_parts(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Voltage and current per device and window, from the parts of all samples."""
+    return parts.groupBy(*keys, "window_start_ms").agg(
+        level(F.max("high_raw_v"), F.min("low_raw_v"), ADC_VOLTAGE_GAIN).alias("voltage"),
+        level(F.max("high_raw_i"), F.min("low_raw_i"), ADC_CURRENT_GAIN).alias("current"),
+        F.sum("samples").alias("samples"),
+    )
+
+
 def adc_to_rms(df: DataFrame, window_ms: int = 200, keys: Sequence[str] = KEYS) -> DataFrame:
     """Voltage and current per device and window of samples."""
     start = (F.floor(F.col("sample_ms") / window_ms) * window_ms).alias("window_start_ms")

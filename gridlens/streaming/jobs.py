@@ -12,11 +12,12 @@ from pyspark.sql.types import StructType
 
 from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.scalar import health_label
+from gridlens.operators.energy import merge_sessions, power_columns, session_parts
 from gridlens.operators.insights import advise, device_summary, health_score
 from gridlens.operators.records import alert_record, alerts, build_record, latest_reading, retain_last
 from gridlens.operators.serving import latency_stats, perf_snapshot
 from gridlens.session import scratch_path
-from gridlens.sources.adc import rms_columns
+from gridlens.sources.adc import adc_parts, merge_parts
 from gridlens.sources.parse import drop_test_rows, parse_json_payload, parse_lines
 
 BYTES_PER_TRIGGER = 64 << 20  # bounds the rows of a device in one micro-batch
@@ -44,23 +45,37 @@ def reading_stream(lines: DataFrame, kind: str = "csv", settings: Settings = DEF
     return drop_test_rows(parsed) if "test_mode" in parsed.columns else parsed
 
 
-def adc_stream(samples: DataFrame, window_ms: int = 200, delay: str = "0 seconds") -> DataFrame:
-    """Voltage and current per device and window of samples; samples later than ``delay`` are dropped."""
-    timed = samples.withColumn("at", F.timestamp_millis("sample_ms")).withWatermark("at", delay)
-    start = F.window("at", f"{window_ms} milliseconds").alias("w")
-    found = timed.groupBy("device_id", start).agg(*rms_columns())
-    return found.select("device_id", F.unix_millis("w.start").alias("window_start_ms"), "voltage", "current", "samples")
+def run_to_parts(
+    stream: DataFrame, parts: dict[str, Callable[[DataFrame], DataFrame]], path: str | None = None, name: str = "parts"
+) -> dict[str, DataFrame]:
+    """Run a stream over all input there is; each of ``parts`` of every micro-batch goes to a folder of that name, all of which are read back.
+
+    A folder per micro-batch lets a repeated one replace its own rows. Nothing is late: whatever comes is kept.
+    With the same ``path``, a later run goes on where this one ended.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, name)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        for part, made in parts.items():
+            made(batch).write.mode("overwrite").parquet(f"{path}/{part}/batch_id={batch_id}")
+
+    store(spark.createDataFrame([], stream.schema), -1)  # gives every folder its schema
+    started = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/checkpoint")
+    started.trigger(availableNow=True).start().awaitTermination()
+    return {part: spark.read.parquet(f"{path}/{part}").drop("batch_id") for part in parts}
+
+
+def adc_stream(samples: DataFrame, window_ms: int = 200, path: str | None = None) -> DataFrame:
+    """Voltage and current per device and window of all samples a stream has had, in whatever order they came."""
+    return merge_parts(run_to_parts(samples, {"windows": lambda df: adc_parts(df, window_ms)}, path, "adc")["windows"])
 
 
-def session_stream(readings: DataFrame, gap: str = "60 minutes") -> DataFrame:
-    """Sessions of each device, once no reading can extend them."""
-    timed = readings.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
-    return timed.groupBy("device_id", F.session_window("at", gap).alias("w")).agg(
-        F.min("ts").alias("start_time"),
-        F.max("ts").alias("end_time"),
-        F.count(F.lit(1)).alias("sample_count"),
-        F.max("power").alias("peak_power_w"),
-    ).drop("w")
+def session_stream(readings: DataFrame, gap_minutes: float = 60, path: str | None = None) -> DataFrame:
+    """Sessions of each device over all readings a stream has had, in whatever order they came."""
+    parts = {"sessions": lambda df: session_parts(df, gap_minutes), "readings": power_columns}
+    found = run_to_parts(readings, parts, path, "sessions")
+    return merge_sessions(found["sessions"], found["readings"], gap_minutes)
 
 
 def alert_stream(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

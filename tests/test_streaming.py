@@ -70,17 +70,35 @@ def test_drop_repeated(spark, folder):
     assert_frame_equal(frame(found, "seq"), frame(parse.drop_repeated(hourly(batch(spark, folder))), "seq"))
 
 
-def test_adc_windows(spark, tmp_path):
+ORDERS = {"by device": "device_id % 4", "reverse time": "3 - div(seq, 250)", "mixed": "seq % 4"}
+
+
+def dealt(spark, rows, path, order):
+    """Four files, one for each micro-batch, read in the order they are written."""
+    for part in range(4):
+        rows.filter(F.expr(order) == part).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, rows.schema, maxFilesPerTrigger="1")
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_adc_windows(spark, tmp_path, order):
     samples = tables.adc_samples(spark, SMALL)
-    for part in range(3):
-        lo, hi = part * 20_000, (part + 1) * 20_000 if part < 2 else 10**12
-        samples.filter((F.col("sample_ms") >= lo) & (F.col("sample_ms") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path))
-    found = jobs.run_to_table(jobs.adc_stream(streamed(spark, str(tmp_path)), 1000))
-    newest = samples.agg(F.max("sample_ms")).first()[0]
-    expected = adc.adc_to_rms(samples, 1000).filter(F.col("window_start_ms") + 1000 <= newest)
+    by = {"by device": "device_id % 4", "reverse time": "3 - least(div(sample_ms, 15000), 3)", "mixed": "sample_ms % 4"}[order]
+    found = jobs.adc_stream(dealt(spark, samples, f"{tmp_path}/in", by), 1000, f"{tmp_path}/out")
+    expected = adc.adc_to_rms(samples, 1000)
+    assert found.agg(F.sum("samples")).first()[0] == samples.count()
     assert_frame_equal(frame(found, "device_id", "window_start_ms"), frame(expected, "device_id", "window_start_ms"))
 
 
+@pytest.mark.parametrize("order", ORDERS)
+def test_sessions(spark, tmp_path, order):
+    rows = tables.readings_coarse(spark, SMALL).withColumn("device_id", F.col("device_id") % 8)
+    found = jobs.session_stream(dealt(spark, rows, f"{tmp_path}/in", ORDERS[order]), 1000, f"{tmp_path}/out")
+    expected = energy.session_summary(rows, 1000)
+    assert expected.count() > 16 and expected.filter("sample_count > 1").count() > 8
+    assert_frame_equal(frame(found, "device_id", "session_no"), frame(expected.select(found.columns), "device_id", "session_no"))
+
+
 def test_tables(spark, folder, tmp_path):
     """Four micro-batches, compacted each second one; a repeated micro-batch changes nothing."""
     def scored(df):
