@@ -6,9 +6,12 @@ are compared batch by batch: after each batch, the probability that the similari
 taken from the posterior of the agreements so far (uniform prior), and the pair is dropped where it is below ``MISS``.
 What survives is checked exactly on the full sets. Components of the links give the groups.
 
-No bucket emits all its pairs. First every class is compared with the class of smallest id of each of
-its buckets, which is the original where copies came later. Then only classes of a bucket that are not yet in one component are compared with each other, which
-completes the links without repeating those within a component.
+No bucket emits all its pairs. In each of ``ROUNDS`` rounds every bucket that holds several components names one
+of its classes (first the smallest id, which is the original where copies came later, then one by hash), and every class is compared
+with the one that most of its buckets name, outside its own component: at most one pair a class. Only then are classes of
+different components that still share a bucket compared with each other, which completes the links. That is done inside the
+tasks, over blocks of a bucket that meet two by two, each pair in the first bucket it shares, and on ``MORE`` further hashes, so that
+only pairs close to the threshold are emitted. Pairs whose set sizes alone rule the similarity out are left out.
 
 With ``BANDS`` bands of ``ROWS`` hashes a pair at 0.85 is missed by all bands with probability 4e-7, at 0.8 with 5e-5.
 
@@ -20,24 +23,30 @@ component of that text; a null id is the smallest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.links import components, members, verified
+from gridlens.llm.links import components, in_filter, members, node_filter, verified
 from gridlens.llm.words import LOWER, mix, set_keys, shingle_sets
 from gridlens.session import materialize
 
 WORDS, SHARE, BANDS, ROWS = 5, (80, 100), 25, 5
 #: Signature hashes compared before each look at the posterior, and the chance of dropping a true pair there.
 BATCH, MISS = 25, 1e-6
+#: Rounds in which a class is compared with one other class, before all that remain are.
+ROUNDS = 3
 _HASHES = BANDS * ROWS
+#: Further hashes (of 8 bits) by which classes are compared across components, and after how many there is a look.
+MORE, MORE_LOOKS = 875, (125, 375, 875)
+#: Classes in a block of a bucket; rows a task reads before it compares them.
+TILE, CHUNK = 1024, 8192
 _SEED = np.random.default_rng(7)
-_FLIPS = _SEED.integers(0, 2**63, _HASHES, dtype=np.uint64)
-_FACTORS = _SEED.integers(1, 2**62, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _SEED.integers(0, 2**63, _HASHES + MORE, dtype=np.uint64)
+_FACTORS = _SEED.integers(1, 2**62, _HASHES + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles of which signatures are computed at once, to stay in the processor's cache.
 _BLOCK = 1 << 15
 
@@ -48,10 +57,10 @@ def sets_of(columns: list, words: int) -> tuple[np.ndarray, np.ndarray, list]:
     return values, starts, set_keys(values, starts)
 
 
-def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of 16-bit hashes for each run of values that is not empty."""
+def signatures(values: np.ndarray, starts: np.ndarray, hashes: range = range(_HASHES), bits: int = 16) -> np.ndarray:
+    """A row of hashes of ``bits`` (8 or 16) for each run of values that is not empty."""
     filled = np.flatnonzero(np.diff(starts))
-    out = np.empty((len(filled), _HASHES), dtype=np.uint16)
+    out = np.empty((len(filled), len(hashes)), dtype=f"<u{bits // 8}")
     begin = 0
     while begin < len(filled):
         end = begin + 1
@@ -59,17 +68,19 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
             end += 1
         low = starts[filled[begin]]
         block, at = values[low : starts[filled[end - 1] + 1]], starts[filled[begin:end]] - low
-        for k in range(_HASHES):
-            out[begin:end, k] = np.minimum.reduceat((block ^ _FLIPS[k]) * _FACTORS[k], at) >> np.uint64(48) if len(at) else 0
+        for place, k in enumerate(hashes):
+            least = np.minimum.reduceat((block ^ _FLIPS[k]) * _FACTORS[k], at)
+            out[begin:end, place] = mix(least) >> np.uint64(64 - bits)  # the upper bits of a least value alone are nearly always 0
         begin = end
     return out
 
 
 def least_matches(share: float, compared: int, miss: float = MISS) -> int:
     """Fewest agreements out of ``compared`` at which the similarity still reaches ``share`` with probability ``miss``."""
-    total = 0.0
-    for matches in range(compared + 1):  # P(Beta(m + 1, n - m + 1) > share) = P(Binomial(n + 1, share) <= m)
-        total += comb(compared + 1, matches) * share**matches * (1 - share) ** (compared + 1 - matches)
+    total, n = 0.0, compared + 1
+    for matches in range(n):  # P(Beta(m + 1, n - m + 1) > share) = P(Binomial(n + 1, share) <= m)
+        ways = lgamma(n + 1) - lgamma(matches + 1) - lgamma(n - matches + 1)
+        total += exp(ways + matches * log(share) + (n - matches) * log(1 - share))
         if total >= miss:
             return matches
     return compared
@@ -82,7 +93,7 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, share: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, _HASHES) for c in (2, 3))
+            x, y = (_unpacked(batch.column(c), "<u2").reshape(-1, _HASHES) for c in (2, 3))
             alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), 0
             for n, least in looks:
                 matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
@@ -92,22 +103,135 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, share: float) -> DataFram
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
+def _unpacked(packed: pa.Array, kind: str) -> np.ndarray:
+    """Packed signatures, a row each."""
+    return np.frombuffer(b"".join(packed.to_pylist()), kind).reshape(len(packed), -1)
+
+
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """Keys of the bands of signatures."""
+    rows = rows.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
+    for k in range(ROWS):
+        keys = mix(keys * np.uint64(65537) + rows[:, :, k])
+    return keys.view(np.int64)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
-    """``bucket``, ``node`` and ``id`` of every band of every class."""
+    """``bucket``, ``node``, ``id`` and ``n`` of every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-                keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
-                for k in range(ROWS):
-                    keys = mix(keys * np.uint64(65537) + rows[:, :, k])
-                each = pa.array(np.repeat(np.arange(len(rows)), BANDS))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), batch.column(0).take(each), batch.column(2).take(each)], names=["bucket", "node", "id"]
-                )
+                keys = _keys(_unpacked(batch.column(1), "<u2"))
+                each = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+                columns = [pa.array(keys.ravel()), *(batch.column(c).take(each) for c in (0, 2, 3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "id", "n"])
+
+    return classes.select("node", "signature", "id", "n").mapInArrow(run, "bucket long, node binary, id long, n long")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (``a``, ``b`` and their set sizes) that neither sizes nor signatures rule out, written."""
+    near = f"{share[1]} * least(n_a, n_b) >= {share[0]} * greatest(n_a, n_b)"
+    pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return materialize(bayes_filter(pairs, classes, share[0] / share[1]), "minhash-candidates")
 
-    return classes.select("node", "signature", "id").mapInArrow(run, "bucket long, node binary, id long")
+
+def _with_one(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Each class with the class that most of its buckets name, outside its own component."""
+    met = rows.join(named, "bucket").where("component <> named.component")
+    key = F.concat_ws(" ", F.hex("named.node"), F.col("named.n"))
+    found = met.groupBy("node").agg(F.first("n").alias("n_a"), F.mode(key, True).alias("key"))
+    other = F.split("key", " ")
+    return found.select(F.col("node").alias("a"), "n_a", F.unhex(other[0]).alias("b"), other[1].cast("long").alias("n_b"))
+
+
+def _more_signatures(source: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Further hashes (``node``, ``more``) of the classes in ``rows``."""
+    shared = source.sparkSession.sparkContext.broadcast(node_filter(rows.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    hashes = range(_HASHES, _HASHES + MORE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, starts, nodes = sets_of([batch.column(0).to_pylist()], words)
+            found = {n: k for k, n in enumerate(nodes) if n is not None and in_filter(shared.value, n)}
+            runs = [values[starts[k] : starts[k + 1]] for k in found.values()]
+            ends = np.cumsum([0, *map(len, runs)])
+            packed = [row.tobytes() for row in signatures(np.concatenate([*runs, values[:0]]), ends, hashes, 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(packed, pa.binary())], names=["node", "more"])
+
+    found = source.select("text").mapInArrow(run, "node binary, more binary")
+    return found.groupBy("node").agg(F.first("more").alias("more"))
+
+
+def _tile_pairs(rows: pa.Table, share: tuple[int, int], looks: list, more_looks: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in whole tiles (rows sorted by tile and size) that nothing rules out."""
+    tile, bucket, n, block, alone = (rows[c].to_numpy() for c in ("tile", "bucket", "n", "block", "alone"))
+    component = rows["component"].to_pandas().factorize()[0]
+    short, more = (_unpacked(rows[c].combine_chunks(), k) for c, k in (("signature", "<u2"), ("more", "u1")))
+    keys = _keys(short)
+    left, right = [], []
+    alive, shift = np.arange(len(n)), 1
+    while len(alive):
+        alive = alive[alive + shift < len(n)]
+        other = alive + shift
+        near = (tile[alive] == tile[other]) & (share[1] * n[alive] >= share[0] * n[other])
+        alive, other = alive[near], other[near]
+        apart = (component[alive] != component[other]) & (bucket[alive] == bucket[other]) & (alone[alive] | (block[alive] != block[other]))
+        a, b = alive[apart], other[apart]
+        first = keys[a, (keys[a] == keys[b]).argmax(axis=1)] == bucket[a]  # each pair in one bucket
+        a, b = a[first], b[first]
+        matches, done = np.zeros(len(a), int), 0
+        for values, ends in ((short, looks), (more, more_looks)):
+            done = 0
+            for end, least in ends:
+                matches += (values[a, done:end] == values[b, done:end]).sum(axis=1)
+                fits, done = matches >= least, end
+                a, b, matches = a[fits], b[fits], matches[fits]
+        left.append(a)
+        right.append(b)
+        shift += 1
+    return np.concatenate([np.empty(0, int), *left]), np.concatenate([np.empty(0, int), *right])
+
+
+def _across(rows: DataFrame, classes: DataFrame, source: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Likely pairs of classes of different components that share a bucket, written."""
+    part = share[0] / share[1]
+    looks = [(n, least_matches(part, n)) for n in range(BATCH, _HASHES + 1, BATCH)]
+    more_looks = [(n, least_matches(part, _HASHES + n)) for n in MORE_LOOKS]
+    columns = ["tile", "bucket", "n", "block", "alone", "component", "node", "signature", "more"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            a, b = _tile_pairs(rows, share, looks, more_looks)
+            nodes = rows["node"].combine_chunks()
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= CHUNK:
+                whole = pa.concat_tables(held)
+                tile = whole["tile"].to_numpy()
+                cut = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+                if cut:
+                    yield pairs(whole.slice(0, cut))
+                held = [whole.slice(cut)]
+        if held:
+            yield pairs(pa.concat_tables(held))
+
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    blocks = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), "blocks"))
+    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    met = met.withColumns({"tile": tile, "alone": F.col("block") == F.col("other")})
+    # in a tile of two blocks, rows of either carry the other one
+    signed = classes.select("node", "signature").join(_more_signatures(source, rows, words), "node")
+    full = met.join(signed, "node").select(columns).repartition("tile").sortWithinPartitions("tile", "n")
+    found = full.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(found, "minhash-candidates")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -128,30 +252,22 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     docs = materialize(source.mapInArrow(signed, "id long, n_shingles long, node binary, signature binary"), "minhash-documents")
     first = F.min(F.struct("id")).alias("first")
-    classes = docs.where("node IS NOT NULL").groupBy("node").agg(first, F.first("signature").alias("signature"))
-    classes = materialize(classes.select("node", F.col("first.id").alias("id"), "signature"), "minhash-classes")
-
-    bands = _bands(classes)
-    shared = bands.groupBy("bucket").agg(F.min(F.struct("id", "node")).alias("hub"), F.count("*").alias("size"))
-    shared = materialize(shared.where("size > 1").select("bucket", F.col("hub.node").alias("hub")), "minhash-buckets")
-    full = materialize(bands.join(shared, "bucket").select("bucket", "node", "hub"), "minhash-bands")
-    to_hub = full.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    likely = materialize(bayes_filter(to_hub, classes, share[0] / share[1]), "minhash-candidates")
+    classes = docs.where("node IS NOT NULL").groupBy("node").agg(first, F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = materialize(classes.select("node", F.col("first.id").alias("id"), "n", "signature"), "minhash-classes")
     sets = lambda pairs: members(source, pairs, lambda c: sets_of(c, words), ["text"])
-    links = materialize(verified(likely, sets(likely), share), "minhash-links")
-
-    grouped = components(links)
-    labelled = full.join(grouped, "node", "left").select("bucket", "node", "hub", F.coalesce("component", "node").alias("component"))
-    labelled = materialize(labelled, "minhash-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    mixed = materialize(mixed.select("bucket"), "minhash-mixed")
-    rest = materialize(labelled.where("node <> hub").join(mixed, "bucket").select("bucket", "node", "component"), "minhash-rest")
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-    across = rest.withColumnRenamed("node", "a").join(other, "bucket").where("a < b AND component <> other").select("a", "b").distinct()
-    likely = materialize(bayes_filter(across, classes, share[0] / share[1]), "minhash-candidates")
-    if not likely.isEmpty():
-        more = verified(likely, sets(likely), share)
-        grouped = components(materialize(links.unionByName(more), "minhash-links"))
+
+    rows = _bands(classes).withColumn("component", F.col("node"))
+    links = grouped = None
+    for turn in range(ROUNDS + 1):
+        place = F.struct("id", "node", "n", "component") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")
+        named = rows.groupBy("bucket").agg(F.min(place).alias("named"), F.min("component").alias("least"), F.max("component").alias("most"))
+        named = materialize(named.where("least <> most").select("bucket", "named"), "minhash-mixed")
+        rows = materialize(rows.join(named, "bucket", "left_semi"), "minhash-bands")
+        likely = _likely(_with_one(rows, named), classes, share) if turn < ROUNDS else _across(rows, classes, source, words, share)
+        found = verified(likely, sets(likely), share)
+        links = materialize(found if links is None else links.unionByName(found), "minhash-links")
+        grouped = components(links)
+        rows = rows.drop("component").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     named = classes.select("node", "id").join(grouped, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "minhash-named")

@@ -159,6 +159,35 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_duplicates(docs).count() == docs.count() and not minhash.near_duplicates(none).count()
 
 
+def test_near_duplicates_lose_no_link_near_the_threshold(spark, monkeypatch):
+    """A family of texts around the threshold, compared in blocks, against all pairs."""
+    monkeypatch.setattr(minhash, "TILE", 16)
+    draw = np.random.default_rng(5)
+    base = [f"w{n}" for n in range(150)]
+    texts = []
+    for n in range(120):
+        words = list(base)
+        for at in draw.choice(150, 2 + n % 6, replace=False):
+            words[at] = f"x{draw.integers(10**9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split(" ") for t in texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "family")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=3, share=(85, 100)).collect()}
+    assert found == dict(enumerate(label)) and len(set(label)) > 5
+
+
+def test_signatures_tell_long_texts_apart():
+    values = np.sort(np.random.default_rng(6).integers(0, 2**63, 400_000, dtype=np.uint64))
+    one, two = minhash.signatures(np.concatenate([values[::2], values[1::2]]), np.array([0, 200_000, 400_000]))
+    assert (one == two).sum() < 5
+
+
 def test_least_matches_is_the_posterior():
     draws = np.random.default_rng(1).beta(20 + 1, 5 + 1, 200_000)
     assert minhash.least_matches(0.85, 25, float((draws > 0.85).mean()) * 0.5) <= 20 <= minhash.least_matches(0.85, 25, float((draws > 0.85).mean()) * 1.5)
