@@ -674,10 +674,10 @@ def standardize(spark, folder):
 
 
 def _training_windows(spark, folder):
-    """Scaled windows with labels, split into train and test parts."""
-    windows = materialize(features.sliding_features(tables.labelled(readings(spark, folder))), "windows")
-    scaled = learn.Scaler.fit(windows, features.FEATURE_NAMES).transform(windows)
-    return faults.stratified_split(scaled)
+    """Windows with labels, split into train and test parts, both scaled by the train part."""
+    windows = faults.stratified_split(features.sliding_features(tables.labelled(readings(spark, folder))))
+    windows = materialize(windows, "windows")
+    return learn.Scaler.fit(windows.filter("NOT is_test"), features.FEATURE_NAMES).transform(windows)
 
 
 def _test_metrics(test, predicted_id):
