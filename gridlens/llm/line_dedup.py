@@ -8,12 +8,11 @@ so classes meet by these prefix words. Words counted once meet nobody and are le
 has to pass the length filter, the positional filter, and a bound on the overlap from bit parities of both
 sets, of 64 bits for short lines and up to 1,024 for long ones; then similarity is checked on the full sets.
 
-A task that holds all classes with a prefix word does not emit all its pairs: a pair is left out where
-earlier pairs already connect its lines. Where every emitted pair is confirmed nothing is lost by that; for
-groups in which one is not, all pairs across the components found are emitted and checked. Words
-above ``TILE`` lines are split into blocks that meet pairwise in tasks of their own.
-
-Of each group of lines connected by links the first one (by document, then line) stays, the others go.
+A line goes if it matches a line before it (by document, then line), whether that one stays or not; so it needs
+one confirmed pair with an earlier class, and only pairs for lines without one are looked for. A task that holds all
+classes with a prefix word first emits few pairs for each; lines of which none is confirmed are compared
+again with more, in the last of the ``ROUNDS`` with all. Words above ``TILE`` lines are split into blocks that meet
+pairwise in tasks of their own.
 
 Cases: lines without words always stay; a null text stays null; text is split at line feeds only; rows that
 repeat an id count as documents in the order they are read; a null id comes first.
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.links import components, members, verified
+from gridlens.llm.links import members, verified
 from gridlens.llm.words import distinct, mix, set_keys, word_hashes
 from gridlens.session import materialize
 
@@ -39,6 +38,8 @@ COUNTERS, PART = 1 << 22, 1 << 16
 #: Lines with a prefix word that one task compares; rows it reads before it does so.
 TILE, CHUNK = 16_384, 400_000
 KEY_BYTES = 12
+#: Pairs with earlier lines that a task emits for a line, by round; only lines that had so many, none of them confirmed, are in the next.
+ROUNDS = (1, 16, None)
 #: A prefix word is a hash whose lowest bits hold its position, up to the largest; a capped one only weakens the filter.
 POS_BITS, POS_MOST = 8, 255
 #: Distinct words up to which parities take 1, 2 and 4 numbers of 64 bits; lines of more words take 16. More bits only strengthen the filter.
@@ -141,60 +142,66 @@ def prefixes(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: t
     return owner[wanted], place[wanted], values[wanted], bits
 
 
-def _meetings(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Parities, group: np.ndarray | None, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (sorted by token and size) that share a token and pass all filters.
+def _meetings(
+    token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Parities, first: np.ndarray, share: tuple[int, int], wanted: np.ndarray | None = None, most: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by token and size) that share a token and pass all filters, the one of lower ``first`` in front.
 
-    Without ``group`` a pair is left out if earlier ones connect its rows; with it, if both rows are of one group.
+    With ``wanted`` only those whose later row is; with ``most``, no further ones for a later row that has so many.
     """
-    label = np.arange(len(token))
+    found = np.zeros(len(token), np.int64)
     alive, shift = np.arange(len(token) - 1), 1
     while len(alive):
         alive = alive[alive + shift < len(token)]
         other = alive + shift
         near = (token[alive] == token[other]) & (share[1] * n[alive] >= share[0] * n[other])
         alive, other = alive[near], other[near]
-        together = n[alive] + n[other]
-        by_bits = (together - np.bitwise_count(bits.folded[alive] ^ bits.folded[other])) // 2
-        by_place = np.minimum(pos[alive], pos[other]) + np.minimum(n[alive] - pos[alive], n[other] - pos[other])
+        later = np.where(first[alive] < first[other], other, alive)
+        asked = first[alive] != first[other]
+        if wanted is not None:
+            asked &= wanted[later]
+        if most is not None:
+            asked &= found[later] < most
+        a, b = alive[asked], other[asked]
+        together = n[a] + n[b]
+        by_bits = (together - np.bitwise_count(bits.folded[a] ^ bits.folded[b])) // 2
+        by_place = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
         fits = (share[0] + share[1]) * np.minimum(by_bits, by_place) >= share[0] * together
-        a, b = alive[fits], other[fits]
+        a, b = a[fits], b[fits]
         together = n[a] + n[b]
         fits = (share[0] + share[1]) * ((together - bits.apart(a, b)) // 2) >= share[0] * together
         a, b = a[fits], b[fits]
-        if group is None:
-            new = label[a] != label[b]
-            a, b = a[new], b[new]
-            x, y = a, b
-            while len(x):  # give both the smaller label, until all agree
-                low = np.minimum(label[x], label[y])
-                np.minimum.at(label, label[x], low)
-                np.minimum.at(label, label[y], low)
-                while (label[label] != label).any():
-                    label = label[label]
-                differ = label[x] != label[y]
-                x, y = x[differ], y[differ]
-        else:
-            new = group[a] != group[b]
-            a, b = a[new], b[new]
         if len(a):
+            ahead = first[a] < first[b]
+            a, b = np.where(ahead, a, b), np.where(ahead, b, a)
+            np.add.at(found, b, 1)
             yield a, b
         shift += 1
 
 
-def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> DataFrame:
-    """Distinct pairs (``a``, ``b``) of classes (``node``, ``n``, ``bits``, ``prefix``, ``component``) that meet."""
-    rows = classes.select("node", "n", "bits", "component", F.explode("prefix").alias("word"))
-    if not grouped:
-        rows = rows.drop("component")
+def _around(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The classes that share a prefix word with ``wanted`` ones (``node``), with these words, and whether they are ``wanted``."""
+    token = F.shiftright("word", POS_BITS).alias("token")
+    words = classes.select("node", F.explode("prefix").alias("word"))
+    asked = words.join(wanted, "node", "left_semi").select(token).distinct()
+    near = words.select("*", token).join(asked, "token", "left_semi").groupBy("node").agg(F.collect_list("word").alias("prefix"))
+    marked = classes.drop("prefix").join(near, "node").join(wanted.withColumn("wanted", F.lit(True)), "node", "left")
+    return marked.withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+
+def _candidates(classes: DataFrame, share: tuple[int, int], most: int | None) -> DataFrame:
+    """Distinct pairs of classes (``node``, ``first``, ``n``, ``bits``, ``prefix``, ``wanted``) that meet, ``a`` before a wanted ``b``."""
+    rows = classes.select("node", "first.id", "first.row", "first.line", "n", "bits", "wanted", F.explode("prefix").alias("word"))
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         word, n = rows["word"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
         token, pos = word >> POS_BITS, word & POS_MOST
-        order = np.lexsort((n, token))
+        first = np.empty(len(token), np.int64)
+        first[np.lexsort((rows["line"].to_numpy(), rows["row"].to_numpy(), rows["id"].fill_null(0).to_numpy(), rows["id"].is_valid().to_numpy()))] = np.arange(len(token))
+        order = np.lexsort((first, n, token))
         nodes = rows["node"].combine_chunks()
-        group = rows["component"].to_pandas().factorize()[0][order] if grouped else None
         bits = Parities(rows["bits"].combine_chunks(), order)
-        for a, b in _meetings(token[order], n[order], pos[order], bits, group, share):
+        for a, b in _meetings(token[order], n[order], pos[order], bits, first[order], share, rows["wanted"].to_numpy()[order], most):
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[a])), nodes.take(pa.array(order[b]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +223,11 @@ def _candidates(classes: DataFrame, share: tuple[int, int], grouped: bool) -> Da
             yield from pairs(pa.concat_tables(held))
 
     met = rows.repartition(F.shiftright("word", POS_BITS)).sortWithinPartitions("word").mapInArrow(run, "a binary, b binary")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return met.where("a <> b").distinct()
 
 
-def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """For rows (``row``, ``id``, ``text``): each class of lines (``node``), its ``first`` line (id, row, line), and the ``component`` it is linked to."""
+def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
+    """For rows (``row``, ``id``, ``text``): each line with words (``row``, ``line``) that matches no earlier one."""
     shared = df.sparkSession.sparkContext.broadcast(rarity(df, "text").tobytes())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,30 +262,30 @@ def line_groups(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     classes = materialize(classes, "line-classes")
 
     sets = lambda pairs: members(df, pairs, lambda c: line_sets(c[0])[:3], ["text"])
-    met = materialize(_candidates(classes.withColumn("component", F.col("node")), share, False), "line-pairs")
-    links = materialize(verified(met, sets(met), share), "line-links")
-    grouped = components(links)
-    failed = met.join(links, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
-        connected = components(met)
-        open_groups = connected.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
-        again = connected.join(materialize(open_groups, "line-open"), "component").select("node")
-        again = again.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        rest = classes.join(materialize(again, "line-again"), "node")
-        more = materialize(_candidates(rest, share, True).join(met, ["a", "b"], "left_anti"), "line-pairs")
-        grouped = components(materialize(links.unionByName(verified(more, sets(more), share)), "line-links"))
-    return classes.select("node", "first").join(grouped, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    rows, links, tested = classes.withColumn("wanted", F.lit(True)), None, None
+    for most in ROUNDS:
+        met = _candidates(rows, share, most)
+        met = materialize(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "line-pairs")
+        new = materialize(verified(met, sets(met), share), "line-links")
+        tested, links = (met, new) if tested is None else (tested.unionByName(met), links.unionByName(new))
+        matched = links.select(F.col("b").alias("node")).distinct()
+        if most is None:
+            break
+        rest = tested.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= most).select("node")
+        rest = materialize(rest.join(matched, "node", "left_anti"), "line-open")
+        if rest.isEmpty():
+            break
+        rows = _around(classes, rest)
+    return classes.join(matched, "node", "left_anti").select("first.row", "first.line")
 
 
 REMOVED = "lines_removed"
 
 
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
-    """Every row of ``df`` with its text without later matches, and the numbers of the lines taken out in ``lines_removed``."""
+    """Every row of ``df`` with its text without lines that match an earlier one, and the numbers of the lines taken out in ``lines_removed``."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    groups = materialize(line_groups(rows, share), "line-groups")
-    firsts = groups.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.line")
-    kept = firsts.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    kept = unmatched(rows, share).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
     kept = materialize(kept.select(F.col("row").alias("kept_row"), "kept"), "line-kept")
     rest = df.drop(REMOVED)
     names = rest.columns

@@ -84,6 +84,52 @@ def test_line_dedup(docs, none):
     assert by_id[2][0].text is None and by_id[3][0].text == "" and by_id[5][0].text == "   \n\n" and by_id[0][0].row == "x"
 
 
+def _lines_with_earlier_match(texts):
+    """Numbers of the lines of each text that match an earlier line, by all pairs."""
+    seen, gone = [], []
+    for text in texts:
+        gone.append([])
+        for n, line in enumerate(text.split("\n")):
+            words = set(line.split())
+            if any(100 * len(words & s) >= 80 * len(words | s) for s in seen):
+                gone[-1].append(n)
+            if words:
+                seen.append(words)
+    return gone
+
+
+def test_line_without_earlier_match_stays_though_a_later_one_links_it(spark):
+    base = [f"w{n}" for n in range(20)]
+    one, two = " ".join([*base[:18], "x", "y"]), " ".join(["u", "v", *base[2:]])
+    texts = [one, two, " ".join(base), " ".join([*base[:19], "z"])]
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "bridge")
+    found = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()}
+    assert found == {0: [], 1: [], 2: [0], 3: [0]} and list(found[n] for n in range(4)) == _lines_with_earlier_match(texts)
+
+
+@pytest.mark.parametrize("tile, rounds", [(16_384, (1, 16, None)), (16, (1, 2, None))])
+def test_line_dedup_is_that_of_all_pairs(spark, monkeypatch, tile, rounds):
+    """Families of lines around the threshold, with bridges, over documents in any order of ids."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    draw = np.random.default_rng(9)
+    lines = []
+    for family in range(6):
+        size = (8, 14, 20, 30, 90, 200)[family]
+        for n in range(50):
+            words = [f"f{family}w{k}" for k in range(size)]
+            for at in draw.choice(size, max(1, size * (n % 5) // 25), replace=False):
+                words[at] = f"x{draw.integers(40)}"
+            lines.append(" ".join(words))
+    lines = [lines[k] for k in draw.permutation(len(lines))]
+    texts = ["\n".join(["", *lines[k : k + 5]]) for k in range(0, len(lines), 5)]
+    rows = list(enumerate(texts))
+    df = materialize(spark.createDataFrame([rows[k] for k in draw.permutation(len(rows))], "doc_id long, text string").repartition(4), "families")
+    found = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()}
+    expected = _lines_with_earlier_match(texts)
+    assert [found[n] for n in range(len(texts))] == expected and 100 < sum(map(len, expected)) < len(lines) - 6
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
