@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridlens.llm import ann, bpe, langid, line_dedup, links, minhash, packing, sharding, sketch, url_filter, warc
+from gridlens.llm import ann, bpe, langid, line_dedup, links, minhash, packing, queries, sharding, sketch, url_filter, warc
 from gridlens.session import materialize, scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score string, node string, shard string"
@@ -130,6 +130,13 @@ def test_line_dedup_is_that_of_all_pairs(spark, monkeypatch, tile, rounds):
     assert [found[n] for n in range(len(texts))] == expected and 100 < sum(map(len, expected)) < len(lines) - 6
 
 
+def test_line_numbers_are_those_of_the_whole_text(spark, tmp_path):
+    rows = [(0, "a b c\nd e f\n"), (1, "d e f\na b c"), (2, ""), (3, None), (4, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_lines, r.lines_removed, r.text) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {0: (3, [], rows[0][1]), 1: (2, [0, 1], ""), 2: (1, [], ""), 3: (0, [], None), 4: (1, [0], "")}
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
