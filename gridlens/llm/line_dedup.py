@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from gridlens.session import materialize
 SHARE = (80, 100)
 #: Hashed counters, in parts of so many; the table on every worker is one byte each (4 MB).
 COUNTERS, PART = 1 << 22, 1 << 16
+#: Logarithm of the tables of counters that are added up at once.
+FAN_BITS = 8
 #: Lines with a prefix word that one task compares; rows it reads before it does so.
 TILE, CHUNK = 16_384, 400_000
 KEY_BYTES = 12
@@ -59,8 +62,8 @@ def _counter(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(20)).astype(np.int64) % COUNTERS
 
 
-def rarity(df: DataFrame, text: str) -> np.ndarray:
-    """A code of each counter: its number of lines up to 16, above that its logarithm."""
+def counted(df: DataFrame, text: str) -> DataFrame:
+    """Parts (``part``) of tables of counters (``counts``), of which each ``task`` has one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.uint32)
@@ -71,15 +74,34 @@ def rarity(df: DataFrame, text: str) -> np.ndarray:
             at = np.repeat(starts[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             np.add.at(counts, _counter(values[at]), 1)
         if counts.any():
-            parts = [counts[at : at + PART].astype("<u4").tobytes() for at in range(0, COUNTERS, PART)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+            parts = [counts[at : at + PART].astype("<u8").tobytes() for at in range(0, COUNTERS, PART)]
+            task = pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), task, pa.array(parts, pa.binary())], names=["part", "task", "counts"])
+
+    return df.select(text).mapInArrow(count, "part int, task int, counts binary")
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """Parts of the tables of every ``2 ** FAN_BITS`` tasks added up to one."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = sum((np.frombuffer(c, "<u8") for c in rows["counts"]), np.zeros(PART, np.uint64))
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "task": rows["task"].iloc[:1], "counts": [counts.astype("<u8").tobytes()]})
+
+    fewer = parts.withColumn("task", F.shiftright("task", FAN_BITS))
+    return fewer.groupBy("part", "task").applyInPandas(add, "part int, task int, counts binary")
+
+
+def rarity(df: DataFrame, text: str) -> np.ndarray:
+    """A code of each counter: its number of lines up to 16, above that its logarithm."""
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = sum((np.frombuffer(c, "<u4").astype(np.int64) for c in rows["counts"]), np.zeros(PART, np.int64))
+        counts = sum((np.frombuffer(c, "<u8").astype(np.int64) for c in rows["counts"]), np.zeros(PART, np.int64))
         codes = np.where(counts <= 16, counts, np.minimum(16 + 8 * np.log2(np.maximum(counts, 16) / 16), 255)).astype(np.uint8)
         return pd.DataFrame({"part": rows["part"].iloc[:1], "codes": [codes.tobytes()]})
 
-    parts = df.select(text).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(total, "part int, codes binary")
+    # At most 256 tables at once: of up to 16 million tasks the last step has 256.
+    parts = added(added(counted(df, text))).groupBy("part").applyInPandas(total, "part int, codes binary")
     codes = np.zeros(COUNTERS, dtype=np.uint8)
     for row in parts.collect():
         codes[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.codes, np.uint8)

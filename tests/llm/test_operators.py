@@ -137,6 +137,23 @@ def test_line_numbers_are_those_of_the_whole_text(spark, tmp_path):
     assert found == {0: (3, [], rows[0][1]), 1: (2, [0, 1], ""), 2: (1, [], ""), 3: (0, [], None), 4: (1, [0], "")}
 
 
+def test_counters_are_added_up_in_steps(spark, monkeypatch):
+    """Rows of a part fall with each step, whatever the number of tasks, and nothing is left out."""
+    monkeypatch.setattr(line_dedup, "FAN_BITS", 2)
+    rows = [(n, f"common first{n}\nonly{n} common") for n in range(60)]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), "counted")
+    df = df.repartition(20)
+    steps = [line_dedup.counted(df, "text")]
+    steps += [line_dedup.added(steps[0])]
+    steps += [line_dedup.added(steps[1])]
+    counts = [{r.part: r.n for r in s.groupBy("part").agg(F.count("*").alias("n")).collect()} for s in steps]
+    assert [set(c.values()) for c in counts] == [{20}, {5}, {2}]
+    values = line_dedup.word_hashes([b"common only7"])[0]
+    codes = line_dedup.rarity(df, "text")[line_dedup._counter(values)].tolist()
+    lines = {w: sum(w in line.split() for _, t in rows for line in t.split("\n")) for w in ("common", "only7")}
+    assert codes[:2] == [int(16 + 8 * np.log2(lines["common"] / 16)), 1] and lines == {"common": 120, "only7": 1}
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
