@@ -702,7 +702,7 @@ def detector_train_metrics(spark, folder):
 @query
 def random_forest(spark, folder):
     windows = _training_windows(spark, folder)
-    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=20, depth=8)
+    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES)
     test = learn.forest_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), model)
     return _test_metrics(test, S.predicted_class("rf"))
 
@@ -710,7 +710,7 @@ def random_forest(spark, folder):
 @query
 def gradient_boosting(spark, folder):
     windows = _training_windows(spark, folder)
-    models = learn.fit_boosted(windows.filter("NOT is_test"), features.FEATURE_NAMES, rounds=3, depth=3)
+    models = learn.fit_boosted(windows.filter("NOT is_test"), features.FEATURE_NAMES)
     test = learn.boosted_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), models)
     return _test_metrics(test, S.predicted_class("gb"))
 
@@ -718,13 +718,13 @@ def gradient_boosting(spark, folder):
 @query
 def cross_validate(spark, folder):
     windows = _training_windows(spark, folder)
-    return learn.cross_validate(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=10, depth=6)
+    return learn.cross_validate(windows.filter("NOT is_test"), features.FEATURE_NAMES)
 
 
 @query
 def feature_importance(spark, folder):
     windows = _training_windows(spark, folder)
-    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES, trees=20, depth=8)
+    model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES)
     return learn.feature_importance(spark, model, features.FEATURE_NAMES)
 
 
@@ -738,7 +738,7 @@ def learned_forecaster(spark, folder):
 @query
 def score_readings(spark, folder):
     rows = tables.labelled(readings(spark, folder))
-    models = scoring.train(rows, trees=20, depth=5, rounds=2)
+    models = scoring.train(rows)
     scored = scoring.score_readings(rows, models)
     return scored.select(*READING, "score", "is_anomaly", "is_outlier", "fault_id", "fault_name", "confidence")
 
@@ -748,7 +748,7 @@ def fit_or_load(spark, folder):
     """Scores with models that were saved and loaded again."""
     rows = tables.labelled(readings(spark, folder))
     path = scratch_path(spark, "models")
-    scoring.fit_or_load(spark, path, rows, trees=10, depth=4, rounds=1)
+    scoring.fit_or_load(spark, path, rows)
     models = scoring.fit_or_load(spark, path, rows)
     return scoring.score_readings(rows, models).select(*READING, "score", "is_outlier", "fault_id")
 
@@ -813,7 +813,7 @@ def stream_features(spark, folder):
 @query
 def stream_scores(spark, folder):
     """Windows of a stream scored with models trained on the table."""
-    models = scoring.train(tables.labelled(readings(spark, folder)), trees=10, depth=4, rounds=1)
+    models = scoring.train(tables.labelled(readings(spark, folder)))
     scored = scoring.score_windows(state.window_features(_reading_stream(spark, folder)), models)
     return rounded(jobs.run_to_table(scored.select(*READING, "decision", "fault_id", "confidence")))
 

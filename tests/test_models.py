@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
+from gridlens.catalog import queries
 from gridlens.config import Settings
 from gridlens.operators import features, forest, learn
 from gridlens.plans import scoring
@@ -47,6 +49,38 @@ def test_each_tree_has_its_sample(spark):
         assert len(sizes) == trees and all(r["n"] == r["d"] == 256 for r in sizes)
 
 
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["random_forest", "feature_importance", "cross_validate", "gradient_boosting", "score_readings", "fit_or_load", "stream_scores"])
+def test_registered_queries_train_whole_models(spark, monkeypatch, name):
+    """What each registered query asks of the learners, which are not run."""
+    asked = {}
+
+    def learner(kind, last):
+        class Learner:
+            def __init__(self, **options):
+                asked.update({(kind, k): v for k, v in options.items() if k in ("numTrees", "maxDepth", "maxIter")})
+                if last:
+                    raise Asked
+
+            def fit(self, rows):
+                return None
+
+        return Learner
+
+    trained = name in ("score_readings", "fit_or_load", "stream_scores")
+    monkeypatch.setattr(learn, "RandomForestClassifier", learner("forest", not trained))
+    monkeypatch.setattr(learn, "GBTClassifier", learner("boosted", True))
+    monkeypatch.setattr(scoring, "fit_isolation_forest", lambda df, names, trees=None, settings=None: asked.update({("detector", "trees"): trees or settings.trees}))
+    with pytest.raises(Asked):
+        queries.QUERIES[name](spark, SMALL)
+    whole = {("forest", "numTrees"): 200, ("forest", "maxDepth"): 15, ("boosted", "maxIter"): 150, ("boosted", "maxDepth"): 8, ("detector", "trees"): 200}
+    parts = {"forest", "boosted", "detector"} if trained else {"boosted"} if name == "gradient_boosting" else {"forest"}
+    assert asked == {k: v for k, v in whole.items() if k[0] in parts}
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, n, float(n % 5)) for n in range(20)], "device_id int, seq int, a double")
     model = forest.fit_isolation_forest(df, ["a"], trees=5)
