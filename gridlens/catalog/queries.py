@@ -625,7 +625,7 @@ def minmax_scale(spark, folder):
 
 @query
 def stratified_split(spark, folder):
-    return faults.stratified_split(tables.labelled(readings(spark, folder))).select(*READING, "fault_label", "is_test")
+    return faults.stratified_split(tables.labelled(readings(spark, folder)), key=("seq",)).select(*READING, "fault_label", "is_test")
 
 
 @query
@@ -675,8 +675,8 @@ def standardize(spark, folder):
 
 def _training_windows(spark, folder):
     """Windows with labels, split into train and test parts, both scaled by the train part."""
-    windows = faults.stratified_split(features.sliding_features(tables.labelled(readings(spark, folder))))
-    windows = materialize(windows, "windows")
+    windows = materialize(features.sliding_features(tables.labelled(readings(spark, folder))), "windows")
+    windows = faults.stratified_split(windows)
     return learn.Scaler.fit(windows.filter("NOT is_test"), features.FEATURE_NAMES).transform(windows)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.config import FAULT_NAMES, KEYS
 from gridlens.functions.numeric import half_up, sdiv
 from gridlens.functions.scalar import fault_name
-from gridlens.operators.ordered import GROUP_LIMIT, group_sizes, latest
+from gridlens.operators.ordered import latest
 
 
 def fault_distribution(df: DataFrame, last_n: int = 100, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -67,9 +67,10 @@ def label_distribution(df: DataFrame, label: str = "fault_label") -> DataFrame:
 MOST_LABELS = 10_000
 
 
-def hash_rank(key: str) -> Column:
-    """A reproducible shuffle key: 32 bits of an MD5 digest, as a number."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+def hash_rank(*key: str) -> Column:
+    """A reproducible shuffle key: 32 bits of an MD5 digest, as a number; a null counts as an empty text."""
+    text = F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def _local(df: DataFrame) -> DataFrame:
@@ -78,45 +79,39 @@ def _local(df: DataFrame) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, share: float = 0.2, label: str = "fault_label", key: str = "seq", limit: int | None = None
+    df: DataFrame, share: float = 0.2, label: str = "fault_label", key: Sequence[str] = ("device_id", "seq"), limit: int | None = None
 ) -> DataFrame:
     """Mark the test part, the same share of each label, as ``is_test``.
 
-    The test rows of a label are those with the lowest digests of ``key``, which is unique. While
-    every label fits in one task, its rows are ranked. Beyond that, digests fall evenly into 2^20
-    ranges; row counts per range tell in which one a label's border lies, and only the rows of
-    that range are ranked to find it. Marking the rows is then a comparison per row.
+    The test rows of a label are those with the lowest digests of ``key``, which is unique. Digests
+    fall evenly into 2^20 ranges; row counts per range tell in which one a label's border lies, and
+    only the rows of that range are ranked to find it. Marking the rows is then a comparison per row.
+    ``limit`` has no effect: there is one way at every size.
     """
-    _, largest = group_sizes(df, (label,), exact=limit is not None)
-    if largest <= (limit or GROUP_LIMIT):
-        same = Window.partitionBy(label)
-        rank = F.row_number().over(same.orderBy("_h", key))
-        share_of = F.floor(F.count(F.lit(1)).over(same) * share + 0.5)
-        return df.withColumn("_h", hash_rank(key)).withColumn("is_test", rank <= share_of).drop("_h")
     labels = df.select(label).distinct().limit(MOST_LABELS + 1).count()
     # With more labels than that, the tables below stay distributed and Spark chooses the joins.
     local = _local if labels <= MOST_LABELS else lambda rows: rows
-    coded = df.select(label, key).withColumn("_h", hash_rank(key)).withColumn("_range", F.shiftright("_h", 12))
-    upto = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(hash_rank(*key).alias("_h"), *key)
+    coded = df.select(F.col(label).alias("_label"), place.alias("_place")).withColumn("_range", F.shiftright("_place._h", 12))
+    upto = Window.partitionBy("_label").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
-        coded.groupBy(label, "_range")
+        coded.groupBy("_label", "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(label))})
+        .withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy("_label"))})
         .withColumn("_take", F.floor(F.col("_all") * share + 0.5))
         .filter("_upto >= _take AND _upto - _n < _take")
-        .select(label, "_range", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest"))
+        .select(F.col("_label").alias("_of"), F.col("_range").alias("_in"), (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest"))
     )
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy("_place"))
     borders = (
-        coded.join(local(ranges), [label, "_range"])
+        coded.join(local(ranges), F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_rest"))
-        .select(label, F.col("_h").alias("_border"), F.col(key).alias("_last"))
+        .select(F.col("_label").alias("_of"), F.col("_place").alias("_border"))
     )
+    placed = df.join(local(borders), F.col(label).eqNullSafe(F.col("_of")), "left")
     # A label whose share rounds to no rows has no border.
-    below = (F.col("_h") < F.col("_border")) | ((F.col("_h") == F.col("_border")) & (F.col(key) <= F.col("_last")))
-    placed = df.withColumn("_h", hash_rank(key)).join(local(borders), label, "left")
-    return placed.withColumn("is_test", F.coalesce(below, F.lit(False))).drop("_h", "_border", "_last")
+    return placed.withColumn("is_test", F.coalesce(place <= F.col("_border"), F.lit(False))).drop("_of", "_border")
 
 
 def confusion(df: DataFrame, label: str = "fault_label", predicted: str = "fault_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import ceil, log2
+from math import ceil, exp, lgamma, log, log1p, log2
 
 import numpy as np
 import pandas as pd
@@ -130,20 +130,28 @@ def _share(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def _at_least(trees: int, p: float) -> list[float]:
+    """For 1, 2, ... the probability that at least so many of ``trees`` draw a row, each with probability ``p``; ends below a draw's precision."""
+    if p >= 1:
+        return [1.0] * trees
+    k = range(trees + 1)
+    exact = [exp(lgamma(trees + 1) - lgamma(n + 1) - lgamma(trees - n + 1) + n * log(p) + (trees - n) * log1p(-p)) for n in k]
+    tails = np.cumsum(exact[:0:-1])[::-1]
+    return [float(t) for t in tails if t > 2.0**-40]
+
+
 def tree_samples(df: DataFrame, rows: int, trees: int, sample: int, seed: int, key: Sequence[str]) -> DataFrame:
     """Up to ``sample`` random rows for each tree, as ``tree`` next to the columns of ``df``.
 
-    Where there are plenty of rows, each goes to one tree at most, so that a single hash per row
-    decides; otherwise every tree draws from all rows.
+    Every tree draws from all rows. One hash per row tells how many trees draw it, most often none; only for
+    the others further hashes tell which trees.
     """
-    need = trees * sample * SPARE
-    draw = _share(*key, F.lit(seed))
-    if rows > need:
-        drawn = df.filter(draw < need / rows).withColumn("tree", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-        drawn = drawn.withColumn("_draw", draw)
-    else:
-        drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("_draw", _share(*key, "tree", F.lit(seed))).filter(F.col("_draw") < sample * SPARE / rows)
+    tails = _at_least(trees, min(1.0, sample * SPARE / rows))
+    times = F.size(F.filter(F.array(*[F.lit(t) for t in tails]), lambda t: F.col("_draw") < t))
+    order = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(*key, t, F.lit(seed + 1)), t.alias("tree")))
+    drawn = df.withColumn("_draw", _share(*key, F.lit(seed))).filter(F.col("_draw") < tails[0]) if tails else df.withColumn("_draw", F.lit(1.0)).limit(0)
+    drawn = drawn.withColumn("tree", F.explode(F.slice(F.array_sort(order), 1, times))).withColumn("tree", F.col("tree.tree"))
+    drawn = drawn.withColumn("_draw", _share(*key, "tree", F.lit(seed)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", *key))
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= sample).drop("_draw", "_rank")
 

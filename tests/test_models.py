@@ -1,5 +1,7 @@
 """Models find what was planted and survive saving."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlens.catalog import queries
 from gridlens.config import Settings
-from gridlens.operators import features, forest, learn
+from gridlens.operators import faults, features, forest, learn
 from gridlens.plans import scoring
 from gridlens.operators.faults import classification_metrics, confusion, stratified_split
 from gridlens.functions import scalar
@@ -49,6 +51,32 @@ def test_each_tree_has_its_sample(spark):
         assert len(sizes) == trees and all(r["n"] == r["d"] == 256 for r in sizes)
 
 
+def test_trees_draw_from_all_rows_at_every_size(spark):
+    """Rows that several trees hold are as many as independent draws give, below and far above trees * sample."""
+    for rows, trees, sample in ((2_000, 10, 100), (40_000, 10, 256), (40_000, 100, 64)):
+        df = spark.range(rows).select(F.lit(0).alias("device_id"), F.col("id").alias("seq"))
+        drawn = forest.tree_samples(df, rows, trees, sample, 7, ("device_id", "seq"))
+        held = drawn.groupBy("seq").agg(F.count("*").alias("n"), F.countDistinct("tree").alias("d")).toPandas()
+        assert (held["n"] == held["d"]).all() and held["n"].sum() == trees * sample
+        p = sample / rows
+        several = rows * (1 - (1 - p) ** trees - trees * p * (1 - p) ** (trees - 1))
+        assert several > 60 and abs((held["n"] > 1).sum() - several) < 4 * several**0.5
+
+
+def test_split_is_exact_when_devices_number_their_own_rows(spark, monkeypatch):
+    """The same rows as by ranking (digest, device, number), whatever the limit and the order of rows."""
+    rows = [(d, n, [0, 1, None][(d + n) % 3]) for d in range(40) for n in range(25)]
+    df = spark.createDataFrame(rows, "device_id long, seq long, fault_label int")
+    expected = set()
+    for label in (0, 1, None):
+        of = sorted((int(hashlib.md5(f"{d},{n}".encode()).hexdigest()[:8], 16), d, n) for d, n, k in rows if k == label)
+        expected |= {x[1:] for x in of[: int(len(of) * 0.2 + 0.5)]}
+    for limit, many in ((None, 10_000), (20, 10_000), (None, 1)):
+        monkeypatch.setattr(faults, "MOST_LABELS", many)
+        found = stratified_split(df.repartition(5, "seq"), limit=limit).collect()
+        assert len(found) == 1000 and {(r.device_id, r.seq) for r in found if r.is_test} == expected
+
+
 class Asked(Exception):
     pass
 
