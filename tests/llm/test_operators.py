@@ -365,3 +365,37 @@ def test_pipeline(spark, docs, none):
             left = materialize(left, name)
         corpus_pipeline.STAGES[-1][1](spark, left, "").count()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "packing"]
+
+
+def test_pipeline_stages_are_those_of_plain_python(spark):
+    """A near copy with other line ends, repeated lines, a document of repeated lines only, and texts without letters."""
+    draw = np.random.default_rng(12)
+    vocabulary = {"en": ["".join(draw.choice(list("abcdefghi"), 6)) for _ in range(80)], "de": ["".join(draw.choice(list("mnopqrstu"), 6)) for _ in range(80)]}
+    words = [[str(w) for w in draw.choice(vocabulary[["en", "de"][n % 2]], 45)] for n in range(60)]
+    broken = lambda w, cuts: "\n".join(" ".join(w[a:b]) for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True))
+    texts = [broken(w, (15, 30)) for w in words]
+    first, third = texts[0].split("\n"), texts[2].split("\n")
+    texts += [broken([*words[4][:44], words[6][0]], (7, 22, 37)), "\n".join([third[1], broken(words[8][::-1], (20,))]), "\n".join([first[0], third[0]]), None, "12 34 !!"]
+    rows = [(n, t, ["en", "de"][n % 2 if n < 60 else 0], None, len(t or ""), "x", "y", "n", "s") for n, t in enumerate(texts)]
+    left = materialize(spark.createDataFrame(rows, SCHEMA).repartition(3), "stages")
+    expected = {n: t for n, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    stages = dict(corpus_pipeline.STAGES)
+
+    left = materialize(stages["language"](spark, left, ""), "language")
+    assert {r.doc_id: r.text for r in left.collect()} == expected and len(expected) == 63
+
+    gone = _lines_with_earlier_match(list(expected.values()))
+    cut = {n: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for (n, t), g in zip(expected.items(), gone, strict=True)}
+    expected = {n: t for n, t in cut.items() if t.split()}
+    left = materialize(stages["lines"](spark, left, ""), "lines")
+    assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {n: (t, len(t)) for n, t in expected.items()} and sum(map(len, gone)) == 3 and len(expected) == 62
+
+    sets = {n: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for n, t in expected.items()}
+    expected = {n: t for n, t in expected.items() if not any(m < n and 100 * len(sets[m] & sets[n]) >= 85 * len(sets[m] | sets[n]) for m in sets)}
+    left = materialize(stages["near_duplicates"](spark, left, ""), "near")
+    assert {r.doc_id: r.text for r in left.collect()} == expected and len(expected) == 61 and 60 not in expected
+
+    tokenizer, pieces = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}
+    for r in sorted(stages["packing"](spark, left, "").collect(), key=lambda r: (r.doc_id, r.start)):
+        pieces.setdefault(r.doc_id, []).extend(np.frombuffer(r.tokens, "<u4").tolist())
+    assert pieces == {n: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for n, t in expected.items()}
