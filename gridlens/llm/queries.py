@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import ann, bpe, langid, line_dedup, minhash, packing, sharding, sketch, url_filter, warc
+from gridlens.llm import ann, bpe, exact_dedup, importance, langid, line_dedup, merkle, minhash, packing, sharding, sketch, url_filter, warc
 from gridlens.llm.units import BATCH_ROWS
 from gridlens.session import materialize, scratch_path
 
@@ -102,4 +102,25 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neighbours, op2_shards, op3_url_filter, op4_line_dedup, op5_byte_bpe, op6_minhash, op7_fingerprints, op8_language, op9_warc, op10_packing)}
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The row of equal texts that stays, for every document."""
+    return exact_dedup.dedup(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of all documents, and what their proofs say once a fifth of them is tampered with."""
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    evidence = merkle.leaf(*[F.col(c) for c in merkle.FIELDS[:-1]], tampered)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = merkle.leaves(spark.read.parquet(f"{folder}/documents.parquet"), F.when(chosen, evidence))
+    found = merkle.manifest(leaves).withColumn("verified", F.col("folded_root") == F.col("root"))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents with 20 words or more, drawn towards the benchmark."""
+    docs, target = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    return importance.resample(docs, target, percent=10)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neighbours, op2_shards, op3_url_filter, op4_line_dedup, op5_byte_bpe, op6_minhash, op7_fingerprints, op8_language, op9_warc, op10_packing, op11_exact_dedup, op12_merkle, op13_importance)}
