@@ -8,7 +8,7 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -44,27 +44,35 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _canonical(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if str(df[c].dtype).startswith("datetime"):
-            df[c] = df[c].astype("datetime64[us]")
-    return df.sort_values(list(df.columns), ignore_index=True)
+def _kind(kind: pa.DataType) -> pa.DataType:
+    """A type without what the engines state differently: the unit of times, and the width of texts and of whole numbers."""
+    if pa.types.is_timestamp(kind):
+        return pa.timestamp("us")
+    if pa.types.is_integer(kind) or pa.types.is_decimal(kind) and kind.scale == 0:
+        return pa.int64()
+    return pa.string() if pa.types.is_large_string(kind) else kind
 
 
-def difference(found: pd.DataFrame, expected: pd.DataFrame) -> str | None:
-    """What differs between the two results, or nothing."""
-    if sorted(found.columns) != sorted(expected.columns):
-        return f"columns {sorted(found.columns)} vs {sorted(expected.columns)}"
+def _canonical(table: pa.Table) -> pa.Table:
+    """Columns by name and rows in order."""
+    names = sorted(table.column_names)
+    table = pa.table({c: table[c].cast(_kind(table[c].type)) for c in names})
+    return table.sort_by([(c, "ascending") for c in names]) if len(table) else table
+
+
+def difference(found: pa.Table, expected: pa.Table) -> str | None:
+    """What differs between the two results, or nothing; types are those of Arrow, where nulls do not change them."""
+    if sorted(found.column_names) != sorted(expected.column_names):
+        return f"columns {sorted(found.column_names)} vs {sorted(expected.column_names)}"
     if len(found) != len(expected):
         return f"rows {len(found)} vs {len(expected)}"
     a, b = _canonical(found), _canonical(expected)
-    kinds = [(c, str(a[c].dtype), str(b[c].dtype)) for c in a if str(a[c].dtype) != str(b[c].dtype)]
-    for c in a:
-        same = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
-        if not same.all():
-            at = (~same).idxmax()
-            return f"{c}: {(~same).sum()} of {len(a)} differ, e.g. {a[c][at]!r} vs {b[c][at]!r} {kinds}"
+    kinds = [(c, str(a[c].type), str(b[c].type)) for c in a.column_names if a[c].type != b[c].type]
+    for c in a.column_names:
+        x, y = a[c].to_pylist(), b[c].to_pylist()
+        apart = [n for n, (v, w) in enumerate(zip(x, y, strict=True)) if v != w and not (v != v and w != w)]
+        if apart:
+            return f"{c}: {len(apart)} of {len(x)} differ, e.g. {x[apart[0]]!r} vs {y[apart[0]]!r} {kinds}"
     return f"types {kinds}" if kinds else None
 
 
@@ -76,12 +84,12 @@ def main() -> None:
     for name in sys.argv[2:] or queries:
         start, found = time.time(), ()
         try:
-            found = queries[name](spark, folder).toPandas()
+            found = queries[name](spark, folder).toArrow()
             took = time.time() - start
             if name not in oracles:
                 note = "rows only" if len(found) else "EMPTY"
             else:
-                note = difference(found, con.execute(oracles[name]).df()) or "ok"
+                note = difference(found, con.execute(oracles[name]).to_arrow_table()) or "ok"
                 if not len(found):
                     note += " EMPTY"
         except Exception as e:
