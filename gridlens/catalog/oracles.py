@@ -325,6 +325,33 @@ MODEL_ALERTS = " UNION ALL ".join(
     ]
 )
 O["threshold_alerts"] = f"WITH b AS ({READINGS}) {LIMIT_ALERTS}"
+
+# Settings of each device, as they hold at each reading.
+SETTINGS = f"""SELECT device_id, CASE WHEN device_id % 10 <> 1 THEN ts ELSE TIMESTAMP '1900-01-01' END AS valid_from,
+  least(100, greatest(0.01e0, floor(current))) AS rate, least(500, greatest(100, floor(voltage) + 5)) AS v_high,
+  CASE WHEN seq % 2 = 0 THEN 200e0 ELSE least(400, greatest(50, floor(voltage) - 20)) END AS v_low,
+  least(100, greatest(1, floor(current + 2))) AS i_max, least(50000, greatest(100, floor(power / 2))) AS p_max,
+  CASE WHEN seq % 4 = 1 THEN 'EUR' ELSE '£' END AS cur
+FROM ({READINGS}) WHERE seq % 9 = 0 AND device_id % 10 <> 0 AND (device_id % 10 <> 1 OR seq % 27 = 0)"""
+#: Of versions with the same time the largest values hold.
+VERSIONS = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, valid_from
+  ORDER BY rate DESC, v_high DESC, v_low DESC, i_max DESC, p_max DESC, cur DESC) AS k FROM ({SETTINGS})) WHERE k = 1"""
+
+
+def configured(base: str) -> str:
+    return f"""SELECT b.*, coalesce(rate, 6.5e0) AS rate, coalesce(v_high, 250e0) AS v_high, coalesce(v_low, 200e0) AS v_low, coalesce(i_max, 15e0) AS i_max,
+  coalesce(p_max, 3000e0) AS p_max, coalesce(cur, '₹') AS cur
+FROM ({base}) b ASOF LEFT JOIN ({VERSIONS}) v ON b.device_id = v.device_id AND b.ts >= v.valid_from"""
+
+
+O["alerts_with_settings"] = f"WITH b AS ({configured(READINGS)}) " + " UNION ALL ".join(
+    [
+        _alert(1, "overvoltage", f"concat('⚡ OVERVOLTAGE: ', {text('voltage', 1)}, 'V (limit: ', v_high, 'V)')", "danger", "voltage > v_high"),
+        _alert(2, "undervoltage", f"concat('🔋 UNDERVOLTAGE: ', {text('voltage', 1)}, 'V (min: ', v_low, 'V)')", "danger", "voltage < v_low"),
+        _alert(3, "overcurrent", f"concat('🔥 OVERCURRENT: ', {text('current', 2)}, 'A (limit: ', i_max, 'A)')", "danger", "current > i_max"),
+        _alert(4, "overload", f"concat('💥 OVERLOAD: ', {text('power', 0)}, 'W (limit: ', p_max, 'W)')", "danger", "power > p_max"),
+    ]
+)
 O["model_alerts"] = f"WITH b AS ({PREDICTED}) {MODEL_ALERTS}"
 O["fault_lookup"] = f"""WITH t AS (SELECT device_id, seq, CAST(fault_id + seq % 4 AS INT) AS code FROM ({PREDICTED}))
 SELECT device_id, seq, code, {name_of('code')} AS fault_name, {name_of('code', "concat('Unknown Fault (', code, ')')")} AS fault_title,
@@ -402,6 +429,19 @@ g AS (SELECT device_id, coalesce(sum(kwh) FILTER (WHERE d = l), 0) AS today, coa
   coalesce(sum(kwh) FILTER (WHERE date_trunc('month', d) = date_trunc('month', l)), 0) AS month, sum(kwh) AS total FROM s GROUP BY 1),
 u AS (SELECT device_id, unnest(['today', 'week', 'month', 'total']) AS period, unnest([today, week, month, total]) AS k FROM g)
 SELECT device_id, period, {r('k')} AS energy_kwh, {r('k * 6.5e0', 2)} AS cost FROM u"""
+O["energy_audit_with_settings"] = f"""WITH s AS (SELECT *, kwh * rate AS spent, CAST(ts AS DATE) AS d, CAST(max(ts) OVER (PARTITION BY device_id) AS DATE) AS l FROM ({configured(parts(READINGS))})),
+u AS (SELECT device_id, unnest(['today', 'week', 'month', 'total']) AS period, unnest([coalesce(sum(kwh) FILTER (WHERE d = l), 0),
+  coalesce(sum(kwh) FILTER (WHERE date_trunc('week', d) = date_trunc('week', l)), 0), coalesce(sum(kwh) FILTER (WHERE date_trunc('month', d) = date_trunc('month', l)), 0), sum(kwh)]) AS k,
+  unnest([coalesce(sum(spent) FILTER (WHERE d = l), 0), coalesce(sum(spent) FILTER (WHERE date_trunc('week', d) = date_trunc('week', l)), 0),
+  coalesce(sum(spent) FILTER (WHERE date_trunc('month', d) = date_trunc('month', l)), 0), sum(spent)]) AS c FROM s GROUP BY device_id)
+SELECT device_id, period, {r('k')} AS energy_kwh, {r('c', 2)} AS cost FROM u"""
+O["energy_report_with_settings"] = f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY power DESC, ts, seq) AS pk,
+  row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, seq DESC) AS age FROM ({configured(parts(READINGS))})),
+g AS (SELECT device_id, count(*) AS samples, sum(kwh) AS kwh, sum(kwh * rate) AS spent, greatest(max(power), 0) AS peak_power,
+  max(CASE WHEN pk = 1 AND power > 0 THEN ts END) AS peak_power_time,
+  max(CASE WHEN age = 1 THEN CASE WHEN power > p_max THEN 'OVERLOAD!' WHEN power > p_max * 0.7e0 THEN 'HIGH LOAD' WHEN power > p_max * 0.3e0 THEN 'NORMAL' ELSE 'LIGHT' END END) AS load_status
+FROM p GROUP BY 1)
+SELECT device_id, samples, {r('kwh')} AS energy_kwh, {r('spent', 2)} AS cost, peak_power, peak_power_time, load_status FROM g"""
 O["alert_summary"] = f"""WITH b AS ({PREDICTED_COARSE}), a AS ({LIMIT_ALERTS} UNION ALL {MODEL_ALERTS}),
 l AS ({newest('SELECT * FROM a', 100, order='ts DESC, seq DESC, alert_no DESC')})
 SELECT device_id, 'total' AS by, 'all' AS value, count(*) AS n FROM l GROUP BY 1

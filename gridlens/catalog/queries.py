@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gridlens.config import SIGNALS
 from gridlens.functions import scalar as S
 from gridlens.functions.numeric import half_up
-from gridlens.operators import anomaly, energy, faults, features, forecast, insights, learn, records, serving
+from gridlens.operators import anomaly, energy, faults, features, forecast, forecaster, insights, learn, records, serving
 from gridlens.operators import forest as learned_forest
 from gridlens.plans import reports, scoring
 from gridlens.session import materialize, scratch_path, tune
@@ -151,6 +151,36 @@ def settings(spark, folder):
     return rounded(parse.settings_table(raw))
 
 
+def _device_settings(spark, folder):
+    """Settings that devices changed now and then, the first device never and one from the start."""
+    raw = readings(spark, folder).filter("seq % 9 = 0 AND device_id % 10 <> 0").select(
+        "device_id",
+        F.when(F.col("device_id") % 10 != 1, F.col("ts")).alias("valid_from"),
+        F.floor("current").cast("string").alias("cost_per_kwh"),
+        (F.floor("voltage") + 5).cast("string").alias("voltage_high"),
+        F.when(F.col("seq") % 2 == 0, "unknown").otherwise((F.floor("voltage") - 20).cast("string")).alias("voltage_low"),
+        F.floor(F.col("current") + 2).cast("string").alias("current_max"),
+        F.floor(F.col("power") / 2).cast("string").alias("power_max"),
+        F.when(F.col("seq") % 4 == 1, "EURO").otherwise("£").alias("currency"),
+    )
+    return parse.settings_table(raw.filter("device_id % 10 <> 1 OR seq % 27 = 0"))
+
+
+@query
+def alerts_with_settings(spark, folder):
+    return records.threshold_alerts(readings(spark, folder), _device_settings(spark, folder))
+
+
+@query
+def energy_audit_with_settings(spark, folder):
+    return energy.energy_audit(readings(spark, folder), _device_settings(spark, folder))
+
+
+@query
+def energy_report_with_settings(spark, folder):
+    return energy.energy_report(readings(spark, folder), _device_settings(spark, folder))
+
+
 # Records and table maintenance
 
 
@@ -675,8 +705,7 @@ def standardize(spark, folder):
 
 def _training_windows(spark, folder):
     """Windows with labels, split into train and test parts, both scaled by the train part."""
-    windows = materialize(features.sliding_features(tables.labelled(readings(spark, folder))), "windows")
-    windows = faults.stratified_split(windows)
+    windows = scoring.training_windows(tables.labelled(readings(spark, folder)))
     return learn.Scaler.fit(windows.filter("NOT is_test"), features.FEATURE_NAMES).transform(windows)
 
 
@@ -703,16 +732,20 @@ def detector_train_metrics(spark, folder):
 def random_forest(spark, folder):
     windows = _training_windows(spark, folder)
     model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES)
-    test = learn.forest_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), model)
-    return _test_metrics(test, S.predicted_class("rf"))
+    return _test_metrics(learn.probabilities(windows.filter("is_test"), forest=model), S.predicted_class("rf"))
 
 
 @query
 def gradient_boosting(spark, folder):
     windows = _training_windows(spark, folder)
-    models = learn.fit_boosted(windows.filter("NOT is_test"), features.FEATURE_NAMES)
-    test = learn.boosted_probabilities(learn.with_vector(windows.filter("is_test"), features.FEATURE_NAMES), models)
-    return _test_metrics(test, S.predicted_class("gb"))
+    model = learn.fit_boosted(windows.filter("NOT is_test"), features.FEATURE_NAMES)
+    return _test_metrics(learn.probabilities(windows.filter("is_test"), boosted=model), S.predicted_class("gb"))
+
+
+@query
+def vote_metrics(spark, folder):
+    """Quality of the vote of both classifiers on held-out windows."""
+    return rounded(faults.classification_metrics(scoring.vote_confusion(tables.labelled(readings(spark, folder)))))
 
 
 @query
@@ -725,14 +758,21 @@ def cross_validate(spark, folder):
 def feature_importance(spark, folder):
     windows = _training_windows(spark, folder)
     model = learn.fit_random_forest(windows.filter("NOT is_test"), features.FEATURE_NAMES)
-    return learn.feature_importance(spark, model, features.FEATURE_NAMES)
+    return learn.feature_importance(spark, model)
 
 
 @query
 def learned_forecaster(spark, folder):
-    samples = learn.scaled_samples(coarse(spark, folder))
-    model = learn.fit_forecaster(samples)
-    return learn.forecaster_metrics(model.predict(samples))
+    rows = coarse(spark, folder)
+    return forecaster.forecaster_metrics(rows, forecaster.fit_forecaster(rows))
+
+
+@query
+def learned_forecast(spark, folder):
+    """The next 24 steps of every device, by a forecaster that was saved and loaded again."""
+    rows, path = coarse(spark, folder), scratch_path(spark, "forecaster")
+    forecaster.fit_forecaster(rows).save(spark, path)
+    return rounded(forecaster.Forecaster.load(spark, path).forecast(rows, 24), 3)
 
 
 @query

@@ -7,7 +7,11 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds of a fleet. Pass a changed copy (``dataclasses.replace``) to any operator."""
+    """Thresholds of a fleet. Pass a changed copy (``dataclasses.replace``) to any operator.
+
+    ``tree_rows`` bounds the rows that a tree of the random forest draws, ``labelled_rows`` the labelled rows that
+    models are trained on altogether, drawn by a hash evenly from all labels.
+    """
 
     # fixed values: the defaults on which results depend
     voltage_nominal: float = 230.0
@@ -25,6 +29,8 @@ class Settings:
     horizon: int = 15
     trees: int = 200
     tree_depth: int = 15
+    tree_rows: int = 100_000
+    labelled_rows: int = 2_000_000
     test_share: float = 0.2
     health_weights: dict = field(
         default_factory=lambda: {

@@ -12,6 +12,7 @@ from gridlens.functions.numeric import fixed
 from gridlens.functions.scalar import ensemble_score, is_anomaly, threshold_score
 from gridlens.operators.features import moving_average_scores
 from gridlens.operators.ordered import latest
+from gridlens.operators.settings import resolved
 
 
 def train_stats(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -68,7 +69,7 @@ def detect(
     df: DataFrame,
     stats: DataFrame,
     forest: Column | None = None,
-    settings: Settings = DEFAULTS,
+    settings: Settings | DataFrame = DEFAULTS,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
     stat_keys: Sequence[str] = KEYS,
@@ -79,16 +80,18 @@ def detect(
     ``forest`` is the isolation-forest score where one is known, else that method counts 0.
     ``stat_keys`` are the keys ``stats`` was made with, none for one row over all devices.
     """
-    scored = moving_average_scores(df, settings, keys, order, **split).drop("pos")
+    fleet = settings if isinstance(settings, Settings) else DEFAULTS
+    scored = moving_average_scores(df, fleet, keys, order, **split).drop("pos")
+    scored, limits = resolved(scored, settings, keys)
     scored = with_zscore(scored, stats, stat_keys).withColumns(
         {
-            "threshold": threshold_score(s=settings),
+            "threshold": threshold_score(s=limits),
             "isolation_forest": F.lit(0.0) if forest is None else forest,
         }
     )
     return scored.withColumn(
         "score", ensemble_score("threshold", "zscore", "isolation_forest", "moving_avg")
-    ).withColumn("is_anomaly", is_anomaly("score", settings))
+    ).withColumn("is_anomaly", is_anomaly("score", fleet)).drop("settings")
 
 
 def anomaly_rate(df: DataFrame, last_n: int = 100, flag: str = "is_anomaly", keys: Sequence[str] = KEYS) -> DataFrame:

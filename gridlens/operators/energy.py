@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, KEYS, ORDER, SIGNALS, Settings
 from gridlens.functions.numeric import half_up, micros, sdiv
-from gridlens.functions.scalar import cost, load_status4
+from gridlens.functions.scalar import load_status4
 from gridlens.operators.ordered import Series, latest, ordered, running_sums
+from gridlens.operators.settings import resolved
 
 
 def _spread(columns: Sequence[str] = SIGNALS) -> list[Column]:
@@ -82,34 +83,40 @@ def running_energy(
     return series.own(running_sums(series, stepped, {"energy_kwh": F.col("kwh")})).drop("kwh", "pos")
 
 
-def energy_totals(df: DataFrame, keys: Sequence[str] = KEYS, **split) -> DataFrame:
-    """Energy and time span of each device."""
+def energy_totals(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+    """Energy, what it cost, and time span of each device."""
     hours = (F.max(micros("ts")) - F.min(micros("ts"))) / F.lit(1e6) / 3600
-    return energy_steps(power_columns(df, keys), keys, **split).groupBy(*keys).agg(
-        F.sum("kwh").alias("energy_kwh"), hours.alias("hours"), F.count(F.lit(1)).alias("samples")
+    steps, s = resolved(energy_steps(power_columns(df, keys), keys, **split), settings, keys)
+    return steps.groupBy(*keys).agg(
+        F.sum("kwh").alias("energy_kwh"),
+        F.sum(F.col("kwh") * s.cost_per_kwh).alias("spent"),
+        hours.alias("hours"),
+        F.count(F.lit(1)).alias("samples"),
+        F.max("ts").alias("last_ts"),
     )
 
 
-def energy_report(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+def energy_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Energy, cost, power peak and present load status of each device."""
     peak, at = first_peak("power")
-    now = F.max_by("power", F.struct(*ORDER))
-    steps = energy_steps(power_columns(df, keys), keys, **split)
+    steps, s = resolved(energy_steps(power_columns(df, keys), keys, **split), settings, keys)
+    now = F.max_by(load_status4("power", s), F.struct(*ORDER))
     out = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("samples"),
         F.sum("kwh").alias("energy_kwh"),
+        F.sum(F.col("kwh") * s.cost_per_kwh).alias("spent"),
         peak.alias("peak_power"),
         at.alias("peak_power_time"),
-        now.alias("_now"),
+        now.alias("load_status"),
     )
     return out.select(
         *keys,
         "samples",
         half_up("energy_kwh", 4).alias("energy_kwh"),
-        cost("energy_kwh", s=settings).alias("cost"),
+        half_up("spent", 2).alias("cost"),
         "peak_power",
         "peak_power_time",
-        load_status4("_now", settings).alias("load_status"),
+        "load_status",
     )
 
 
@@ -155,24 +162,18 @@ def energy_trend(df: DataFrame, days: int = 7, keys: Sequence[str] = KEYS, **spl
     )
 
 
-def daily_energy(steps: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Energy per device and day from ``energy_steps``."""
-    return steps.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("kwh").alias("kwh"))
-
-
-def energy_audit(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+def energy_audit(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Energy and cost of the newest day, its week and month, and in total: a row per period."""
-    daily = daily_energy(energy_steps(power_columns(df, keys), keys, **split), keys)
+    steps, s = resolved(energy_steps(power_columns(df, keys), keys, **split), settings, keys)
+    daily = steps.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("kwh").alias("kwh"), F.sum(F.col("kwh") * s.cost_per_kwh).alias("spent"))
     daily = daily.withColumn("_last", F.max("day").over(Window.partitionBy(*keys)))
     sums = []
     for name, unit in (("today", "day"), ("week", "week"), ("month", "month"), ("total", None)):
         same = F.lit(True) if unit is None else F.date_trunc(unit, "day") == F.date_trunc(unit, "_last")
-        kwh = F.coalesce(F.sum(F.when(same, F.col("kwh"))), F.lit(0.0))
-        sums.append(F.struct(F.lit(name).alias("period"), kwh.alias("kwh")))
+        kwh, spent = (F.coalesce(F.sum(F.when(same, F.col(c))), F.lit(0.0)).alias(c) for c in ("kwh", "spent"))
+        sums.append(F.struct(F.lit(name).alias("period"), kwh, spent))
     rows = daily.groupBy(*keys).agg(F.array(*sums).alias("_p")).select(*keys, F.inline("_p"))
-    return rows.select(
-        *keys, "period", half_up("kwh", 4).alias("energy_kwh"), cost("kwh", s=settings).alias("cost")
-    )
+    return rows.select(*keys, "period", half_up("kwh", 4).alias("energy_kwh"), half_up("spent", 2).alias("cost"))
 
 
 def _session_rows(df: DataFrame, gap_minutes: float, keys: Sequence[str], order: Sequence[str], **split) -> DataFrame:

@@ -40,11 +40,8 @@ def chrono_split(
     df: DataFrame, share: float = 0.85, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **split
 ) -> DataFrame:
     """Mark the first ``share`` of each device's rows as ``is_train``."""
-    series = ordered(df, keys, order, **split)
-    rows = series.own(series.df)
-    sizes = rows.groupBy(*keys).agg(F.max("pos").alias("_n"))
-    marked = rows.join(sizes, list(keys)).withColumn("is_train", F.col("pos") <= F.floor(F.col("_n") * share))
-    return marked.drop("_n")
+    series = ordered(df, keys, order, sizes=True, **split)
+    return series.own(series.df).withColumn("is_train", F.col("pos") <= F.floor(F.col("_n") * share)).drop("_n")
 
 
 def frame_sequences(
@@ -101,27 +98,21 @@ def fit_trend(
     The period is 60 rows or a third of the device's rows if that is less; only whole periods
     count, and a device needs more than 100 rows to have phases.
     """
-    series = ordered(df.select(*keys, *order, "power"), keys, order, **split)
-    rows = series.own(series.df).withColumn("idx", F.col("pos") - 1)
+    series = ordered(df.select(*keys, *order, "power"), keys, order, sizes=True, **split)
+    # Each row knows its device's rows, so lines and phases are plain sums: no row meets the others of its device.
+    period = F.when(F.col("_n") > 100, F.least(F.lit(60), F.floor(F.col("_n") / 3))).otherwise(0)
+    rows = series.own(series.df).withColumns({"idx": F.col("pos") - 1, "_period": period})
+    line = [f("power", F.col("idx").cast("double")) for f in (F.regr_slope, F.regr_intercept)]
     fits = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.regr_slope("power", F.col("idx").cast("double")).alias("slope"),
-        F.regr_intercept("power", F.col("idx").cast("double")).alias("intercept"),
-        F.avg("power").alias("_mean"),
+        F.coalesce(line[0], F.lit(0.0)).alias("slope"),
+        F.coalesce(line[1], F.avg("power")).alias("intercept"),
+        F.max("_period").alias("period"),
     )
-    period = F.when(F.col("n") > 100, F.least(F.lit(60), F.floor(F.col("n") / 3)))
-    fits = fits.select(
-        *keys,
-        "n",
-        F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.coalesce("intercept", F.col("_mean")).alias("intercept"),
-        F.coalesce(period, F.lit(0)).alias("period"),
-    )
-    whole = F.floor(F.col("n") / F.col("period")) * F.col("period")
+    whole = F.floor(F.col("_n") / F.col("_period")) * F.col("_period")
     seasons = (
-        rows.join(fits.filter("period > 0").select(*keys, "n", "period"), list(keys))
-        .filter(F.col("idx") < whole)
-        .groupBy(*keys, F.pmod("idx", "period").alias("phase"))
+        rows.filter((F.col("_period") > 0) & (F.col("idx") < whole))
+        .groupBy(*keys, F.pmod("idx", "_period").alias("phase"))
         .agg(F.avg("power").alias("season"))
     )
     return fits, seasons
@@ -135,12 +126,13 @@ def forecast(
     origin: str = "buffer",
     settings: Settings = DEFAULTS,
     keys: Sequence[str] = KEYS,
+    margins: bool = False,
 ) -> DataFrame:
     """Expected power of the next ``steps`` rows of each device with its 95 % interval.
 
     The line is read from the number of buffered rows on (``origin="buffer"``), or from the end
     of the whole series (``origin="series"``). Without a fit, the mean of the last ten rows is
-    the forecast.
+    the forecast. With ``margins``, ``margin`` is half the interval's width, null where there are too few rows for one.
     """
     steps = steps or settings.horizon
     buffer = latest(df, 2 * settings.lookback, keys).groupBy(*keys).agg(
@@ -165,6 +157,7 @@ def forecast(
         "forecast",
         F.when(enough, F.greatest(F.col("forecast") - margin, F.lit(0.0))).otherwise(F.lit(0.0)).alias("lower"),
         F.when(enough, F.col("forecast") + margin).otherwise(F.lit(0.0)).alias("upper"),
+        *([F.when(enough, margin).alias("margin")] if margins else []),
     )
 
 

@@ -130,7 +130,7 @@ def _share(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _at_least(trees: int, p: float) -> list[float]:
+def draws_at_least(trees: int, p: float) -> list[float]:
     """For 1, 2, ... the probability that at least so many of ``trees`` draw a row, each with probability ``p``; ends below a draw's precision."""
     if p >= 1:
         return [1.0] * trees
@@ -146,7 +146,7 @@ def tree_samples(df: DataFrame, rows: int, trees: int, sample: int, seed: int, k
     Every tree draws from all rows. One hash per row tells how many trees draw it, most often none; only for
     the others further hashes tell which trees.
     """
-    tails = _at_least(trees, min(1.0, sample * SPARE / rows))
+    tails = draws_at_least(trees, min(1.0, sample * SPARE / rows))
     times = F.size(F.filter(F.array(*[F.lit(t) for t in tails]), lambda t: F.col("_draw") < t))
     order = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(*key, t, F.lit(seed + 1)), t.alias("tree")))
     drawn = df.withColumn("_draw", _share(*key, F.lit(seed))).filter(F.col("_draw") < tails[0]) if tails else df.withColumn("_draw", F.lit(1.0)).limit(0)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.numeric import clamp, fixed, half_up, sdiv
-from gridlens.functions.scalar import cost, health_color, health_label
+from gridlens.functions.scalar import health_color, health_label
 from gridlens.operators.energy import energy_totals, mean_power_factor
 from gridlens.operators.faults import recurring_fault
 from gridlens.operators.ordered import latest
+from gridlens.operators.settings import resolved, text
 
 # Sizes of the history each figure looks at.
 HISTORY = 3600
@@ -120,9 +121,9 @@ def health_struct(scored: DataFrame, settings: Settings = DEFAULTS, keys: Sequen
     )
 
 
-def cost_projection(totals: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
+def cost_projection(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cost so far and at that rate per hour, day and month, from ``energy_totals``."""
-    spent = F.col("energy_kwh") * settings.cost_per_kwh
+    spent = F.col("spent")
     hourly = spent / F.col("hours")
     return totals.filter((F.col("energy_kwh") > 0) & (F.col("hours") > 0)).select(
         *keys,
@@ -134,23 +135,30 @@ def cost_projection(totals: DataFrame, settings: Settings = DEFAULTS, keys: Sequ
     )
 
 
-def efficiency_report(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+def _facts(df: DataFrame, settings: Settings | DataFrame, keys: Sequence[str], **options) -> tuple[DataFrame, Settings]:
+    """Summary and totals of each device, and the settings in force at its newest reading."""
+    score = {k: options.pop(k) for k in ("score",) if k in options}
+    both = device_summary(df, keys=keys, **score).join(energy_totals(df, settings, keys, **options), list(keys))
+    return resolved(both, settings, keys, at="last_ts")
+
+
+def efficiency_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Efficiency figures of each device with at least 60 readings; the others only have a status."""
-    both = device_summary(df, keys=keys, score=None).join(energy_totals(df, keys, **split), list(keys))
+    both, s = _facts(df, settings, keys, score=None, **split)
     p, ready = F.col("p_mean"), F.col("samples") >= 60
     figures = {
         "session_duration_hours": half_up("hours", 2),
         "total_energy_kwh": half_up("energy_kwh", 4),
-        "total_cost": cost("energy_kwh", s=settings),
+        "total_cost": half_up("spent", 2),
         "avg_power_w": half_up(p, 1),
         "peak_power_w": half_up("p_max", 1),
         "min_power_w": half_up("p_min", 1),
         "power_factor": half_up(mean_power_factor("v_mean", "i_mean", "p_mean"), 3),
-        "load_utilization_pct": half_up(p / settings.power_max * 100, 1),
+        "load_utilization_pct": half_up(p / s.power_max * 100, 1),
         "voltage_stability": half_up(100 - F.col("v_std") * 10, 1),
         "projected_daily_kwh": half_up(p * 24 / 1000, 2),
-        "projected_monthly_cost": half_up(p * 24 * 30 / 1000 * settings.cost_per_kwh, 2),
-        "currency": F.lit(settings.currency),
+        "projected_monthly_cost": half_up(p * 24 * 30 / 1000 * s.cost_per_kwh, 2),
+        "currency": text(s.currency),
     }
     return both.select(
         *keys,
@@ -177,20 +185,16 @@ def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def insights(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+def insights(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """What stands out about each device, in the order of the rules."""
-    s = settings
-    facts = (
-        device_summary(df, keys=keys)
-        .join(energy_totals(df, keys, **split), list(keys))
-        .join(recurring_fault(df, keys=keys), list(keys), "left")
-    )
+    facts, s = _facts(df, settings, keys, **split)
+    facts = facts.join(recurring_fault(df, keys=keys), list(keys), "left")
     n, vm, vs, im = F.col("n"), F.col("v_mean"), F.col("v_std"), F.col("i_max")
     pm, px = F.col("p_mean"), F.col("p_max")
     load = pm / s.power_max * 100
     pf = mean_power_factor("v_mean", "i_mean", "p_mean")
     kwh, hours = F.col("energy_kwh"), F.col("hours")
-    spent = kwh * s.cost_per_kwh
+    spent = F.col("spent")
     seen, common = n > 20, F.coalesce(F.col("fault_name"), F.lit(""))
     high, low = vm > s.voltage_high, vm < s.voltage_low
     over, near = im > s.current_max, im > s.current_max * 0.85
@@ -210,17 +214,17 @@ def insights(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] =
         _finding(11, seen & (pf >= 0.7) & (pf < 0.85), "efficiency", "Moderate Power Factor", "info", _text("Power factor is ", fixed(pf, 3), ".")),
         _finding(12, (F.col("scores") > 50) & (F.col("anomalous") > 0.1), "anomaly", "Frequent Anomalies Detected", "warning", _text(fixed(F.col("anomalous") * 100, 1), "% of readings are anomalous.")),
         _finding(13, F.col("fault_name").isNotNull(), "fault", _text("Recurring Fault: ", common), "warning", _text(common, " was seen ", F.coalesce(F.col("times").cast("string"), F.lit("0")), " times lately.")),
-        _finding(14, (kwh > 0) & (hours > 0), "cost", "Energy Cost Analysis", "info", _text("Used ", fixed(kwh, 4), f" kWh ({s.currency}", fixed(spent, 2), f"), {s.currency}", fixed(sdiv(spent, hours) * 24, 2), " a day.")),
+        _finding(14, (kwh > 0) & (hours > 0), "cost", "Energy Cost Analysis", "info", _text("Used ", fixed(kwh, 4), " kWh (", text(s.currency), fixed(spent, 2), "), ", text(s.currency), fixed(sdiv(spent, hours) * 24, 2), " a day.")),
     ]
     waiting = _finding(0, F.lit(True), "info", "Collecting Data", "info", F.lit("Too few readings yet."))
     raised = F.when(F.col("samples") < 10, F.array(waiting)).otherwise(F.filter(F.array(*rules), lambda r: r.isNotNull()))
     return facts.select(*keys, F.inline(raised))
 
 
-def recommendations(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+def recommendations(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Advice for each device; ``position`` orders it by priority, then by rule."""
-    facts = device_summary(df, keys=keys, score=None).join(energy_totals(df, keys, **split), list(keys))
-    return advise(facts, settings, keys)
+    facts, s = _facts(df, settings, keys, score=None, **split)
+    return advise(facts, s, keys)
 
 
 def advise(facts: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -1,32 +1,23 @@
-"""Scaling, fault classifiers and the learned forecaster, on MLlib."""
+"""Scaling, fault classifiers and their evaluation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
-from math import ceil
-
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.config import DEFAULTS, FAULT_NAMES, KEYS, Settings
+from gridlens.config import DEFAULTS, Settings
 from gridlens.functions.scalar import predicted_class, predicted_confidence, soft_vote, top_classes
-from gridlens.operators.forecast import chrono_split, frame_sequences, minmax_scale, signal_ranges
-from gridlens.operators.ordered import TASK_FLOOR
+from gridlens.operators.bagging import Bagged, fit_random_forest, fold_of, grow_forests, prepared, with_probabilities
+from gridlens.operators.binning import row_number
+from gridlens.operators.boosting import Boosted, fit_boosted
 
-TRAINING_ROWS = 250_000  # rows per partition of a training table
+__all__ = ["Scaler", "bounded_rows", "cross_validate", "feature_importance", "fit_boosted", "fit_random_forest", "probabilities", "vote"]
 
 
 @dataclass
@@ -48,6 +39,10 @@ class Scaler:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(self.stds[c]) for c, m in self.means.items()})
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Rows whose columns are those of the scaler, in its order."""
+        return (x - np.array(list(self.means.values()))) / np.array([self.stds[c] for c in self.means])
+
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(c, m, self.stds[c], n) for n, (c, m) in enumerate(self.means.items())]
         spark.createDataFrame(rows, "name string, mean double, std double, no int").coalesce(1).write.mode(
@@ -60,98 +55,25 @@ class Scaler:
         return cls({r["name"]: r["mean"] for r in rows}, {r["name"]: r["std"] for r in rows})
 
 
-def with_vector(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(names), outputCol="features").transform(df)
-
-
 def label_counts(df: DataFrame, label: str = "fault_label") -> dict[int, int]:
     return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # per label
 
 
-def class_weight(counts: dict[int, int], label: str = "fault_label") -> Column:
-    """Weight that makes all labels count the same: rows over labels times rows of the label."""
-    total = sum(counts.values())
-    weights = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, total / (len(counts) * n))])
-    return F.try_element_at(weights, F.col(label))
-
-
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """Training passes over the same rows many times; put a small table into few partitions."""
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(ceil(rows / TRAINING_ROWS), min(default, ceil(rows / TASK_FLOOR)), 1))
-
-
-def weighted_rows(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
-    """Vectors, labels and balancing weights."""
-    counts = label_counts(df, label)
-    rows = with_vector(df, names).withColumns({"label": F.col(label).cast("double"), "weight": class_weight(counts, label)})
-    return packed(rows.select("features", "label", "weight"), sum(counts.values()))
-
-
-def fit_random_forest(
-    df: DataFrame,
-    names: Sequence[str],
-    label: str = "fault_label",
-    trees: int | None = None,
-    depth: int | None = None,
-    settings: Settings = DEFAULTS,
-    seed: int = 42,
-) -> RandomForestClassificationModel:
-    """Random forest with balanced labels; class positions are the label ids."""
-    learner = RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        numTrees=trees or settings.trees,
-        maxDepth=depth or settings.tree_depth,
-        seed=seed,
-    )
-    return learner.fit(weighted_rows(df, names, label))
-
-
-def fit_boosted(
-    df: DataFrame,
-    names: Sequence[str],
-    label: str = "fault_label",
-    rounds: int | None = None,
-    depth: int | None = None,
-    settings: Settings = DEFAULTS,
-    seed: int = 42,
-) -> dict[int, GBTClassificationModel]:
-    """Boosted trees for each label that occurs, against all others."""
-    counts = label_counts(df, label)
-    rows = packed(with_vector(df, names).select("features", label), sum(counts.values())).persist()
-    learner = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        maxIter=rounds or min(settings.trees, 150),
-        maxDepth=depth or min(settings.tree_depth, 8),
-        stepSize=0.1,
-        subsamplingRate=0.8,
-        seed=seed,
-    )
-    models = {k: learner.fit(rows.withColumn("label", (F.col(label) == k).cast("double"))) for k in sorted(counts)}
-    rows.unpersist()
-    return models
-
+def bounded_rows(df: DataFrame, label: str = "fault_label", settings: Settings = DEFAULTS, seed: int = 42, key: Sequence[str] = ("device_id", "seq")) -> DataFrame:
+    """Labelled rows to train on: all, or about ``settings.labelled_rows``, as many of each label as there are and its part allows.
 
-def forest_probabilities(df: DataFrame, model: RandomForestClassificationModel, name: str = "rf") -> DataFrame:
-    """Probability per label id, padded to all labels."""
-    model = model.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_p")
-    found = vector_to_array("_p")
-    padded = F.slice(F.concat(found, F.array_repeat(F.lit(0.0), len(FAULT_NAMES))), 1, len(FAULT_NAMES))
-    return model.transform(df).withColumn(name, padded).drop("_p")
+    A hash of the row decides, so the same rows are taken every time.
+    """
+    counts = label_counts(df.where(F.col(label).isNotNull()), label)
+    part = settings.labelled_rows / max(len(counts), 1)
+    shares = [F.when(F.col(label) == k, F.lit(min(1.0, part / n))) for k, n in counts.items()]
+    drawn = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return df.where(drawn < F.coalesce(*shares, F.lit(0.0)))
 
 
-def boosted_probabilities(df: DataFrame, models: dict[int, GBTClassificationModel], name: str = "gb") -> DataFrame:
-    """One-against-all probabilities scaled to add up to 1."""
-    for k, model in models.items():
-        df = model.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_p{k}").transform(df)
-    parts = [vector_to_array(f"_p{k}")[1] if k in models else F.lit(0.0) for k in FAULT_NAMES]
-    df = df.withColumn("_all", F.array(*parts))
-    total = F.aggregate("_all", F.lit(0.0), lambda a, x: a + x)
-    shares = F.transform("_all", lambda x: F.try_divide(x, F.col("_total")))
-    return df.withColumn("_total", total).withColumn(name, shares).drop("_all", "_total", *[f"_p{k}" for k in models])
+def probabilities(df: DataFrame, forest: Bagged | None = None, boosted: Boosted | None = None) -> DataFrame:
+    """Add ``rf`` and ``gb``, the probabilities of all label ids, from the models given; works on streams."""
+    return with_probabilities(df, {k: m for k, m in (("rf", forest), ("gb", boosted)) if m is not None})
 
 
 def vote(df: DataFrame, k: int = 3) -> DataFrame:
@@ -169,7 +91,7 @@ def vote(df: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def cross_validate(
+def fold_scores(
     df: DataFrame,
     names: Sequence[str],
     label: str = "fault_label",
@@ -178,74 +100,53 @@ def cross_validate(
     depth: int | None = None,
     settings: Settings = DEFAULTS,
     seed: int = 42,
+    key: Sequence[str] = ("device_id", "seq"),
 ) -> DataFrame:
-    """Mean and deviation of the weighted F1 of the random forest over folds."""
-    learner = RandomForestClassifier(
-        weightCol="weight", numTrees=trees or settings.trees, maxDepth=depth or settings.tree_depth, seed=seed
-    )
-    validator = CrossValidator(
-        estimator=learner,
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="f1"),
-        numFolds=folds,
-        seed=seed,
-    )
-    found = validator.fit(weighted_rows(df, names, label))
-    return df.sparkSession.createDataFrame(
-        [(folds, float(found.avgMetrics[0]), float(found.stdMetrics[0]))], "folds int, cv_mean double, cv_std double"
+    """Weighted F1 of the random forest on each fold's rows, by trees grown on the rows outside it.
+
+    The trees of all folds grow in one pass, and one pass scores every row by the forest of its fold.
+    """
+    rows, borders, counts = prepared(df, names, label, key)
+    forests = grow_forests(rows, borders, counts, folds, trees or settings.trees, depth or settings.tree_depth, settings, seed)
+    shared = df.sparkSession.sparkContext.broadcast(forests)
+    names = list(names)
+    numbered = df.where(F.col(label).isNotNull()).withColumn("number", row_number(key))
+    plain = numbered.select(fold_of(folds, seed).alias("fold"), F.col(label).cast("int").alias("label"), *names)
+
+    def predict(batches):
+        for batch in batches:
+            x, best = batch[names].to_numpy(float), np.zeros(len(batch), int)
+            for fold in batch["fold"].unique():
+                own = (batch["fold"] == fold).to_numpy()
+                best[own] = shared.value[fold].probabilities(x[own]).argmax(axis=1) if fold in shared.value else 0
+            yield batch[["fold", "label"]].assign(predicted=best)
+
+    counted = plain.mapInPandas(predict, "fold int, label int, predicted int").groupBy("fold", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return f1_by(counted, "fold")
+
+
+def f1_by(counted: DataFrame, group: str) -> DataFrame:
+    """Support-weighted F1 of each group, from its rows per true and predicted label; 0 where undefined."""
+    sides = counted.select(
+        group,
+        F.inline(
+            F.array(
+                F.struct(F.col("label").alias("of"), F.col("n").alias("true_n"), F.lit(0).cast("long").alias("said_n"), F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits")),
+                F.struct(F.col("predicted").alias("of"), F.lit(0).cast("long").alias("true_n"), F.col("n").alias("said_n"), F.lit(0).cast("long").alias("hits")),
+            )
+        ),
     )
+    per = sides.groupBy(group, "of").agg(*[F.sum(c).alias(c) for c in ("true_n", "said_n", "hits")])
+    return per.groupBy(group).agg((F.sum(F.col("true_n") * 2 * F.col("hits") / (F.col("true_n") + F.col("said_n"))) / F.sum("true_n")).alias("f1"))
 
 
-def feature_importance(
-    spark: SparkSession, model: RandomForestClassificationModel, names: Sequence[str], k: int = 10
-) -> DataFrame:
-    """The ``k`` features the forest relies on most."""
-    rows = [(n, float(x)) for n, x in zip(names, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
+def cross_validate(df: DataFrame, names: Sequence[str], label: str = "fault_label", folds: int = 5, **options) -> DataFrame:
+    """Mean and deviation of the weighted F1 of the random forest over folds."""
+    scores = fold_scores(df, names, label, folds, **options)
+    return scores.agg(F.lit(folds).alias("folds"), F.avg("f1").alias("cv_mean"), F.stddev_pop("f1").alias("cv_std"))
 
 
-@dataclass
-class LearnedForecaster:
-    """A linear model per step ahead, on the scaled rows of the lookback."""
-
-    steps: list[LinearRegressionModel]
-    settings: Settings
-
-    def predict(self, samples: DataFrame) -> DataFrame:
-        """``predicted``: scaled power of the next steps for each sample."""
-        out = with_inputs(samples)
-        for n, model in enumerate(self.steps, start=1):
-            out = model.copy().setPredictionCol(f"_s{n}").transform(out)
-        made = [f"_s{n}" for n in range(1, len(self.steps) + 1)]
-        return out.withColumn("predicted", F.array(*made)).drop("features", *made)
-
-
-def scaled_samples(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
-    """Samples over scaled signals, with ``is_train`` for the earlier 85 % of each device."""
-    scaled = minmax_scale(df, signal_ranges(df, keys), keys)
-    scaled = scaled.select(*keys, "ts", "seq", *[F.col(f"{s}_scaled").alias(s) for s in ("power", "voltage", "current")])
-    samples = frame_sequences(scaled, settings, keys=keys, **split).drop("pos")
-    return chrono_split(samples, 0.85, keys, **split).drop("pos")
-
-
-def with_inputs(samples: DataFrame) -> DataFrame:
-    flat = F.flatten(F.transform("inputs", lambda x: F.array(x["power"], x["voltage"], x["current"])))
-    return samples.withColumn("features", array_to_vector(flat))
-
-
-def fit_forecaster(samples: DataFrame, settings: Settings = DEFAULTS, penalty: float = 1e-3) -> LearnedForecaster:
-    rows = with_inputs(samples.filter("is_train")).select("features", "targets")
-    rows = packed(rows, rows.count()).persist()
-    steps = []
-    for n in range(settings.horizon):
-        learner = LinearRegression(regParam=penalty, solver="normal", predictionCol="prediction")
-        steps.append(learner.fit(rows.select("features", F.col("targets")[n].alias("label"))))
-    rows.unpersist()
-    return LearnedForecaster(steps, replace(settings))
-
-
-def forecaster_metrics(predicted: DataFrame) -> DataFrame:
-    """Mean squared and absolute error over all steps of the held-out samples."""
-    pairs = predicted.filter("NOT is_train").select(F.explode(F.arrays_zip("targets", "predicted")).alias("p"))
-    miss = F.col("p.targets") - F.col("p.predicted")
-    return pairs.agg(F.avg(miss * miss).alias("val_loss"), F.avg(F.abs(miss)).alias("val_mae"), F.count(F.lit(1)).alias("n"))
+def feature_importance(spark: SparkSession, model: Bagged, k: int = 10) -> DataFrame:
+    """The ``k`` features the forest relies on most."""
+    rows = [(n, float(x)) for n, x in zip(model.names, model.importances(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)

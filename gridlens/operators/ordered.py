@@ -91,8 +91,12 @@ def ordered(
     ahead: int = 0,
     limit: int | None = None,
     chunk: int | None = None,
+    sizes: bool = False,
 ) -> Series:
-    """Number the rows of each group; frames may look ``behind`` and ``ahead`` that many rows."""
+    """Number the rows of each group; frames may look ``behind`` and ``ahead`` that many rows.
+
+    With ``sizes``, ``_n`` has the rows of the group next to each of them.
+    """
     keys, order = tuple(keys), tuple(order)
     total, largest = group_sizes(df, keys, exact=limit is not None)
     limit = limit or GROUP_LIMIT
@@ -101,11 +105,13 @@ def ordered(
         numbered = spread.withColumn(
             "pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
         )
+        if sizes:
+            numbered = numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         return Series(numbered, keys, keys, order, total)
-    return _in_chunks(_positions(df, keys, order, total), keys, behind, ahead, chunk or CHUNK, total)
+    return _in_chunks(_positions(df, keys, order, total, sizes), keys, behind, ahead, chunk or CHUNK, total)
 
 
-def _positions(df: DataFrame, keys: tuple, order: tuple, total: int) -> DataFrame:
+def _positions(df: DataFrame, keys: tuple, order: tuple, total: int, sizes: bool) -> DataFrame:
     tasks = task_count(df, total)
     laid_out = materialize(
         df.repartitionByRange(tasks, *keys, *order)
@@ -117,8 +123,9 @@ def _positions(df: DataFrame, keys: tuple, order: tuple, total: int) -> DataFram
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = [F.sum("_n").over(Window.partitionBy(*keys)).alias("_n")] if sizes else []
     starts = runs.select(
-        *keys, "_slice", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
+        *keys, "_slice", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), *all_rows
     )
     return (
         laid_out.join(starts, [*keys, "_slice"])

@@ -11,6 +11,8 @@ from gridlens.config import DEFAULTS, KEYS, ORDER, Settings
 from gridlens.functions.numeric import fixed, half_up
 from gridlens.functions.scalar import fault_name, load_status3, log_level, percent_text
 from gridlens.operators.ordered import latest, ordered
+from gridlens.operators.settings import resolved
+from gridlens.operators.settings import text as setting_text
 
 
 def build_record(df: DataFrame, keys: Sequence[str] = KEYS, extra: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +105,8 @@ def _raised(df: DataFrame, alerts: list[Column]) -> DataFrame:
 
 
 def _threshold_rules(s: Settings) -> list[Column]:
-    def text(label: str, value: Column, unit: str, word: str, limit: float) -> Column:
-        return F.concat(F.lit(f"{label}: "), value, F.lit(f"{unit} ({word}: {limit}{unit})"))
+    def text(label: str, value: Column, unit: str, word: str, limit: float | Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), value, F.lit(f"{unit} ({word}: "), setting_text(limit), F.lit(f"{unit})"))
 
     v, i, p = F.col("voltage"), F.col("current"), F.col("power")
     # Alert types and texts.
@@ -129,9 +131,10 @@ def _model_rules() -> list[Column]:
     ]
 
 
-def threshold_alerts(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def threshold_alerts(df: DataFrame, settings: Settings | DataFrame = DEFAULTS) -> DataFrame:
     """An alert for each limit a reading is past."""
-    return _raised(df, _threshold_rules(settings))
+    df, s = resolved(df, settings)
+    return _raised(df, _threshold_rules(s))
 
 
 def model_alerts(df: DataFrame) -> DataFrame:
@@ -139,11 +142,12 @@ def model_alerts(df: DataFrame) -> DataFrame:
     return _raised(df, _model_rules())
 
 
-def alerts(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    return _raised(df, _threshold_rules(settings) + _model_rules())
+def alerts(df: DataFrame, settings: Settings | DataFrame = DEFAULTS) -> DataFrame:
+    df, s = resolved(df, settings)
+    return _raised(df, _threshold_rules(s) + _model_rules())
 
 
-def active_alerts(df: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
+def active_alerts(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
     """Alerts of the newest reading of each device."""
     return alerts(latest_reading(df, keys), settings)
 
@@ -161,9 +165,10 @@ def alert_summary(raised: DataFrame, last_n: int = 100, keys: Sequence[str] = KE
     return counted.select(*keys, by.alias("by"), value.alias("value"), "n")
 
 
-def reading_log(df: DataFrame, n: int = 20, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
+def reading_log(df: DataFrame, n: int = 20, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
     """The newest ``n`` readings of each device as log lines; needs ``energy_kwh``."""
-    return latest(df, n, keys).select(
+    rows, s = resolved(latest(df, n, keys), settings, keys)
+    return rows.select(
         *keys,
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
         "ts",
@@ -172,8 +177,8 @@ def reading_log(df: DataFrame, n: int = 20, settings: Settings = DEFAULTS, keys:
         "current",
         "power",
         half_up("energy_kwh", 4).alias("energy_kwh"),
-        log_level(s=settings).alias("status"),
-        load_status3(s=settings).alias("status_text"),
+        log_level(s=s).alias("status"),
+        load_status3(s=s).alias("status_text"),
         F.lit(False).alias("is_alert"),
     )
 

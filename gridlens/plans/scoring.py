@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.scalar import ensemble_score, fault_name, forest_score, is_anomaly, threshold_score
 from gridlens.operators.anomaly import train_stats, with_zscore
+from gridlens.operators.bagging import Bagged
+from gridlens.operators.boosting import Boosted
+from gridlens.operators.faults import confusion, stratified_split
 from gridlens.operators.features import FEATURE_NAMES, sliding_features
+from gridlens.operators.forecaster import Forecaster, fit_forecaster
 from gridlens.operators.forest import IsolationForest, fit_isolation_forest
-from gridlens.operators.learn import (
-    Scaler,
-    boosted_probabilities,
-    fit_boosted,
-    fit_random_forest,
-    forest_probabilities,
-    vote,
-    with_vector,
-)
+from gridlens.operators.learn import Scaler, bounded_rows, fit_boosted, fit_random_forest, probabilities, vote
+from gridlens.session import materialize
 
 
 @dataclass
 class Models:
     scaler: Scaler
     detector: IsolationForest
-    forest: RandomForestClassificationModel
-    boosted: dict[int, GBTClassificationModel]
+    forest: Bagged
+    boosted: Boosted
     stats: DataFrame
+    forecaster: Forecaster
+
+
+def training_windows(labelled: DataFrame, settings: Settings = DEFAULTS, label: str = "fault_label") -> DataFrame:
+    """Labelled windows, bounded by ``settings.labelled_rows`` and written once, with ``is_test`` for the held-out share."""
+    windows = bounded_rows(sliding_features(labelled, settings=settings), label, settings)
+    return materialize(stratified_split(windows, settings.test_share, label), "training-windows")
 
 
 def train(
@@ -42,28 +47,42 @@ def train(
     rounds: int | None = None,
     label: str = "fault_label",
 ) -> Models:
-    """Train all models on windows of labelled readings; ``trees``, ``depth`` and ``rounds`` shrink them."""
-    windows = sliding_features(labelled, settings=settings).persist()
+    """Train all models on labelled readings; ``trees``, ``depth`` and ``rounds`` shrink them.
+
+    The classifiers learn from the train part of the windows, the detector from its rows without a fault (all rows if there
+    are none), the statistics and the forecaster from all readings.
+    """
+    windows = training_windows(labelled, settings, label).where("NOT is_test")
+    return train_on(windows, labelled, settings, trees, depth, rounds, label)
+
+
+def train_on(windows: DataFrame, labelled: DataFrame, settings: Settings = DEFAULTS, trees: int | None = None, depth: int | None = None, rounds: int | None = None, label: str = "fault_label") -> Models:
     scaler = Scaler.fit(windows, FEATURE_NAMES)
     scaled = scaler.transform(windows)
-    models = Models(
+    sound = scaled.where(F.col(label) == 0)
+    return Models(
         scaler,
-        fit_isolation_forest(scaled, FEATURE_NAMES, trees, settings),
+        fit_isolation_forest(scaled if sound.isEmpty() else sound, FEATURE_NAMES, trees, settings),
         fit_random_forest(scaled, FEATURE_NAMES, label, trees, depth, settings),
         fit_boosted(scaled, FEATURE_NAMES, label, rounds, depth, settings),
-        train_stats(labelled),
+        materialize(train_stats(labelled), "train-stats"),
+        fit_forecaster(labelled, settings),
     )
-    windows.unpersist()
-    return models
 
 
 def score_windows(windows: DataFrame, models: Models) -> DataFrame:
-    """Isolation decision, fault, confidence and best labels of feature rows; works on streams."""
+    """Isolation decision, fault, confidence and best labels of feature rows, in one pass; works on streams."""
     kept = [c for c in windows.columns if c not in FEATURE_NAMES]
-    scaled = with_vector(models.detector.decide(models.scaler.transform(windows)), FEATURE_NAMES)
-    scaled = scaled.select(*kept, "decision", "features")
-    scaled = boosted_probabilities(forest_probabilities(scaled, models.forest), models.boosted)
-    return vote(scaled.drop("features"))
+    shared = windows.sparkSession.sparkContext.broadcast((models.scaler, models.detector, models.forest, models.boosted))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scaler, detector, forest, boosted = shared.value
+        for batch in batches:
+            x = scaler.scaled(batch[list(FEATURE_NAMES)].to_numpy(float))
+            yield batch[kept].assign(decision=detector.raw_scores(x) - detector.offset, rf=list(forest.probabilities(x)), gb=list(boosted.probabilities(x)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields if f.name in kept)
+    return vote(windows.mapInPandas(score, f"{schema}, decision double, rf array<double>, gb array<double>"))
 
 
 def score_readings(df: DataFrame, models: Models, settings: Settings = DEFAULTS, **split) -> DataFrame:
@@ -91,28 +110,39 @@ def score_readings(df: DataFrame, models: Models, settings: Settings = DEFAULTS,
     )
 
 
+def vote_confusion(labelled: DataFrame, settings: Settings = DEFAULTS, label: str = "fault_label", **options) -> DataFrame:
+    """Rows per true and voted label on the held-out windows; ``faults`` makes metrics and reports of it."""
+    windows = training_windows(labelled, settings, label)
+    scaler = Scaler.fit(windows.where("NOT is_test"), FEATURE_NAMES)
+    train, test = (scaler.transform(windows.where(part)) for part in ("NOT is_test", "is_test"))
+    rounds, size = options.get("rounds"), {k: options.get(k) for k in ("trees", "depth")}
+    forest = fit_random_forest(train, FEATURE_NAMES, label, settings=settings, **size)
+    boosted = fit_boosted(train, FEATURE_NAMES, label, rounds, size["depth"], settings)
+    return confusion(vote(probabilities(test, forest, boosted)), label)
+
+
 def save(models: Models, spark: SparkSession, path: str) -> None:
     models.scaler.save(spark, f"{path}/scaler")
     models.detector.save(spark, f"{path}/detector")
-    models.forest.write().overwrite().save(f"{path}/forest")
-    for k, model in models.boosted.items():
-        model.write().overwrite().save(f"{path}/boosted/{k}")
+    models.forest.save(spark, f"{path}/forest")
+    models.boosted.save(spark, f"{path}/boosted")
+    models.forecaster.save(spark, f"{path}/forecaster")
     models.stats.write.mode("overwrite").parquet(f"{path}/stats")
     # Written last: its presence says that the other parts are complete.
-    labels = spark.createDataFrame([(k,) for k in models.boosted], "label int")
-    labels.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/complete")
 
 
 def load(spark: SparkSession, path: str) -> Models | None:
     """The saved models, or nothing unless all of them are there."""
     try:
-        labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").collect()]  # at most the known faults
+        spark.read.parquet(f"{path}/complete")
         return Models(
             Scaler.load(spark, f"{path}/scaler"),
             IsolationForest.load(spark, f"{path}/detector"),
-            RandomForestClassificationModel.load(f"{path}/forest"),
-            {k: GBTClassificationModel.load(f"{path}/boosted/{k}") for k in sorted(labels)},
+            Bagged.load(spark, f"{path}/forest"),
+            Boosted.load(spark, f"{path}/boosted"),
             spark.read.parquet(f"{path}/stats"),
+            Forecaster.load(spark, f"{path}/forecaster"),
         )
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":

@@ -41,10 +41,14 @@ _written: list[str] = []
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; DataFrames built on them end to work."""
-    conf = spark._jsc.hadoopConfiguration()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written and is used up."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from gridlens.catalog.oracles import ORACLES
 from gridlens.catalog.queries import QUERIES
 
 TRAINED = {"isolation_forest", "detector_train_metrics", "random_forest", "gradient_boosting", "cross_validate",
-           "feature_importance", "learned_forecaster", "score_readings", "fit_or_load", "stream_scores"}
+           "feature_importance", "learned_forecaster", "learned_forecast", "vote_metrics", "score_readings", "fit_or_load", "stream_scores"}
 
 
 @pytest.fixture(scope="module")
