@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.llm import langid, line_dedup, minhash, packing
+from gridlens.llm.order import Numbered
 from gridlens.llm.units import BATCH_ROWS
 from gridlens.session import materialize
 
@@ -50,9 +51,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _bounded(spark)
-    row = F.monotonically_increasing_id()
-    numbered = docs.select(row.alias("row"), F.struct(*docs.columns).alias("document"))
-    groups = minhash.near_duplicates(docs.select(row.alias("row"), "text"), id="row")
+    table = Numbered(docs)
+    numbered = table.select(document=F.struct(*docs.columns))
+    groups = minhash.near_duplicates(table.select(text=F.col("text")), id="row")
     ids = numbered.select("row", F.col("document.doc_id").alias("id"))
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
     first = groups.join(ids, "row").groupBy("component_id").agg(F.min(place).alias("first"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm.links import members, verified
+from gridlens.llm.order import Numbered
 from gridlens.llm.words import distinct, mix, set_keys, word_hashes
 from gridlens.session import materialize
 
@@ -306,13 +307,12 @@ REMOVED = "lines_removed"
 
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """Every row of ``df`` with its text without lines that match an earlier one, and the numbers of the lines taken out in ``lines_removed``."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    kept = unmatched(rows, share).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    table = Numbered(df)
+    kept = unmatched(table.select(id=F.col(id).cast("long"), text=F.col(text)), share).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
     kept = materialize(kept.select(F.col("row").alias("kept_row"), "kept"), "line-kept")
     rest = df.drop(REMOVED)
     names = rest.columns
-    numbered = rest.select(F.monotonically_increasing_id().alias("_row"), F.struct(*names).alias("_own"))
-    joined = numbered.join(kept, F.col("_row") == F.col("kept_row"), "left").select("_own.*", "kept")
+    joined = table.select(own=F.struct(*names)).join(kept, F.col("row") == F.col("kept_row"), "left").select("own.*", "kept")
     fields = rest.select("*", F.array(F.lit(0)).alias(REMOVED)).schema
     column = names.index(text)
 

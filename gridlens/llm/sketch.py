@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens.llm.order import Numbered
 from gridlens.session import materialize
 
 WORDS, FRACTION = 5, 1 / 8
@@ -96,7 +97,7 @@ def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -
     The edited text has its last ``n_chars // 2`` characters replaced by the first as many of the next
     document by descending id. Texts are shuffled once by row; the heads that replace something follow them.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = Numbered(df).select(id=F.col(id).cast("long"), text=F.coalesce(F.col(text), F.lit("")))
     next_rows = materialize(_successors(rows.select("row", "id", F.length("text").cast("long").alias("n_chars"))), "sketch-next")
     # both sides of the last join read this one shuffle of the texts
     ordered = rows.join(next_rows.select(F.col("row").alias("before"), F.col("next").alias("row"), F.col("n_chars").alias("n_before")), "row")

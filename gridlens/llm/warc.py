@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.llm.order import Numbered
 from gridlens.session import materialize
 
 END = "\r\n"
@@ -48,7 +49,7 @@ def _record_id(id: Column, row: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     """Write one record per row as ``*.txt.gz`` archives under ``path``."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(url).cast("string").alias("url"), body.alias("body"))
+    rows = Numbered(pages).select(id=F.col(id), url=F.col(url).cast("string"), body=body)
     rows = rows.withColumns({"digest": F.sha2("body", 256), "bytes": F.octet_length("body")})
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"))
     heads = materialize(rows.where(F.col("bytes") >= least_bytes).select("row", "id", "digest"), "warc-headers")
