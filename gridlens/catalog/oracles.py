@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from gridlens.config import FAULT_NAMES, FAULT_SEVERITY, SIGNALS
+from gridlens.catalog import trees
+from gridlens.config import SIGNALS
+
+# Names and severities by fault id, stated here as well so that a wrong one does not pass.
+FAULT_NAMES = dict(enumerate(["Normal", "Overvoltage", "Undervoltage", "Overcurrent", "Overload", "Voltage Sag", "Voltage Swell",
+                              "Power Factor Issue", "Harmonic Distortion", "Phase Imbalance"]))
+FAULT_SEVERITY = dict(zip(FAULT_NAMES.values(), [0, 3, 3, 4, 5, 1, 2, 1, 2, 3]))
 
 ORACLES: dict[str, str] = {}
 
@@ -256,11 +262,13 @@ O["report_summary"] = f"""SELECT p.*, {r('kwh')} AS energy_kwh, {r('kwh * 6.5e0'
 FROM ({peaks(READINGS)}) p JOIN ({totals(READINGS)}) t USING (device_id)"""
 O["recent"] = f"SELECT * FROM ({READINGS}) ORDER BY ts DESC, seq DESC LIMIT 80"
 O["merge_alerts_into_log"] = f"""WITH late AS ({newest(ALERT_RECORDS, 10, order='timestamp DESC, seq DESC')}),
+log AS (SELECT *, {SECOND.format('ts')} AS time FROM ({newest(READINGS, 20)})),
 one AS (SELECT *, row_number() OVER (PARTITION BY device_id, {SECOND.format('timestamp')} ORDER BY age) AS k FROM late),
 lines AS (SELECT device_id, {SECOND.format('timestamp')} AS time, seq, voltage, current, power,
   CASE WHEN severity = 'critical' THEN 'danger' ELSE 'warning' END AS status, substr(concat(type, ': ', detail), 1, 40) AS status_text,
-  TRUE AS is_alert, 0 AS part, -age AS rk FROM one WHERE k = 1
-  UNION ALL SELECT device_id, {SECOND.format('ts')}, seq, voltage, current, power, {LEVEL3}, {STATUS3}, FALSE, 1, age FROM ({newest(READINGS, 20)})),
+  TRUE AS is_alert, 0 AS part, -age AS rk FROM one WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM log WHERE log.device_id = one.device_id AND log.seq % 4 = 0
+    AND log.time = {SECOND.format('one.timestamp')})
+  UNION ALL SELECT device_id, time, seq, voltage, current, power, {LEVEL3}, {STATUS3}, seq % 4 = 0, 1, age FROM log),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY device_id ORDER BY part, rk) AS INT) AS position FROM lines)
 SELECT device_id, time, seq, voltage, current, power, status, status_text, is_alert, position FROM n WHERE position <= 200"""
 
@@ -739,3 +747,36 @@ SELECT device_id, pos, {r('total', 1)} AS overall_score, {health_label('total')}
 O["stream_recommendations"] = f"""WITH b AS ({tenth(READINGS)}), f AS (SELECT * FROM ({summary('SELECT * FROM b')}) JOIN ({totals('SELECT * FROM b')}) USING (device_id)),
 {ADVICE} SELECT device_id, samples AS pos, CAST(row_number() OVER (PARTITION BY device_id ORDER BY rank, rule) AS INT) AS position,
   CASE rank WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, title FROM a JOIN f USING (device_id)"""
+
+# Trees that are given as nodes, walked level by level
+
+_NODES = ", ".join(
+    f"({t}, {n}, {f}, {'NULL' if b == float('inf') else repr(b) + 'e0'}, {u}, {o}, {d!r}e0, {w})" for t, n, f, b, u, o, d, _, w in trees.nodes()
+)
+
+
+def walked(base: str) -> str:
+    """Every reading's leaf in every tree."""
+    signal = "CASE n.feature WHEN 0 THEN voltage WHEN 1 THEN current ELSE power END"
+    steps = [f"n AS (SELECT * FROM (VALUES {_NODES}) AS v(tree, node, feature, border, below, above, length, weights))",
+             f"w0 AS (SELECT b.*, tree, 0 AS node FROM ({base}) b, (SELECT DISTINCT tree FROM n))"]
+    for k in range(trees.LEVELS):
+        steps.append(
+            f"w{k + 1} AS (SELECT w.* REPLACE (CASE WHEN n.border IS NULL THEN w.node WHEN {signal} <= n.border THEN n.below ELSE n.above END AS node) FROM w{k} w JOIN n USING (tree, node))"
+        )
+    return "WITH " + ", ".join(steps) + f", leaves AS (SELECT w.*, length, weights FROM w{trees.LEVELS} w JOIN n USING (tree, node))"
+
+
+DECIDED = f"""d AS (SELECT device_id, seq, -pow(2e0, -avg(length) / (2 * (ln(255e0) + 0.5772156649015329e0) - 2 * 255e0 / 256)) + 0.5e0 AS decision
+FROM leaves GROUP BY device_id, seq)"""
+O["forest_decisions"] = f"{walked(READINGS)}, {DECIDED} SELECT device_id, seq, {r('decision')} AS decision, decision < 0 AS is_outlier FROM d"
+O["forest_metrics"] = f"""{walked(READINGS)}, {DECIDED} SELECT count(*) AS total_samples, count(*) FILTER (WHERE decision < 0) AS anomalies_found,
+  {r('count(*) FILTER (WHERE decision < 0) / count(*)')} AS anomaly_rate, {r('avg(decision)')} AS score_mean, {r('stddev_pop(decision)')} AS score_std FROM d"""
+O["forest_votes"] = f"""{walked(READINGS)},
+f AS (SELECT device_id, seq, k AS id, sum(weights[k + 1] / list_sum(weights)) / {trees.TREES} AS p FROM leaves, (SELECT range AS k FROM range(10)) GROUP BY 1, 2, 3),
+m AS (SELECT device_id, seq, [0, 3, 4, 7][tree % 4 + 1] AS id, sum((weights[1] - weights[2]) / 10e0) + 0.1e0 * [0, 3, 4, 7][tree % 4 + 1] AS z FROM leaves GROUP BY device_id, seq, tree % 4),
+g AS (SELECT device_id, seq, id, exp(z) / sum(exp(z)) OVER (PARTITION BY device_id, seq) AS p FROM m),
+v AS (SELECT f.device_id, f.seq, CAST(f.id AS INT) AS id, f.p * 0.55e0 + coalesce(g.p, 0) * 0.45e0 AS p FROM f LEFT JOIN g USING (device_id, seq, id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY device_id, seq ORDER BY p DESC, id) AS k FROM v)
+SELECT device_id, seq, max(CASE WHEN k = 1 THEN id END) AS fault_id, {r('max(CASE WHEN k = 1 THEN p END)')} AS confidence,
+  max(CASE WHEN k = 1 THEN {name_of('id')} END) AS first_name, {r('max(CASE WHEN k = 2 THEN p END)')} AS second_prob FROM o GROUP BY device_id, seq"""

@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlens.catalog import trees
 from gridlens.config import SIGNALS
 from gridlens.functions import scalar as S
 from gridlens.functions.numeric import half_up
-from gridlens.operators import anomaly, energy, faults, features, forecast, forecaster, insights, learn, records, serving
+from gridlens.operators import anomaly, bagging, boosting, energy, faults, features, forecast, forecaster, insights, learn, records, serving
 from gridlens.operators import forest as learned_forest
 from gridlens.plans import reports, scoring
 from gridlens.session import materialize, scratch_path, tune
@@ -266,7 +268,8 @@ def recent(spark, folder):
 @query
 def merge_alerts_into_log(spark, folder):
     rows = _recorded(spark, folder)
-    log = records.reading_log(rows, 20)
+    # Every fourth line of the log tells of an alert already.
+    log = records.reading_log(rows, 20).withColumn("is_alert", F.col("seq") % 4 == 0)
     return records.merge_alerts_into_log(log, records.alert_record(rows)).drop("ts")
 
 
@@ -728,6 +731,46 @@ def detector_train_metrics(spark, folder):
     return rounded(learned_forest.detector_metrics(forest.decide(windows)))
 
 
+def _given_trees():
+    columns = ["tree", "node", "feature", "border", "below", "above", "length", "gain", "weights"]
+    return pd.DataFrame(trees.nodes(), columns=columns)
+
+
+def _given_detector():
+    forest = learned_forest.IsolationForest.from_nodes(_given_trees(), SIGNALS, trees.SAMPLE)
+    forest.offset = trees.OFFSET
+    return forest
+
+
+@query
+def forest_decisions(spark, folder):
+    """Decisions of a detector whose trees are given."""
+    scored = _given_detector().decide(readings(spark, folder))
+    return rounded(scored.select(*READING, "decision", (F.col("decision") < 0).alias("is_outlier")))
+
+
+@query
+def forest_metrics(spark, folder):
+    """Size, anomalies and scores of a table scored by given trees."""
+    return rounded(learned_forest.detector_metrics(_given_detector().decide(readings(spark, folder))))
+
+
+def _given_classifiers():
+    nodes = _given_trees()
+    shares = nodes["weights"].map(lambda w: [x / sum(w) for x in w])
+    forest = bagging.Bagged.from_table(nodes.assign(shares=shares), SIGNALS, trees.LEVELS)
+    labels = [0, 3, 4, 7]
+    nodes["value"] = nodes["weights"].map(lambda w: (w[0] - w[1]) / 10)
+    return forest, boosting.Boosted.from_table(nodes, SIGNALS, labels, [0.1 * k for k in labels], trees.LEVELS)
+
+
+@query
+def forest_votes(spark, folder):
+    """Faults by the vote of a forest and of boosted trees that are given."""
+    found = learn.vote(learn.probabilities(readings(spark, folder), *_given_classifiers()))
+    return rounded(found.select(*READING, "fault_id", "confidence", F.col("top")[0]["name"].alias("first_name"), F.col("top")[1]["prob"].alias("second_prob")))
+
+
 @query
 def random_forest(spark, folder):
     windows = _training_windows(spark, folder)

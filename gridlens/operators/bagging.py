@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, FAULT_NAMES, Settings
-from gridlens.operators.binning import BINS, Borders, coded_rows, mixed
+from gridlens.operators.binning import BINS, Borders, coded_rows, flat, mixed
 from gridlens.operators.forest import draws_at_least
 from gridlens.session import materialize
 
@@ -111,15 +111,17 @@ class Bagged:
 
     @classmethod
     def from_nodes(cls, nodes: pd.DataFrame, borders: Borders, levels: int) -> Bagged:
-        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-        sizes = nodes.groupby("tree").size()
-        starts = sizes.cumsum() - sizes
-        shift = nodes["tree"].map(starts).to_numpy(dtype=int)
         feature, bins = nodes["feature"].to_numpy(), nodes["bin"].to_numpy()
         border = np.where(bins < 255, borders.values[feature, np.minimum(bins, borders.values.shape[1] - 1)], np.inf)
-        shares = np.array(nodes["shares"].tolist(), dtype=np.float32).reshape(len(nodes), -1)
-        below, above = (nodes[c].to_numpy() + shift for c in ("below", "above"))
-        return cls(borders.names, starts.to_numpy(dtype=int), feature, border, below, above, nodes["gain"].to_numpy(), shares, levels)
+        return cls.from_table(nodes.assign(border=border, shares=[np.float32(s) for s in nodes["shares"]]), borders.names, levels)
+
+    @classmethod
+    def from_table(cls, nodes: pd.DataFrame, names: Sequence[str], levels: int) -> Bagged:
+        """A forest from rows (tree, node, feature, border, below, above, gain, shares), whose leaves lead to themselves."""
+        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
+        nodes, starts = flat(nodes)
+        columns = {c: nodes[c].to_numpy() for c in ("feature", "border", "below", "above", "gain")}
+        return cls(names=list(names), roots=starts, shares=np.array(nodes["shares"].tolist()).reshape(len(nodes), -1), levels=levels, **columns)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """A row per row of ``x`` and a column per label id."""

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ class Borders:
         return np.stack([np.searchsorted(b, x, side="left") for b, x in zip(self.values, columns, strict=True)]).astype(np.uint8)
 
 
+def flat(nodes: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Nodes (tree, node, below, above) sorted by tree and node with children as places in the table, and the places of the roots."""
+    place = {key: k for k, key in enumerate(zip(nodes["tree"], nodes["node"], strict=True))}
+    children = {c: np.array([place[key] for key in zip(nodes["tree"], nodes[c], strict=True)], dtype=int) for c in ("below", "above")}
+    return nodes.assign(**children), np.flatnonzero(~nodes["tree"].duplicated().to_numpy())
+
+
 def row_number(key: Sequence[str]) -> Column:
     """64 bits that stand for a row's key in random draws."""
     return F.xxhash64(*key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlens.config import DEFAULTS, FAULT_NAMES, Settings
-from gridlens.operators.binning import BINS, Borders, coded_blocks, mixed
+from gridlens.operators.binning import BINS, Borders, coded_blocks, flat, mixed
 from gridlens.operators.ordered import TASK_FLOOR
 from gridlens.session import delete, scratch_path
 
@@ -257,6 +257,13 @@ class Boosted:
         border = np.array([borders.values[f, b] if b < 255 else np.inf for f, b in zip(feature, bins, strict=True)])
         return cls(borders.names, labels, prior, roots, feature, border, below + shift, above + shift, value, max((t.levels for t in trees), default=0))
 
+    @classmethod
+    def from_table(cls, nodes: pd.DataFrame, names: Sequence[str], labels: Sequence[int], prior: Sequence[float], levels: int) -> Boosted:
+        """Rounds from rows (tree, node, feature, border, below, above, value): a tree for each label in turn, whose leaves lead to themselves."""
+        nodes, starts = flat(nodes.sort_values(["tree", "node"], ignore_index=True))
+        columns = {c: nodes[c].to_numpy() for c in ("feature", "border", "below", "above", "value")}
+        return cls(names=list(names), labels=list(labels), prior=np.array(prior, dtype=float), roots=starts, levels=levels, **columns)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """A row per row of ``x`` and a column per label id, all of them."""
         out = np.zeros((len(x), len(FAULT_NAMES)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlens.config import DEFAULTS, Settings
+from gridlens.operators.binning import flat
 
 SAMPLE = 256
 SPARE = 1.5  # rows drawn per tree for each row it keeps
@@ -70,20 +71,10 @@ class IsolationForest:
 
     @classmethod
     def from_nodes(cls, nodes: pd.DataFrame, names: Sequence[str], sample: int) -> IsolationForest:
-        nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-        sizes = nodes.groupby("tree").size()
-        starts = sizes.cumsum() - sizes
-        shift = nodes["tree"].map(starts).to_numpy()
-        return cls(
-            list(names),
-            sample,
-            starts.to_numpy(),
-            nodes["feature"].to_numpy(),
-            nodes["border"].to_numpy(),
-            nodes["below"].to_numpy() + shift,
-            nodes["above"].to_numpy() + shift,
-            nodes["length"].to_numpy(),
-        )
+        """A forest from rows (tree, node, feature, border, below, above, length), whose leaves lead to themselves."""
+        nodes, starts = flat(nodes.sort_values(["tree", "node"], ignore_index=True))
+        columns = {c: nodes[c].to_numpy() for c in ("feature", "border", "below", "above", "length")}
+        return cls(names=list(names), sample=sample, roots=starts, **columns)
 
     def raw_scores(self, x: np.ndarray) -> np.ndarray:
         """Scores from -1 (isolated at once) to 0."""
@@ -100,12 +91,12 @@ class IsolationForest:
 
     def decide(self, df: DataFrame) -> DataFrame:
         """Add ``decision``, which is negative for anomalies."""
-        names, offset, forest = self.names, self.offset, self
+        names, shared = self.names, df.sparkSession.sparkContext.broadcast(self)  # trees and sample bound its size
         schema = T.StructType(df.schema.fields + [T.StructField("decision", T.DoubleType())])
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch.assign(decision=forest.raw_scores(batch[names].to_numpy(float)) - offset)
+                yield batch.assign(decision=shared.value.raw_scores(batch[names].to_numpy(float)) - shared.value.offset)
 
         return df.mapInPandas(score, schema)
 

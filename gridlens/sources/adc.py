@@ -62,8 +62,13 @@ def adc_to_rms(df: DataFrame, window_ms: int = 200, keys: Sequence[str] = KEYS)
     return df.groupBy(*keys, start).agg(*rms_columns())
 
 
-def smooth(previous: float, x: np.ndarray, alpha: float, snap: float) -> np.ndarray:
-    """Exponential smoothing that drops to zero once the input is zero and the level small."""
+SCAN = 32  # rows whose response to each other is one product of matrices
+FIRST_PART, LAST_PART = 256, 16_384  # rows smoothed at once, after a drop to zero and at most
+EACH_PART = 2_048  # rows smoothed value by value where drops follow each other closely
+
+
+def _smooth_each(previous: float, x: np.ndarray, alpha: float, snap: float) -> np.ndarray:
+    """Smoothing value by value, for inputs that drop to zero all the time."""
     out = np.empty(len(x))
     s = previous
     for n, value in enumerate(x.tolist()):
@@ -72,6 +77,52 @@ def smooth(previous: float, x: np.ndarray, alpha: float, snap: float) -> np.ndar
     return out
 
 
+def _smooth_linear(previous: float, x: np.ndarray, alpha: float) -> np.ndarray:
+    """Smoothing without drops: blocks of rows on their own, then the level each of them begins with."""
+    keep, rows = 1.0 - alpha, -(-len(x) // SCAN)
+    powers = keep ** np.arange(1, SCAN + 1)
+    apart = np.arange(SCAN)[:, None] - np.arange(SCAN)
+    response = np.where(apart >= 0, alpha * keep ** np.maximum(apart, 0), 0.0)
+    alone = np.concatenate([x, np.zeros(rows * SCAN - len(x))]).reshape(rows, SCAN) @ response.T
+    begins, level, fade = np.empty(rows), previous, float(powers[-1])
+    for n, end in enumerate(alone[:, -1].tolist()):
+        begins[n] = level
+        level = level * fade + end
+    return (alone + begins[:, None] * powers).ravel()[: len(x)]
+
+
+def smooth(previous: float, x: np.ndarray, alpha: float, snap: float) -> np.ndarray:
+    """Exponential smoothing that drops to zero once the input is zero and the level small.
+
+    Parts of the rows are smoothed as if nothing dropped; what comes before the first drop of a part stands, the
+    zeros after it are zero, and smoothing starts anew from there. Parts grow while nothing drops. Sums are added up in another
+    order than value by value, so a level that differs from ``snap`` by rounding alone may count as on either side.
+    """
+    out = np.empty(len(x))
+    zero, filled = x == 0.0, np.flatnonzero(x != 0.0)
+    at, part, level = 0, FIRST_PART, previous
+    while at < len(x):
+        end = min(at + part, len(x))
+        run = _smooth_linear(level, x[at:end], alpha)
+        before = np.concatenate([[level], run[:-1]])
+        drops = np.flatnonzero(zero[at:end] & (before < snap))
+        stands = int(drops[0]) if len(drops) else end - at
+        out[at : at + stands] = run[:stands]
+        if len(drops):
+            resume = int(np.searchsorted(filled, at + stands))
+            resume = int(filled[resume]) if resume < len(filled) else len(x)
+            out[at + stands : resume] = 0.0
+            level, part = 0.0, FIRST_PART
+            if resume - at < FIRST_PART // 4:
+                end = min(resume + EACH_PART, len(x))
+                out[resume:end] = _smooth_each(0.0, x[resume:end], alpha, snap)
+                resume, level = end, float(out[end - 1])
+            at = resume
+        else:
+            at, part, level = end, min(2 * part, LAST_PART), float(run[-1])
+    return out
+
+
 def transfer(x: np.ndarray, alpha: float, snap: float) -> list[tuple[float, float, float]]:
     """How a run of inputs maps the level before it to the level after it.
 
@@ -81,10 +132,16 @@ def transfer(x: np.ndarray, alpha: float, snap: float) -> list[tuple[float, floa
     """
     keep = 1.0 - alpha
     pieces = [(0.0, 1.0, 0.0)]
-    for value in x.tolist():
-        if value != 0.0:
-            pieces = [(lo, gain * keep, offset * keep + alpha * value) for lo, gain, offset in pieces]
-            continue
+    done = 0
+    for zero in [*np.flatnonzero(x == 0.0).tolist(), len(x)]:
+        if zero > done:  # all values between two zeros scale the pieces at once
+            run = x[done:zero]
+            fade = keep ** len(run)
+            reached = alpha * float(run @ keep ** np.arange(len(run) - 1, -1, -1.0))
+            pieces = [(lo, gain * fade, offset * fade + reached) for lo, gain, offset in pieces]
+        done = zero + 1
+        if zero == len(x):
+            break
         changed: list[tuple[float, float, float]] = []
         for n, (lo, gain, offset) in enumerate(pieces):
             end = pieces[n + 1][0] if n + 1 < len(pieces) else float("inf")

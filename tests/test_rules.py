@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,22 @@ def test_unknown_faults(spark):
 
 def test_rounding_goes_up_at_ties(spark):
     assert [one(spark, numeric.half_up("x", 2), x=x) for x in (1.005, 2.675, 0.125, 1.0)] == [1.01, 2.68, 0.13, 1.0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_smoothing_at_once_is_smoothing_each(seed):
+    """Long runs, rare and frequent zeros, nothing but zeros, and short inputs, from several levels."""
+    from gridlens.sources import adc
+
+    rng = np.random.default_rng(seed)
+    cases = [rng.normal(230, 2, 70_000), np.where(rng.random(20_000) < 0.002, 0, 5.3), np.where(rng.random(9_000) < 0.66, 0, rng.random(9_000))]
+    cases += [np.where(np.arange(30_000) // 3_000 % 2 == 0, rng.random(30_000) * 5, 0), np.zeros(500), np.ones(1), np.zeros(0), rng.normal(0, 1, 700)]
+    for x in cases:
+        for level, alpha, snap in ((0.0, 0.2, 0.05), (3.0, 0.2, 5.0), (250.0, 0.7, 0.05)):
+            each = adc._smooth_each(level, x, alpha, snap)
+            once = adc.smooth(level, x, alpha, snap)
+            assert np.allclose(once, each, rtol=0, atol=1e-9) and ((once == 0) == (each == 0)).all()
+            cut = len(x) // 3
+            pieces = adc.transfer(x[:cut], alpha, snap)
+            if (x >= 0).all() and cut:
+                assert abs(adc.after(level, pieces) - each[cut - 1]) < 1e-9
