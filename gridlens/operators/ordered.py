@@ -15,6 +15,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlens.config import KEYS, ORDER
 from gridlens.session import materialize
@@ -25,7 +26,9 @@ SMALL_BYTES = 32 << 20  # an input this small fits in one task, so that its grou
 ROW_BYTES = 16  # of a reading in a file, to estimate rows from bytes
 TASK_ROWS = 4_000_000  # rows per shuffle partition at scale
 TASK_CEILING = 200_000  # shuffle partitions a driver can keep track of
-SLICES = 512  # slices of map tasks in a two-step top-n
+PRECISION = 1_000  # of the quantiles of a large group's times; their error is a part in so many of its rows
+TAILS = 20  # halvings of a group that the quantiles tell
+CUT_ROUNDS = 3
 TASK_FLOOR = 8_192  # below this, a further task costs more than it saves
 
 
@@ -179,6 +182,39 @@ def running_sums(series: Series, df: DataFrame, sums: Mapping[str, Column]) -> D
     ).drop(*[f"_before_{name}" for name in sums])
 
 
+def _times(column: str, df: DataFrame) -> Column | None:
+    """A column to order by as a number, if it has one."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.col(column) if isinstance(kind, T.NumericType) else None
+
+
+def recent_part(df: DataFrame, n: int, keys: Sequence[str], first: str, limit: int) -> DataFrame:
+    """Without most of the older rows of groups of more than ``limit`` rows; their newest ``n`` by ``first`` all stay.
+
+    Groups of that size are few, at most rows / ``limit``, so what is known of them can be broadcast. Mergeable quantile summaries, halving the tail from step to step, give each
+    a time after which there are at least ``n`` rows whatever the summaries' error, and seldom more than twice that and the error. One round leaves
+    about a part in ``PRECISION`` / 4 of a group, so a second one is needed for the very largest only.
+    """
+    t = _times(first, df)
+    if t is None:
+        return df
+    tails = F.array(*[F.lit(1 - 2.0**-k) for k in range(1, TAILS + 1)])
+    for _ in range(CUT_ROUNDS):
+        sizes = df.groupBy(*keys).agg(F.count(t).alias("_size")).filter(F.col("_size") > limit)
+        heavy = materialize(sizes, "large-groups")
+        least = F.lit(n) + F.ceil(F.col("_size") * 2 / PRECISION) + 1
+        step = F.floor(F.log2(F.col("_size") / least)).cast("int")
+        found = df.join(F.broadcast(heavy), list(keys)).groupBy(*keys, "_size").agg(F.percentile_approx(t, tails, F.lit(PRECISION)).alias("_tails"))
+        cutoffs = found.filter(step >= 1).select(*keys, F.element_at("_tails", F.least(step, F.lit(TAILS))).alias("_cutoff"))
+        cutoffs = materialize(cutoffs, "cutoffs")
+        if cutoffs.isEmpty():
+            break
+        df = df.join(F.broadcast(cutoffs), list(keys), "left").filter(F.col("_cutoff").isNull() | (t >= F.col("_cutoff"))).drop("_cutoff")
+    return df
+
+
 def latest(
     df: DataFrame,
     n: int,
@@ -188,9 +224,9 @@ def latest(
 ) -> DataFrame:
     """The newest ``n`` rows of each group, with ``age`` 1 for the newest.
 
-    Spark keeps at most ``n`` rows per group in each map task before the shuffle. When a group
-    is large, the survivors of many map tasks are first cut to ``n`` per slice of tasks, so no
-    reducer sees more than ``n`` rows from each of a bounded number of tasks or slices.
+    Groups of more than ``limit`` rows first lose what is older than a time that their newest
+    ``n`` rows are known to lie after, so that no reducer sees many more than ``limit`` rows of a group,
+    whatever Spark's own limit on ranks in map tasks is set to.
     """
     _, largest = group_sizes(df, keys, exact=limit is not None)
     newest = [F.col(c).desc() for c in order]
@@ -200,6 +236,5 @@ def latest(
         return rows.withColumn("age", age.cast("long")).filter(F.col("age") <= n)
 
     if largest > (limit or GROUP_LIMIT):
-        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
-        df = cut(salted, *keys, "_salt").drop("_salt", "age")
+        df = recent_part(df, n, keys, order[0], limit or GROUP_LIMIT)
     return cut(df, *keys)

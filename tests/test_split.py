@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlens.operators import anomaly, energy, faults, features, forecast, ordered, records
 from gridlens.plans import reports
+from gridlens.session import materialize
 from gridlens.sources import adc, parse, tables
 
 SPLIT = {"limit": 20, "chunk": 32}
@@ -60,6 +61,24 @@ def test_two_step_latest(spark, small, n):
     assert_frame_equal(frame(ordered.latest(spread, n)), frame(ordered.latest(spread, n, limit=5)))
 
 
+def test_newest_of_a_busy_device_are_few_before_the_rank(spark):
+    """Without any limit on ranks in map tasks, and with ties at the cutoff: what is ranked is a small part, and has the newest rows."""
+    at = F.timestamp_seconds(F.floor(F.col("id") / 3) + 1_700_000_000).cast("timestamp_ntz")
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 1000).otherwise(-1).alias("device_id"), F.col("id").alias("seq"), at.alias("ts"))
+    df = materialize(df.orderBy(F.xxhash64("seq")), "busy")
+    left = ordered.recent_part(df, 50, ("device_id",), "ts", 5_000)
+    sizes = {r["device_id"]: r["n"] for r in left.groupBy("device_id").agg(F.count("*").alias("n")).collect()}
+    assert 50 <= sizes[-1] <= 2_500 and all(sizes[k] == 30 for k in sizes if k >= 0)
+    held = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
+    try:
+        found = ordered.latest(df, 50, limit=5_000).filter("device_id = -1").collect()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", held)
+    busy = sorted((r["seq"] for r in df.filter("device_id = -1").collect()), reverse=True)[:50]
+    assert {r["seq"]: r["age"] for r in found} == {s: n for n, s in enumerate(busy, start=1)}
+
+
 def test_latest_is_cut_before_the_shuffle(small):
     plan = ordered.latest(small, 30)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
