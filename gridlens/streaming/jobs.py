@@ -106,7 +106,9 @@ class Tables:
 
     Each micro-batch writes its rows to a folder named after its id, so a repeated micro-batch
     replaces its own rows. Every ``compact_every`` micro-batches, each table is reduced to what
-    it keeps and written as a new base; readers take the newest base and the batches after it.
+    it keeps and written as a new base; readers take the newest base and the batches after it. What the base
+    before that held is deleted then, so a reader has ``compact_every`` micro-batches to end, and a table has at most
+    twice as many folders.
     """
 
     def __init__(
@@ -146,8 +148,8 @@ class Tables:
                 return None
             raise
 
-    def read(self, name: str, upto_batch: int | None = None) -> DataFrame | None:
-        """The present rows of a table, or those as of a micro-batch."""
+    def read(self, name: str, upto_batch: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+        """The present rows of a table, or those as of a micro-batch; with ``only``, of the devices in it."""
         base, batches = self._load(f"{self.root}/{name}_base"), self._load(f"{self.root}/{name}")
         if upto_batch is not None:
             # A base of the same micro-batch may be left from an earlier try and is about to be replaced.
@@ -160,6 +162,8 @@ class Tables:
             found = base.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch_id")
             if batches is not None:
                 found = found.unionByName(batches.filter(F.col("batch_id") > upto))
+        if found is not None and only is not None:  # before anything is sorted
+            found = found.join(only.select("device_id"), "device_id", "left_semi")
         return None if found is None else self.reducers[name](found.drop("batch_id"))
 
     def _write(self, name: str, batch_id: int, rows: DataFrame) -> None:
@@ -170,9 +174,10 @@ class Tables:
             rows = self.read(name, batch_id)
             if rows is not None:
                 rows.write.mode("overwrite").parquet(f"{self.root}/{name}_base/upto={batch_id}")
+                self.expire(name, batch_id - self.compact_every)
 
     def expire(self, name: str, upto: int) -> None:
-        """Delete the batches of a table that its base of micro-batch ``upto`` holds, and older bases."""
+        """Delete the batches of a table that a base of micro-batch ``upto`` or later holds, and bases before ``upto``."""
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
         for folder, key in ((f"{self.root}/{name}", "batch_id"), (f"{self.root}/{name}_base", "upto")):
@@ -203,8 +208,8 @@ class Tables:
         due = batch.filter(F.col("pos") % self.health_every == 0).groupBy("device_id").agg(F.max("pos").alias("pos"))
         self._health(batch_id, due)
         if self.perf_log is not None:
-            calls = batch.filter(F.col("pos") % self.perf_every == 0).select("device_id").distinct()
-            log = self.perf_log.join(calls, "device_id", "left_semi")
+            calls = batch.filter(F.col("pos") % self.perf_every == 0).groupBy("device_id").agg(F.max("ts").alias("_until"))
+            log = self.perf_log.join(calls, "device_id").filter(F.col("ts") <= F.col("_until")).drop("_until")
             self._write("perf", batch_id, perf_snapshot(latency_stats(log), log))
         if (batch_id + 1) % self.compact_every == 0:
             self.compact(batch_id)
@@ -212,7 +217,7 @@ class Tables:
 
     def _health(self, batch_id: int, due: DataFrame) -> None:
         """Health and recommendations as of each due device's newest multiple of ``health_every``."""
-        history = self.read("history", batch_id)
+        history = self.read("history", batch_id, only=due)
         rows = history.join(due.withColumnRenamed("pos", "_due"), "device_id").filter(F.col("pos") <= F.col("_due"))
         facts = device_summary(rows.drop("_due"))
         self._write("health", batch_id, health_score(facts, self.settings).join(due, "device_id"))

@@ -121,6 +121,8 @@ def test_tables(spark, folder, tmp_path):
         assert kept.read("perf").count() == 10
 
     check()
+    folders = {f"{n}{b}": sorted(f.name for f in (tmp_path / "tables" / f"{n}{b}").iterdir() if "=" in f.name) for n in ("readings", "history") for b in ("", "_base")}
+    assert folders["readings"] == folders["history"] == ["batch_id=2", "batch_id=3"] and folders["history_base"] == ["upto=1", "upto=3"]
     raw = scored(jobs.run_to_table(state.running_stats(streamed(spark, folder))))
     last = raw.filter("seq >= 750")
     kept.store(last, 3)
