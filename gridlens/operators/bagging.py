@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridlens.config import DEFAULTS, FAULT_NAMES, Settings
 from gridlens.operators.binning import BINS, Borders, coded_rows, flat, mixed
 from gridlens.operators.forest import draws_at_least
-from gridlens.session import materialize
+from gridlens.session import materialize, share
 
 NODES_AT_ONCE = 256  # nodes whose histograms a task holds together
 SCORED_ROWS = 2_000
@@ -248,12 +248,12 @@ def prepared(df: DataFrame, names: Sequence[str], label: str, key: Sequence[str]
 
 def with_probabilities(df: DataFrame, models: dict[str, object]) -> DataFrame:
     """A column with the probabilities of all label ids for each named model, in one pass over the rows."""
-    shared = df.sparkSession.sparkContext.broadcast(models)  # trees and depth bound their size
+    shared = share(df.sparkSession, models)  # trees and depth bound their size
     kinds = ", ".join(f"{name} array<double>" for name in models)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {name: list(model.probabilities(batch[model.names].to_numpy(float))) for name, model in shared.value.items()}
+            found = {name: list(model.probabilities(batch[model.names].to_numpy(float))) for name, model in shared().items()}
             yield batch.assign(**found)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gridlens.config import DEFAULTS, Settings
 from gridlens.operators.binning import flat
+from gridlens.session import share
 
 SAMPLE = 256
 SPARE = 1.5  # rows drawn per tree for each row it keeps
@@ -91,12 +92,13 @@ class IsolationForest:
 
     def decide(self, df: DataFrame) -> DataFrame:
         """Add ``decision``, which is negative for anomalies."""
-        names, shared = self.names, df.sparkSession.sparkContext.broadcast(self)  # trees and sample bound its size
+        names, shared = self.names, share(df.sparkSession, self)  # trees and sample bound its size
         schema = T.StructType(df.schema.fields + [T.StructField("decision", T.DoubleType())])
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch.assign(decision=shared.value.raw_scores(batch[names].to_numpy(float)) - shared.value.offset)
+                forest = shared()
+                yield batch.assign(decision=forest.raw_scores(batch[names].to_numpy(float)) - forest.offset)
 
         return df.mapInPandas(score, schema)
 

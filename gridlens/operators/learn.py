@@ -16,6 +16,7 @@ from gridlens.functions.scalar import predicted_class, predicted_confidence, sof
 from gridlens.operators.bagging import Bagged, fit_random_forest, fold_of, grow_forests, prepared, with_probabilities
 from gridlens.operators.binning import row_number
 from gridlens.operators.boosting import Boosted, fit_boosted
+from gridlens.session import share
 
 __all__ = ["Scaler", "bounded_rows", "cross_validate", "feature_importance", "fit_boosted", "fit_random_forest", "probabilities", "vote"]
 
@@ -108,7 +109,7 @@ def fold_scores(
     """
     rows, borders, counts = prepared(df, names, label, key)
     forests = grow_forests(rows, borders, counts, folds, trees or settings.trees, depth or settings.tree_depth, settings, seed)
-    shared = df.sparkSession.sparkContext.broadcast(forests)
+    shared = share(df.sparkSession, forests)
     names = list(names)
     numbered = df.where(F.col(label).isNotNull()).withColumn("number", row_number(key))
     plain = numbered.select(fold_of(folds, seed).alias("fold"), F.col(label).cast("int").alias("label"), *names)
@@ -118,7 +119,8 @@ def fold_scores(
             x, best = batch[names].to_numpy(float), np.zeros(len(batch), int)
             for fold in batch["fold"].unique():
                 own = (batch["fold"] == fold).to_numpy()
-                best[own] = shared.value[fold].probabilities(x[own]).argmax(axis=1) if fold in shared.value else 0
+                forest = shared().get(int(fold))
+                best[own] = forest.probabilities(x[own]).argmax(axis=1) if forest else 0
             yield batch[["fold", "label"]].assign(predicted=best)
 
     counted = plain.mapInPandas(predict, "fold int, label int, predicted int").groupBy("fold", "label", "predicted").agg(F.count(F.lit(1)).alias("n"))

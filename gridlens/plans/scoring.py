@@ -20,7 +20,7 @@ from gridlens.operators.features import FEATURE_NAMES, sliding_features
 from gridlens.operators.forecaster import Forecaster, fit_forecaster
 from gridlens.operators.forest import IsolationForest, fit_isolation_forest
 from gridlens.operators.learn import Scaler, bounded_rows, fit_boosted, fit_random_forest, probabilities, vote
-from gridlens.session import materialize
+from gridlens.session import materialize, share
 
 
 @dataclass
@@ -73,10 +73,10 @@ def train_on(windows: DataFrame, labelled: DataFrame, settings: Settings = DEFAU
 def score_windows(windows: DataFrame, models: Models) -> DataFrame:
     """Isolation decision, fault, confidence and best labels of feature rows, in one pass; works on streams."""
     kept = [c for c in windows.columns if c not in FEATURE_NAMES]
-    shared = windows.sparkSession.sparkContext.broadcast((models.scaler, models.detector, models.forest, models.boosted))
+    shared = share(windows.sparkSession, (models.scaler, models.detector, models.forest, models.boosted))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scaler, detector, forest, boosted = shared.value
+        scaler, detector, forest, boosted = shared()
         for batch in batches:
             x = scaler.scaled(batch[list(FEATURE_NAMES)].to_numpy(float))
             yield batch[kept].assign(decision=detector.raw_scores(x) - detector.offset, rf=list(forest.probabilities(x)), gb=list(boosted.probabilities(x)))

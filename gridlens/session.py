@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object of this package; what is returned gives it to batch functions.
+
+    It travels with its code, so executors need not have the package, and is unpacked once in a worker process.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> Any:
+        if not hasattr(held, "unpacked"):
+            held.unpacked = cloudpickle.loads(held.value)
+        return held.unpacked
+
+    return get
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators count on.
 
