@@ -152,8 +152,10 @@ def power_distribution(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def energy_trend(df: DataFrame, days: int = 7, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Meter level at the end of each of the last ``days`` days with consumption."""
-    used = running_energy(power_columns(df, keys), keys, **split).filter("energy_kwh <> 0")
-    daily = used.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.max("energy_kwh").alias("energy_kwh"))
+    daily = energy_steps(power_columns(df, keys), keys, **split).groupBy(*keys, F.to_date("ts").alias("day")).agg(F.sum("kwh").alias("_kwh"))
+    # A row per device and day: levels are summed over days, not over readings.
+    upto = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    daily = daily.withColumn("energy_kwh", F.sum("_kwh").over(upto)).filter("energy_kwh <> 0").drop("_kwh")
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))
     return (
         daily.withColumn("_n", newest)

@@ -144,7 +144,19 @@ def _facts(df: DataFrame, settings: Settings | DataFrame, keys: Sequence[str], *
 
 def efficiency_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Efficiency figures of each device with at least 60 readings; the others only have a status."""
-    both, s = _facts(df, settings, keys, score=None, **split)
+    facts, s = _facts(df, settings, keys, score=None, **split)
+    return facts.select(*keys, *efficiency_columns(s))
+
+
+def efficiency_with_advice(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
+    """The same with the titles of the recommendations in one text, from the same figures."""
+    facts, s = _facts(df, settings, keys, score=None, **split)
+    titles = F.array_join(F.transform(advice(s), lambda a: a["title"]), "; ")
+    return facts.select(*keys, *efficiency_columns(s), titles.alias("recommendations"))
+
+
+def efficiency_columns(s: Settings) -> list[Column]:
+    """Status and figures over the columns of summary and totals."""
     p, ready = F.col("p_mean"), F.col("samples") >= 60
     figures = {
         "session_duration_hours": half_up("hours", 2),
@@ -160,11 +172,8 @@ def efficiency_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS,
         "projected_monthly_cost": half_up(p * 24 * 30 / 1000 * s.cost_per_kwh, 2),
         "currency": text(s.currency),
     }
-    return both.select(
-        *keys,
-        F.when(ready, "ready").otherwise("insufficient_data").alias("status"),
-        *[F.when(ready, c).alias(name) for name, c in figures.items()],
-    )
+    status = F.when(ready, "ready").otherwise("insufficient_data").alias("status")
+    return [status, *[F.when(ready, c).alias(name) for name, c in figures.items()]]
 
 
 def _finding(no: int, when: Column, category: str, title, severity: str, text: Column) -> Column:
@@ -228,7 +237,13 @@ def recommendations(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, ke
 
 
 def advise(facts: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str] = KEYS) -> DataFrame:
-    s = settings
+    return facts.select(*keys, F.posexplode(advice(settings)).alias("position", "_r")).select(
+        *keys, (F.col("position") + 1).alias("position"), "_r.priority", "_r.title", "_r.category", "_r.action"
+    )
+
+
+def advice(s: Settings = DEFAULTS) -> Column:
+    """Recommendations over the columns of summary and totals, by priority, then by rule."""
     n, vm, vs, pm = F.col("n"), F.col("v_mean"), F.col("v_std"), F.col("p_mean")
     pf = mean_power_factor("v_mean", "i_mean", "p_mean", default=1.0)
 
@@ -257,7 +272,4 @@ def advise(facts: DataFrame, settings: Settings = DEFAULTS, keys: Sequence[str]
     ]
     waiting = rule(0, F.lit(True), 2, "Gathering Data", "info", F.lit("Too few readings yet."))
     found = F.array_sort(F.filter(F.array(*rules), lambda r: r.isNotNull()))
-    raised = F.when(F.col("samples") < 30, F.array(waiting)).otherwise(found)
-    return facts.select(*keys, F.posexplode(raised).alias("position", "_r")).select(
-        *keys, (F.col("position") + 1).alias("position"), "_r.priority", "_r.title", "_r.category", "_r.action"
-    )
+    return F.when(F.col("samples") < 30, F.array(waiting)).otherwise(found)

@@ -11,7 +11,7 @@ from gridlens.config import DEFAULTS, KEYS, Settings
 from gridlens.functions.numeric import half_up
 from gridlens.functions.scalar import load_status3
 from gridlens.operators.energy import energy_steps, energy_totals, first_peak, peaks, power_columns, running_energy
-from gridlens.operators.insights import efficiency_report, recommendations
+from gridlens.operators.insights import efficiency_with_advice
 from gridlens.operators.settings import resolved
 
 KINDS = ("daily", "monthly", "full")
@@ -56,14 +56,7 @@ def monthly_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, key
 
 def full_report(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
     """Efficiency figures with the titles of the recommendations."""
-    advice = recommendations(df, settings, keys, **split).groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "title"))), lambda a: a["title"]), "; ").alias(
-            "recommendations"
-        )
-    )
-    return efficiency_report(df, settings, keys, **split).join(advice, list(keys), "left").withColumn(
-        "recommendations", F.coalesce("recommendations", F.lit(""))
-    )
+    return efficiency_with_advice(df, settings, keys, **split)
 
 
 def report_summary(df: DataFrame, settings: Settings | DataFrame = DEFAULTS, keys: Sequence[str] = KEYS, **split) -> DataFrame:
