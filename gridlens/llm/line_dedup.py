@@ -11,7 +11,8 @@ sets, of 64 bits for short lines and up to 1,024 for long ones; then similarity
 A line goes if it matches a line before it (by document, then line), whether that one stays or not; so it needs
 one confirmed pair with an earlier class, and only pairs for lines without one are looked for. A task that holds all
 classes with a prefix word first emits few pairs for each; lines of which none is confirmed are compared
-again with more, in the last of the ``ROUNDS`` with all. Words above ``TILE`` lines are split into blocks that meet
+again with more, in the last of the ``ROUNDS`` with all, against lines that share a prefix word with them and are of like size;
+filters of fixed size pick these out before anything is shuffled (where they fill up, more is shuffled, nothing missed). Words above ``TILE`` lines are split into blocks that meet
 pairwise in tasks of their own.
 
 Cases: lines without words always stay; a null text stays null; text is split at line feeds only; rows that
@@ -20,16 +21,18 @@ repeat an id count as documents in the order they are read; a null id comes firs
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.links import members, verified
+from gridlens.llm.links import FILTER_BITS, in_filter_all, node_filter, place_filter, verified
 from gridlens.llm.order import Numbered
 from gridlens.llm.words import distinct, mix, set_keys, word_hashes
 from gridlens.session import materialize
@@ -202,19 +205,76 @@ def _meetings(
         shift += 1
 
 
-def _around(classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The classes that share a prefix word with ``wanted`` ones (``node``), with these words, and whether they are ``wanted``."""
-    token = F.shiftright("word", POS_BITS).alias("token")
-    words = classes.select("node", F.explode("prefix").alias("word"))
-    asked = words.join(wanted, "node", "left_semi").select(token).distinct()
-    near = words.select("*", token).join(asked, "token", "left_semi").groupBy("node").agg(F.collect_list("word").alias("prefix"))
-    marked = classes.drop("prefix").join(near, "node").join(wanted.withColumn("wanted", F.lit(True)), "node", "left")
-    return marked.withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+def nodes_of(rows: np.ndarray, lines: np.ndarray) -> list[bytes]:
+    """Names of lines: a checksum, then the numbers of the row and of the line in it; as ``_node``."""
+    packed = np.empty((len(rows), 12), np.uint8)
+    packed[:, :8] = rows.astype(">i8")[:, None].view(np.uint8)
+    packed[:, 8:] = lines.astype(">i4")[:, None].view(np.uint8)
+    whole = packed.tobytes()
+    names = [whole[at : at + 12] for at in range(0, len(whole), 12)]
+    return [zlib.crc32(name).to_bytes(4, "big") + name for name in names]
 
 
-def _candidates(classes: DataFrame, share: tuple[int, int], most: int | None) -> DataFrame:
-    """Distinct pairs of classes (``node``, ``first``, ``n``, ``bits``, ``prefix``, ``wanted``) that meet, ``a`` before a wanted ``b``."""
-    rows = classes.select("node", "first.id", "first.row", "first.line", "n", "bits", "wanted", F.explode("prefix").alias("word"))
+def _node(row: Column, line: Column) -> Column:
+    digits = lambda value, n: F.unhex(F.lpad(F.hex(value), n, "0"))
+    name = F.concat(digits(row.cast("long"), 16), digits(line.cast("long"), 8))
+    return F.concat(digits(F.crc32(name), 8), name)
+
+
+def _marked(names: list[bytes], bits: np.ndarray) -> np.ndarray:
+    return in_filter_all(bits, np.array([int.from_bytes(n[:4], "big") for n in names], np.int64) % FILTER_BITS)
+
+
+def _size_places(word: np.ndarray, n: np.ndarray, share: tuple[int, int], further: int = 0) -> np.ndarray:
+    """Places in a filter for a word with the size class of its line; partners are at most one class apart."""
+    size = np.floor(np.log(n) / max(1.01 * math.log(share[1] / share[0]), 1e-3)).astype(np.int64) + further + 2
+    return (mix((word >> POS_BITS).view(np.uint64) ^ mix(size.astype(np.uint64))) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
+
+
+def _open_words(classes: DataFrame, wanted: bytes, share: tuple[int, int]) -> bytes:
+    """A filter of what the ``wanted`` classes (a filter of nodes) may meet: prefix words with size classes."""
+    shared = classes.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            asked = _marked(nodes_of(batch.column(0).to_numpy(), batch.column(1).to_numpy()), bits)
+            batch = batch.filter(pa.array(asked))
+            if batch.num_rows:
+                prefix = batch.column(3)
+                word, n = prefix.flatten().to_numpy(), np.repeat(batch.column(2).to_numpy(), prefix.value_lengths().to_numpy())
+                places = np.unique(np.concatenate([_size_places(word, n, share, step) for step in (-1, 0, 1)]))
+                yield pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
+
+    return place_filter(classes.select("row", "line", "n", "prefix").mapInArrow(run, "place long"))
+
+
+def _words(classes: DataFrame, wanted: bytes | None, share: tuple[int, int]) -> DataFrame:
+    """A row for each prefix word of a class; with ``wanted`` (a filter of nodes) only of those that may meet a wanted class, which are marked."""
+    if wanted is None:
+        rows = classes.select("row", "id", "line", "n", "bits", F.explode("prefix").alias("word"))
+        return rows.withColumn("wanted", F.lit(True))
+    shared = classes.sparkSession.sparkContext.broadcast((wanted, _open_words(classes, wanted, share)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_bits, near_bits = (np.frombuffer(b, np.uint8) for b in shared.value)
+        for batch in batches:
+            prefix = batch.column(5)
+            owner = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy())
+            word, n = prefix.flatten().to_numpy(), batch.column(3).to_numpy()
+            near = in_filter_all(near_bits, _size_places(word, n[owner], share))
+            if near.any():
+                asked = _marked(nodes_of(batch.column(0).to_numpy(), batch.column(2).to_numpy()), asked_bits)
+                at = pa.array(owner[near])
+                columns = [batch.column(c).take(at) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(word[near]), pa.array(asked[owner[near]])], names=["row", "id", "line", "n", "bits", "word", "wanted"])
+
+    rows = classes.select("row", "id", "line", "n", "bits", "prefix")
+    return rows.mapInArrow(run, "row long, id long, line int, n int, bits binary, word long, wanted boolean")
+
+
+def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> DataFrame:
+    """Distinct pairs of classes (nodes ``a``, ``b``) of which ``rows`` meet, ``a`` before a wanted ``b``."""
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         word, n = rows["word"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
@@ -222,10 +282,11 @@ def _candidates(classes: DataFrame, share: tuple[int, int], most: int | None) ->
         first = np.empty(len(token), np.int64)
         first[np.lexsort((rows["line"].to_numpy(), rows["row"].to_numpy(), rows["id"].fill_null(0).to_numpy(), rows["id"].is_valid().to_numpy()))] = np.arange(len(token))
         order = np.lexsort((first, n, token))
-        nodes = rows["node"].combine_chunks()
+        row, line = rows["row"].to_numpy(), rows["line"].to_numpy()
         bits = Parities(rows["bits"].combine_chunks(), order)
         for a, b in _meetings(token[order], n[order], pos[order], bits, first[order], share, rows["wanted"].to_numpy()[order], most):
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(order[a])), nodes.take(pa.array(order[b]))], names=["a", "b"])
+            ends = [nodes_of(row[order[c]], line[order[c]]) for c in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in ends], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -282,14 +343,14 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     schema = "node binary, row long, id long, line int, n int, bits binary, prefix array<long>"
     found = df.select("row", "id", "text").mapInArrow(lines, schema)
     classes = found.groupBy("node").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "line-classes")
+    # from here on a class goes by the place of its first line
+    classes = materialize(classes.select("first.row", "first.id", "first.line", "n", "bits", "prefix"), "line-classes")
 
-    sets = lambda pairs: members(df, pairs, lambda c: line_sets(c[0])[:3], ["text"])
-    rows, links, tested = classes.withColumn("wanted", F.lit(True)), None, None
+    wanted, links, tested = None, None, None
     for most in ROUNDS:
-        met = _candidates(rows, share, most)
+        met = _candidates(_words(classes, wanted, share), share, most)
         met = materialize(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "line-pairs")
-        new = materialize(verified(met, sets(met), share), "line-links")
+        new = materialize(verified(met, _sets(df, met), share), "line-links")
         tested, links = (met, new) if tested is None else (tested.unionByName(met), links.unionByName(new))
         matched = links.select(F.col("b").alias("node")).distinct()
         if most is None:
@@ -298,8 +359,29 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         rest = materialize(rest.join(matched, "node", "left_anti"), "line-open")
         if rest.isEmpty():
             break
-        rows = _around(classes, rest)
-    return classes.join(matched, "node", "left_anti").select("first.row", "first.line")
+        wanted = node_filter(rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    return classes.select("row", "line", _node(F.col("row"), F.col("line")).alias("node")).join(matched, "node", "left_anti").select("row", "line")
+
+
+def _sets(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Packed sets (``node``, ``members``) of the lines in ``pairs``; only these lines are hashed."""
+    shared = df.sparkSession.sparkContext.broadcast(node_filter(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            split = [t.encode().split(b"\n") if t is not None else [] for t in batch.column(1).to_pylist()]
+            counts = np.array([len(lines) for lines in split], dtype=np.int64)
+            number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            names = nodes_of(np.repeat(batch.column(0).to_numpy(), counts), number)
+            asked = np.flatnonzero(_marked(names, bits))
+            if len(asked):
+                whole = [line for lines in split for line in lines]
+                values, starts = distinct(*word_hashes([whole[k] for k in asked]))
+                packed = [values[starts[k] : starts[k + 1]].astype("<u8").tobytes() for k in range(len(asked))]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in asked], pa.binary()), pa.array(packed, pa.binary())], names=["node", "members"])
+
+    return materialize(df.select("row", "text").mapInArrow(run, "node binary, members binary"), "line-sets")
 
 
 REMOVED = "lines_removed"

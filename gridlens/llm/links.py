@@ -20,7 +20,12 @@ def node_filter(pairs: DataFrame) -> bytes:
     """A filter of fixed size over the nodes of ``pairs`` (``a``, ``b``)."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     place = F.pmod(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), F.lit(FILTER_BITS))
-    bits = nodes.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+    return place_filter(nodes.select(place.alias("place")))
+
+
+def place_filter(places: DataFrame) -> bytes:
+    """A filter of fixed size over ``place``, from 0 to below ``FILTER_BITS``."""
+    bits = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
     whole = bytearray(FILTER_BITS // 8 + 8192)
@@ -37,6 +42,13 @@ def in_filter(bits: bytes, node: bytes) -> bool:
     return bool(bits[at[1]] >> (at[0] % 8) & 1)
 
 
+def in_filter_all(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places are in a filter, given as bytes; laid out as in ``in_filter``."""
+    byte = np.where(places > 0, (places - 1) >> 3, FILTER_BITS // 8)
+    bit = np.where(places > 0, (places - 1) & 7, 0)
+    return (bits[byte] >> bit & 1).astype(bool)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs (``a``, ``b``) whose packed sets (``node``, ``members``) have Jaccard similarity of at least share[0] / share[1]."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"of_{c}"))
