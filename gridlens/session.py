@@ -75,4 +75,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = vars(table).pop("written_to", None) if table is not None else None
+        if path:
+            _written.remove(path)
+            delete(table.sparkSession, path)
