@@ -84,6 +84,6 @@ def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialize`` that nothing reads any more; other frames are left alone."""
     for table in tables:
         path = vars(table).pop("written_to", None) if table is not None else None
-        if path:
+        if path in _written:
             _written.remove(path)
             delete(table.sparkSession, path)
