@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gridlens.llm.links import FILTER_BITS, in_filter_all, node_filter, place_filter, verified
 from gridlens.llm.order import Numbered
 from gridlens.llm.words import distinct, mix, set_keys, word_hashes
-from gridlens.session import materialize
+from gridlens.session import discard, materialize
 
 SHARE = (80, 100)
 #: Hashed counters, in parts of so many; the table on every worker is one byte each (4 MB).
@@ -346,21 +346,28 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     # from here on a class goes by the place of its first line
     classes = materialize(classes.select("first.row", "first.id", "first.line", "n", "bits", "prefix"), "line-classes")
 
-    wanted, links, tested = None, None, None
+    wanted, links, tested, written = None, None, None, [classes]
     for most in ROUNDS:
         met = _candidates(_words(classes, wanted, share), share, most)
         met = materialize(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "line-pairs")
-        new = materialize(verified(met, _sets(df, met), share), "line-links")
+        sets = _sets(df, met)
+        new = materialize(verified(met, sets, share), "line-links")
+        discard(sets)
+        written += [met, new]
         tested, links = (met, new) if tested is None else (tested.unionByName(met), links.unionByName(new))
         matched = links.select(F.col("b").alias("node")).distinct()
         if most is None:
             break
         rest = tested.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= most).select("node")
         rest = materialize(rest.join(matched, "node", "left_anti"), "line-open")
+        written.append(rest)
         if rest.isEmpty():
             break
         wanted = node_filter(rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    return classes.select("row", "line", _node(F.col("row"), F.col("line")).alias("node")).join(matched, "node", "left_anti").select("row", "line")
+    named = classes.select("row", "line", _node(F.col("row"), F.col("line")).alias("node"))
+    found = materialize(named.join(matched, "node", "left_anti").select("row", "line"), "line-unmatched")
+    discard(*written)
+    return found
 
 
 def _sets(df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -390,8 +397,10 @@ REMOVED = "lines_removed"
 def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """Every row of ``df`` with its text without lines that match an earlier one, and the numbers of the lines taken out in ``lines_removed``."""
     table = Numbered(df)
-    kept = unmatched(table.select(id=F.col(id).cast("long"), text=F.col(text)), share).groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    found = unmatched(table.select(id=F.col(id).cast("long"), text=F.col(text)), share)
+    kept = found.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
     kept = materialize(kept.select(F.col("row").alias("kept_row"), "kept"), "line-kept")
+    discard(found)
     rest = df.drop(REMOVED)
     names = rest.columns
     joined = table.select(own=F.struct(*names)).join(kept, F.col("row") == F.col("kept_row"), "left").select("own.*", "kept")
