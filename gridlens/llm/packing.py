@@ -15,24 +15,28 @@ from __future__ import annotations
 
 import json
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlens.llm.units import blocks, encode_texts, small_batches
+from gridlens.llm.units import KEPT_UNITS, blocks, small_batches, units
 
 LENGTH, END_ID = 2048, 1
 #: Windows a task keeps open; above that their pieces are poured together.
 OPEN_WINDOWS = 4096
 #: Sequence numbers of a task start at its number times this.
 TASK_SPAN = 1 << 32
+#: New units of text that are encoded in one call.
+JOINED = 64
+#: A space that is first or follows white space, of any kind ``str.isspace`` knows.
+SPACED = r"^ |[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 NAMES = ["start", "length", "doc_tokens", "sequence_id", "offset", "tokens"]
 
 
@@ -109,7 +113,10 @@ class Packer:
 
 
 class Texts:
-    """Ids of texts by a tokenizer file; each unit of text a task has not met yet goes through the library."""
+    """Ids of texts by a tokenizer file; each unit of text a task has not met yet goes through the library.
+
+    A text is cut and its units are told apart in Arrow; the ids of units lie in one array, of which ``kept`` has the places.
+    """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -117,14 +124,93 @@ class Texts:
         # only where the pattern alone cuts the text are units independent of each other
         parts, spec = json.loads(tokenizer)["pre_tokenizer"], json.loads(tokenizer)
         self.cut = parts["type"] == "ByteLevel" and parts.get("use_regex", True) and not parts["add_prefix_space"] and not spec["normalizer"]
-        self.kept: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return encode_texts(texts, self._encode, self.kept) if self.cut else self._encode(texts)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character of a byte-level token is a byte
+        for token in spec.get("added_tokens") or []:
+            self.bytes_of[token["id"]] = len(token["content"].encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and the number of each."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``, ``JOINED`` units to a text; the bytes of the tokens tell where a unit ends.
+
+        The pattern cuts between them, as each begins at a space and ends in something else.
+        """
+        sizes = np.cumsum([len(u.encode()) for u in new])
+        ids, _ = self._encode(["".join(new[at : at + JOINED]) for at in range(0, len(new), JOINED)])
+        reached = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(reached, sizes)
+        if len(reached) and ends[-1] + 1 == len(ids) and (reached[ends] == sizes).all():
+            return ids, np.diff(ends + 1, prepend=0)
+        return self._encode(new)  # a tokenizer that leaves bytes out
+
+    def _numbers(self, found: list[str]) -> np.ndarray:
+        """The place of each of the (distinct) units."""
+        new = [u for u in found if u not in self.kept]
+        if len(self.kept) + len(new) > KEPT_UNITS and self.kept:
+            self._forget()
+            new = found
+        plain = [u for u in new if u[:1] == " " and not u[-1].isspace()]
+        others = [u for u in new if u[:1] != " " or u[-1].isspace()]
+        for units_of, encode in ((plain, self._encode_units), (others, self._encode)):
+            if units_of:
+                ids, counts = encode(units_of)
+                self.kept.update(zip(units_of, range(len(self.ends) - 1, len(self.ends) - 1 + len(units_of)), strict=True))
+                self.ids = np.concatenate([self.ids, ids])
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        return np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))
+
+    def _of(self, numbers: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts of so many units each."""
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if len(counts) else []
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts in which no space is first or follows white space: a unit begins at every space."""
+        split = pc.split_pattern(texts, " ")
+        counts = split.value_lengths().to_numpy().astype(np.int64)
+        parts = split.flatten().dictionary_encode()
+        code, values = parts.indices.to_numpy(), parts.dictionary.to_numpy(zero_copy_only=False)
+        first = np.zeros(len(code), bool)
+        first[np.cumsum(counts) - counts] = True
+        used = np.zeros((2, len(values)), bool)
+        used[first.astype(np.int8), code] = True
+        rest, heads = (np.flatnonzero(u) for u in used)
+        numbers = self._numbers([*values[heads].tolist(), *[f" {v}" for v in values[rest].tolist()]])
+        at = np.empty((2, len(values)), np.int64)
+        at[1, heads], at[0, rest] = numbers[: len(heads)], numbers[len(heads) :]
+        return self._of(at[first.astype(np.int8), code], counts)
+
+    def _spaced(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [units(t) for t in texts]
+        found = list(dict.fromkeys(u for parts in cut for u in parts))
+        places = dict(zip(found, self._numbers(found).tolist(), strict=True))
+        return self._of(np.array([places[u] for parts in cut for u in parts], np.int64), np.array([len(parts) for parts in cut], np.int64))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cut:
+            ids, counts = self._encode(texts)
+            return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+        column = pa.array(texts, pa.string() if sum(map(len, texts)) < 1 << 28 else pa.large_string())
+        spaced = pc.match_substring_regex(column, SPACED).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        for places, ids_of in ((np.flatnonzero(~spaced), lambda at: self._plain(column.take(pa.array(at)))), (np.flatnonzero(spaced), lambda at: self._spaced([texts[k] for k in at]))):
+            if len(places):
+                for k, ids in zip(places, ids_of(places), strict=True):
+                    out[k] = ids
+        return out
 
 
 def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END_ID) -> DataFrame:
@@ -153,8 +239,8 @@ def pack(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", lengt
                 ids_type = batch.column(0).type
                 docs = iter(batch.column(0).to_pylist())
                 for block in blocks([t or "" for t in batch.column(1).to_pylist()]):
-                    for data, doc in zip(texts(block), docs, strict=False):
-                        rows.extend(packer.add(doc, np.append(np.frombuffer(data, dtype="<u4"), np.uint32(end))))
+                    for ids, doc in zip(texts(block), docs, strict=False):
+                        rows.extend(packer.add(doc, np.append(ids, np.uint32(end))))
                     if rows:
                         yield placed(rows, ids_type)
                         rows = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -323,6 +324,25 @@ def test_packing(docs, none):
     assert all(s <= 2048 and s & (s - 1) == 0 for s in sizes.values()) and not packing.pack(none, path).count()
 
 
+def test_packing_ids_are_those_of_the_library_in_few_calls(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = [*"abAB.,'#0\0é中😀\n\t\r\x1c\x85\xa0\u3000", *[" "] * 12, "<|endoftext|>", "'s"]
+    odd = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(600)] + ["", " ", "a ", " a", "a  b"]
+    for kept in (packing.KEPT_UNITS, 40):  # the second forgets its units now and then
+        monkeypatch.setattr(packing, "KEPT_UNITS", kept)
+        texts = packing.Texts(library.to_str())
+        for at in range(0, len(odd), 50):
+            block = odd[at : at + 50]
+            assert [np.asarray(ids).tolist() for ids in texts(block)] == [e.ids for e in library.encode_batch(block, add_special_tokens=False)]
+    plain = [" ".join(f"{w}x{n}." for w in range(50)) for n in range(20)]
+    texts, calls = packing.Texts(library.to_str()), []
+    texts.tokenizer = SimpleNamespace(encode_batch_fast=lambda batch, **options: calls.extend(batch) or library.encode_batch_fast(batch, **options))
+    assert [np.asarray(ids).tolist() for ids in texts(plain)] == [e.ids for e in library.encode_batch(plain, add_special_tokens=False)]
+    assert len(calls) < 100  # of 1,000 units
+
+
 def test_placement_minimises_squares():
     rng, packer = np.random.default_rng(2), packing.Packer(16, 0)
     for size in rng.integers(1, 16, 200).tolist():
