@@ -34,10 +34,36 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(at[first], ends)])
 
 
+def order_within(owner: np.ndarray, values: np.ndarray, owners: int, code: np.ndarray | None = None) -> np.ndarray:
+    """The order by owner (below ``owners``), code (one byte) and value.
+
+    One sort by as much of the three as a number holds, which nearly always tells values of an owner apart.
+    """
+    bits = max(owners.bit_length(), 1)
+    lead = owner.astype(np.uint64) << np.uint64(64 - bits)
+    if code is not None:
+        lead |= code.astype(np.uint64) << np.uint64(56 - bits)
+        bits += 8
+    short = lead | values >> np.uint64(bits)
+    order = np.argsort(short)
+    short, ordered = short[order], values[order]
+    if ((short[1:] == short[:-1]) & (ordered[1:] != ordered[:-1])).any():
+        return np.lexsort((values, owner) if code is None else (values, code, owner))
+    return order
+
+
 def distinct(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each run, and where each run then begins."""
-    parts = [np.unique(values[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    return np.concatenate([*parts, np.empty(0, values.dtype)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    sizes = np.diff(starts)
+    if not len(sizes):
+        return np.empty(0, values.dtype), np.zeros(1, np.int64)
+    values = values[starts[0] : starts[-1]]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = order_within(owner, values, len(sizes))
+    values, owner = values[order], owner[order]
+    kept = np.ones(len(values), bool)
+    kept[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    return values[kept], np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(sizes)))]).astype(np.int64)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -131,6 +131,22 @@ def test_line_dedup_is_that_of_all_pairs(spark, monkeypatch, tile, rounds):
     assert [found[n] for n in range(len(texts))] == expected and 100 < sum(map(len, expected)) < len(lines) - 6
 
 
+def test_few_pairs_of_a_large_group_of_near_copies_are_checked(spark, monkeypatch):
+    """About as many pairs as lines, not a multiple for each word, and the same lines go as by all pairs."""
+    draw, lines, checked = np.random.default_rng(4), [], []
+    for _ in range(240):
+        words = [f"w{k}" for k in range(20)]
+        for at in draw.choice(20, 2, replace=False):
+            words[at] = f"x{draw.integers(60)}"
+        lines.append(" ".join(words))
+    df = materialize(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "copies")
+    verified = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: checked.append(pairs.count()) or verified(pairs, *rest))
+    found = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()}
+    assert [found[n] for n in range(len(lines))] == _lines_with_earlier_match(lines)
+    assert sum(checked) < 3 * len(lines)
+
+
 def test_line_numbers_are_those_of_the_whole_text(spark, tmp_path):
     rows = [(0, "a b c\nd e f\n"), (1, "d e f\na b c"), (2, ""), (3, None), (4, "a b c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
