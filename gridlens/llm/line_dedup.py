@@ -8,11 +8,14 @@ so classes meet by these prefix words. Words counted once meet nobody and are le
 has to pass the length filter, the positional filter, and a bound on the overlap from bit parities of both
 sets, of 64 bits for short lines and up to 1,024 for long ones; then similarity is checked on the full sets.
 
+Prefix words and lines are shuffled as blocks: a row holds many of them from one task, packed, for a range of hashes.
+Of two lines that meet, the one of fewer words has to share one of a shorter prefix, as it can differ from the other by less.
+
 A line goes if it matches a line before it (by document, then line), whether that one stays or not; so it needs
 one confirmed pair with an earlier class, and only pairs for lines without one are looked for. A task that holds all
 classes with a prefix word emits all pairs of a line that meets few there, which decides it; of a line that meets many, it emits the one whose parities
 are nearest, and only that of all its words is checked. Such lines, if not confirmed, are compared
-again with more, in the last of the ``ROUNDS`` with all, by parities of 1,024 bits, against lines that share a prefix word with them and are of like size;
+again with more, in the last of the ``ROUNDS`` (at once, for ``FEW`` lines) with all, by parities of 1,024 bits, against lines that share a prefix word with them and are of like size;
 filters of fixed size pick these out before anything is shuffled (where they fill up, more is shuffled, nothing missed). Words above ``TILE`` lines are split into blocks that meet
 pairwise in tasks of their own.
 
@@ -29,13 +32,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm.links import FILTER_BITS, in_filter_all, node_filter, place_filter, verified
 from gridlens.llm.order import Numbered
-from gridlens.llm.words import distinct, mix, order_within, set_keys, word_hashes
+from gridlens.llm.words import distinct, hashes_in, mix, order_within, set_numbers, word_hashes
 from gridlens.session import discard, materialize
 
 SHARE = (80, 100)
@@ -43,12 +47,13 @@ SHARE = (80, 100)
 COUNTERS, PART = 1 << 22, 1 << 16
 #: Logarithm of the tables of counters that are added up at once.
 FAN_BITS = 8
-#: Lines with a prefix word that one task compares; rows it reads before it does so.
-TILE, CHUNK = 16_384, 400_000
-KEY_BYTES = 12
+#: Lines with a prefix word that one task compares; bytes of blocks it reads before it does so (about 400,000 words).
+TILE, CHUNK = 16_384, 12_000_000
 _CHECKSUMS = np.array([~zlib.crc32(bytes([n]), 0xFFFFFFFF) & 0xFFFFFFFF for n in range(256)], np.uint32)
 #: Earlier lines, by round, that a line may pass the filters with in a task; of so many only the nearest is checked, and if that fails, the line is in the next round.
 ROUNDS = (8, 64, None)
+#: So few open lines go to the last round at once.
+FEW = 2048
 #: A prefix word is a hash whose lowest bits hold its position, up to the largest; a capped one only weakens the filter.
 POS_BITS, POS_MOST = 8, 255
 #: Distinct words up to which parities take 1, 2 and 4 numbers of 64 bits; lines of more words take 16. More bits only strengthen the filter.
@@ -56,26 +61,56 @@ WIDTHS = [(80, 1), (180, 2), (400, 4)]
 WIDEST = 16
 
 
-def line_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """Distinct word hashes of every line, where each line's begin, the lines' keys, and the lines of each text."""
-    lines = [t.encode().split(b"\n") if t is not None else [] for t in texts]
-    values, starts = distinct(*word_hashes([line for text in lines for line in text]))
-    keys = [None if k is None else k[:KEY_BYTES] for k in set_keys(values, starts)]
-    return values, starts, keys, np.array([len(text) for text in lines], dtype=np.int64)
+def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lines of texts and the number of lines of each; a null text has none."""
+    split = pc.split_pattern(texts.cast(pa.binary()), b"\n")
+    return split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def line_sets(texts: pa.Array, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of every line, with ``codes`` the rarer first, where each line's begin, and the number of lines of each text."""
+    whole = texts.cast(pa.binary()).to_pylist()
+    counts = np.array([0 if t is None else t.count(b"\n") + 1 for t in whole], dtype=np.int64)
+    joined = b"\n".join([*(t for t in whole if t is not None), b""])
+    values, starts = hashes_in(joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x0A) + 1)
+    return *distinct(values, starts, None if codes is None else codes[_counter(values)]), counts
 
 
 def _counter(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(20)).astype(np.int64) % COUNTERS
 
 
+def _firsts(order: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The first of each run of equal numbers in an order."""
+    low, high = low[order], high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return order[new]
+
+
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes, compressed; most are zero."""
+    return zlib.compress(bytes([(wide := _bytes_of(counts))]) + counts.astype(f"<u{wide}").tobytes(), 1)
+
+
+def _bytes_of(counts: np.ndarray) -> int:
+    return next(n for n in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * n)
+
+
+def _stretched(packed: bytes) -> np.ndarray:
+    whole = zlib.decompress(packed)
+    return np.frombuffer(whole, f"<u{whole[0]}", offset=1).astype(np.int64)
+
+
 def counted(df: DataFrame, text: str) -> DataFrame:
     """Parts (``part``) of tables of counters (``counts``), of which each ``task`` has one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = np.zeros(COUNTERS, dtype=np.uint32), [np.empty(0, np.int32)]
         for batch in batches:
-            values, starts, keys, _ = line_sets(batch.column(0).to_pylist())
-            new = np.array(sorted({k: n for n, k in enumerate(keys) if k is not None}.values()), dtype=np.int64)
+            values, starts, _ = line_sets(batch.column(0))
+            filled, low, high = set_numbers(values, starts)
+            new = np.sort(filled[_firsts(np.lexsort((high, low)), low, high)])
             sizes = starts[new + 1] - starts[new]
             at = np.repeat(starts[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             held.append(_counter(values[at]).astype(np.int32))
@@ -84,7 +119,7 @@ def counted(df: DataFrame, text: str) -> DataFrame:
                 held = held[:1]
         counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
         if counts.any():
-            parts = [counts[at : at + PART].astype("<u8").tobytes() for at in range(0, COUNTERS, PART)]
+            parts = [_squeezed(counts[at : at + PART]) for at in range(0, COUNTERS, PART)]
             task = pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), task, pa.array(parts, pa.binary())], names=["part", "task", "counts"])
 
@@ -95,8 +130,8 @@ def added(parts: DataFrame) -> DataFrame:
     """Parts of the tables of every ``2 ** FAN_BITS`` tasks added up to one."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = sum((np.frombuffer(c, "<u8") for c in rows["counts"]), np.zeros(PART, np.uint64))
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "task": rows["task"].iloc[:1], "counts": [counts.astype("<u8").tobytes()]})
+        counts = sum(map(_stretched, rows["counts"]), np.zeros(PART, np.int64))
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "task": rows["task"].iloc[:1], "counts": [_squeezed(counts)]})
 
     fewer = parts.withColumn("task", F.shiftright("task", FAN_BITS))
     return fewer.groupBy("part", "task").applyInPandas(add, "part int, task int, counts binary")
@@ -106,7 +141,7 @@ def rarity(df: DataFrame, text: str) -> np.ndarray:
     """A code of each counter: its number of lines up to 16, above that its logarithm."""
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = sum((np.frombuffer(c, "<u8").astype(np.int64) for c in rows["counts"]), np.zeros(PART, np.int64))
+        counts = sum(map(_stretched, rows["counts"]), np.zeros(PART, np.int64))
         codes = np.where(counts <= 16, counts, np.minimum(16 + 8 * np.log2(np.maximum(counts, 16) / 16), 255)).astype(np.uint8)
         return pd.DataFrame({"part": rows["part"].iloc[:1], "codes": [codes.tobytes()]})
 
@@ -133,14 +168,96 @@ def parities(values: np.ndarray, starts: np.ndarray, by_size: list[tuple[int, in
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
 
 
+#: Rows in a block; words and lines that a task packs at once.
+BLOCK_ROWS, PACKED_ROWS = 2048, 1 << 19
+WORD_FIELDS = ("word", "row", "id", "filled", "line", "n", "wanted", "width")
+LINE_FIELDS = ("low", "high", "row", "id", "filled", "line", "n", "width", "words")
+#: Logarithm of the prefix words in a bucket; buckets that lines are dealt to, at least, and for each shuffle partition.
+BUCKET_BITS, LINE_BUCKETS, BUCKETS_EACH = 17, 1024, 4
+
+
+def numbers_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of 64 bits in binary values, where each value's begin, and how many it has."""
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 8
+    return np.frombuffer(packed.buffers()[2], np.uint8)[: 8 * ends[-1]].view("<u8"), ends[:-1], np.diff(ends)
+
+
+def taken(numbers: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of numbers, one after the other."""
+    ends = np.cumsum(count)
+    return numbers[np.repeat(begin - (ends - count), count) + np.arange(count.sum())]
+
+
+def blocks_of(hashes: np.ndarray, buckets: int, fields: list[np.ndarray], streams: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows in the order of ``hashes`` as blocks of a ``bucket``, a range of hashes: records, and streams of numbers of which each row has so many.
+
+    A record holds each field as the least bytes above its smallest value; ``head`` has these values and how many bytes.
+    """
+    lows = np.array([v.min() for v in fields])
+    values = [v.view(np.uint64) - low.view(np.uint64) for v, low in zip(fields, lows, strict=True)]
+    wide = np.array([max((int(v.max()).bit_length() + 7) // 8, k == 0) for k, v in enumerate(values)])  # the first tells how many records there are
+    records = np.concatenate([v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w] for v, w in zip(values, wide, strict=True)], axis=1)
+    bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    run = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    cut = np.concatenate([np.arange(a, a + n, BLOCK_ROWS) for a, n in zip(run, np.diff(run, append=len(hashes)), strict=True)])
+    offsets = np.append(cut, len(hashes))
+
+    def binary(at: np.ndarray, data: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+    head = np.concatenate([lows, wide]).astype("<i8").tobytes()
+    columns = [pa.array(bucket[cut].astype(np.int32)), pa.array([head] * len(cut), pa.binary()), binary(offsets * int(wide.sum()), records)]
+    columns += [binary(8 * np.concatenate([[0], np.cumsum(count)])[offsets], numbers) for numbers, count in streams]
+    names = ["bucket", "head", "records", "bits", "words"]
+    return pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+
+
+def opened(blocks: list[tuple[bytes, ...]], names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Fields of the rows in blocks, one after the other, and the numbers of each stream."""
+    alike: dict[bytes, list[tuple[bytes, ...]]] = {}
+    for block in blocks:
+        alike.setdefault(block[0], []).append(block)
+    parts: list[list[np.ndarray]] = [[] for _ in names]
+    for head, same in alike.items():
+        lows, wide = np.frombuffer(head, "<i8").reshape(2, -1)
+        table = np.frombuffer(b"".join(b[1] for b in same), np.uint8).reshape(-1, int(wide.sum()))
+        for part, low, end, w in zip(parts, lows, np.cumsum(wide), wide, strict=True):
+            whole = np.zeros((len(table), 8), np.uint8)
+            whole[:, :w] = table[:, end - w : end]
+            part.append(whole.view("<i8").ravel() + low)
+    ordered = [b for same in alike.values() for b in same]
+    streams = [np.frombuffer(b"".join(b[k] for b in ordered), "<u8") for k in range(2, len(blocks[0]))]
+    return {f: np.concatenate(p) for f, p in zip(names, parts, strict=True)}, streams
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, ...]]]:
+    """Blocks of whole buckets, as soon as they have ``CHUNK`` bytes."""
+    held: list[tuple[bytes, ...]] = []
+    size, last = 0, -1
+    for batch in batches:
+        for bucket, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and size >= CHUNK:
+                yield held
+                held, size = [], 0
+            last = bucket
+            size += sum(map(len, block))
+            held.append(tuple(block))
+    if held:
+        yield held
+
+
+def binary_runs(numbers: np.ndarray, count: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], 8 * np.cumsum(count)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
 class Parities:
     """Parities of rows, in the order of ``order``."""
 
     def __init__(self, packed: pa.Array, order: np.ndarray):
-        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 8
-        self.words = np.frombuffer(packed.buffers()[2], np.uint8)[: 8 * ends[-1]].view("<u8")
-        self.begin, self.width = ends[:-1][order], np.diff(ends)[order]
-        self.folded = np.bitwise_xor.reduceat(self.words, ends[:-1])[order]
+        self.words, begin, width = numbers_of(packed)
+        self.begin, self.width = begin[order], width[order]
+        self.folded = np.bitwise_xor.reduceat(self.words, begin)[order]
 
     def _of(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Parities of rows, folded to ``width`` numbers."""
@@ -162,12 +279,16 @@ class Parities:
 
 def prefixes(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Prefix words that may be shared: their lines, positions and hashes; and the parities of every line."""
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return prefixes_of_ordered(values[order_within(owner, values, len(starts) - 1, codes[_counter(values)])], starts, codes, share)
+
+
+def prefixes_of_ordered(values: np.ndarray, starts: np.ndarray, codes: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """As ``prefixes``, for lines whose words have the rarer first."""
     bits = parities(values, starts)
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     code = codes[_counter(values)]
-    order = order_within(owner, values, len(sizes), code)
-    values, code = values[order], code[order]
     place = np.arange(len(values)) - np.repeat(starts[:-1], sizes)
     length = sizes - -(-share[0] * sizes // share[1]) + 1
     wanted = (place < length[owner]) & (code > 1)
@@ -179,10 +300,12 @@ def _meetings(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (sorted by token and size) that share a token and pass all filters, the one of lower ``first`` in front.
 
+    Of two lines the one of fewer words shares one of its first ``n - ceil(2 * share / (1 + share) * n) + 1`` words with the other's prefix.
     With ``wanted`` only those whose later row is; with ``most``, no further ones for a later row that has so many.
     """
     found = np.zeros(len(token), np.int64)
-    alive, shift = np.arange(len(token) - 1), 1
+    early = pos <= n - -(-2 * share[0] * n // (share[0] + share[1]))
+    alive, shift = np.flatnonzero(early[:-1]), 1
     while len(alive):
         alive = alive[alive + shift < len(token)]
         other = alive + shift
@@ -245,30 +368,32 @@ def _size_places(word: np.ndarray, n: np.ndarray, share: tuple[int, int], furthe
     return (mix((word >> POS_BITS).view(np.uint64) ^ mix(size.astype(np.uint64))) >> np.uint64(20)).astype(np.int64) % FILTER_BITS
 
 
-def _open_words(classes: DataFrame, wanted: bytes, share: tuple[int, int]) -> bytes:
-    """A filter of what the ``wanted`` classes (a filter of nodes) may meet: prefix words with size classes."""
-    shared = classes.sparkSession.sparkContext.broadcast(wanted)
+def _places(nodes: DataFrame) -> DataFrame:
+    """``row`` and ``line`` of each ``node``."""
+    number = lambda at, n: F.conv(F.hex(F.substring("node", at, n)), 16, 10)
+    return nodes.select(number(5, 8).cast("long").alias("row"), number(13, 4).cast("int").alias("line"))
+
+
+def _open_words(classes: DataFrame, rest: DataFrame, share: tuple[int, int]) -> bytes:
+    """A filter of what the classes in ``rest`` (``node``) may meet: prefix words with size classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            asked = _marked(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
-            batch = batch.filter(pa.array(asked))
-            if batch.num_rows:
-                prefix = batch.column(3)
-                word, n = prefix.flatten().to_numpy(), np.repeat(batch.column(2).to_numpy(), prefix.value_lengths().to_numpy())
-                places = np.unique(np.concatenate([_size_places(word, n, share, step) for step in (-1, 0, 1)]))
-                yield pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
+            prefix = batch.column(1)
+            word, n = prefix.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), prefix.value_lengths().to_numpy())
+            places = np.unique(np.concatenate([_size_places(word, n, share, step) for step in (-1, 0, 1)]))
+            yield pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
 
-    return place_filter(classes.select("row", "line", "n", "prefix").mapInArrow(run, "place long"))
+    asked = classes.select("row", "line", "n", "prefix").join(_places(rest), ["row", "line"], "left_semi")
+    return place_filter(asked.select("n", "prefix").mapInArrow(run, "place long"))
 
 
-def _words(classes: DataFrame, wanted: bytes | None, share: tuple[int, int]) -> DataFrame:
-    """A row for each prefix word of a class; with ``wanted`` (a filter of nodes) only of those that may meet a wanted class, which are marked."""
-    if wanted is None:
-        rows = classes.select("row", "id", "line", "n", "bits", F.explode("prefix").alias("word"))
-        return rows.withColumn("wanted", F.lit(True))
-    shared = classes.sparkSession.sparkContext.broadcast((wanted, _open_words(classes, wanted, share)))
+def _words(classes: DataFrame, rest: DataFrame | None, share: tuple[int, int]) -> DataFrame:
+    """Classes with their prefix words; with ``rest`` (``node``) only those words that may meet a class in it, which is wanted."""
+    if rest is None:
+        return classes.withColumn("wanted", F.lit(True))
+    wanted = node_filter(rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    shared = classes.sparkSession.sparkContext.broadcast((wanted, _open_words(classes, rest, share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_bits, near_bits = (np.frombuffer(b, np.uint8) for b in shared.value)
@@ -278,13 +403,44 @@ def _words(classes: DataFrame, wanted: bytes | None, share: tuple[int, int]) ->
             word, n = prefix.flatten().to_numpy(), batch.column(3).to_numpy()
             near = in_filter_all(near_bits, _size_places(word, n[owner], share))
             if near.any():
-                asked = _marked(batch.column(0).to_numpy(), batch.column(2).to_numpy(), asked_bits)
-                at = pa.array(owner[near])
-                columns = [batch.column(c).take(at) for c in range(5)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(word[near]), pa.array(asked[owner[near]])], names=["row", "id", "line", "n", "bits", "word", "wanted"])
+                met, times = np.unique(owner[near], return_counts=True)
+                left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(word[near]))
+                asked = _marked(batch.column(0).to_numpy()[met], batch.column(2).to_numpy()[met], asked_bits)
+                columns = [batch.column(c).take(pa.array(met)) for c in range(5)]
+                yield pa.RecordBatch.from_arrays([*columns, left, pa.array(asked)], names=["row", "id", "line", "n", "bits", "prefix", "wanted"])
 
     rows = classes.select("row", "id", "line", "n", "bits", "prefix")
-    return rows.mapInArrow(run, "row long, id long, line int, n int, bits binary, word long, wanted boolean")
+    return rows.mapInArrow(run, "row long, id long, line int, n int, bits binary, prefix array<long>, wanted boolean")
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Prefix words of classes in the order of their hashes, as blocks of a ``bucket``: a range of hashes."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = {c: table[c].chunk(0) for c in table.column_names}
+        word = column["prefix"].flatten().to_numpy()
+        order = np.argsort(word.view(np.uint64))
+        word = word[order]
+        owner = np.repeat(np.arange(len(table)), column["prefix"].value_lengths().to_numpy())[order]
+        parity, begin, width = numbers_of(column["bits"])
+        whole = {"id": column["id"].fill_null(0), "filled": column["id"].is_valid(), "width": pa.array(width)}
+        fields = [word if f == "word" else whole.get(f, column.get(f)).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for f in WORD_FIELDS]
+        return blocks_of(word.view(np.uint64), buckets, fields, [(taken(parity, begin[owner], width[owner]), width[owner])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            size += len(batch.column(5).flatten())
+            held.append(batch)
+            if size >= PACKED_ROWS:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    columns = rows.select("row", "id", "line", "n", "bits", "prefix", "wanted")
+    return columns.mapInArrow(run, "bucket int, head binary, records binary, bits binary")
 
 
 def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> DataFrame:
@@ -293,14 +449,14 @@ def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> Da
     Where a ``b`` passes the filters with ``most`` or more in a task, there are ``more`` than the one pair given.
     """
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        word, n = rows["word"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-        token, pos = word >> POS_BITS, word & POS_MOST
+    def pairs(blocks: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+        fields, (parity,) = opened(blocks, WORD_FIELDS)
+        row, line, n = fields["row"], fields["line"], fields["n"]
+        token, pos = fields["word"] >> POS_BITS, fields["word"] & POS_MOST
         first = np.empty(len(token), np.int64)
-        first[np.lexsort((rows["line"].to_numpy(), rows["row"].to_numpy(), rows["id"].fill_null(0).to_numpy(), rows["id"].is_valid().to_numpy()))] = np.arange(len(token))
+        first[np.lexsort((line, row, fields["id"], fields["filled"]))] = np.arange(len(token))
         order = np.lexsort((first, n, token))
-        row, line = rows["row"].to_numpy(), rows["line"].to_numpy()
-        bits = Parities(rows["bits"].combine_chunks(), order)
+        bits = Parities(binary_runs(parity, fields["width"]), order)
         row, line, n = row[order], line[order], n[order]
 
         def emit(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: bool) -> pa.RecordBatch:
@@ -309,7 +465,7 @@ def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> Da
 
         found, nearest, near = np.zeros(len(token), np.int32), np.full(len(token), np.inf), np.zeros(len(token), np.int32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in _meetings(token[order], n, pos[order], bits, first[order], share, rows["wanted"].to_numpy()[order], most):
+        for a, b in _meetings(token[order], n, pos[order], bits, first[order], share, fields["wanted"][order] > 0, most):
             if most is None:
                 yield emit(a, b, np.zeros(len(a)), False)
                 continue
@@ -329,24 +485,12 @@ def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> Da
             yield emit(near[many], many, nearest[many], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= CHUNK:
-                whole = pa.concat_tables(held)
-                token = whole["word"].to_numpy() >> POS_BITS
-                cut = int(np.searchsorted(token, token[-1]))  # the last word may go on
-                if cut:
-                    yield from pairs(whole.slice(0, cut))
-                    held = [whole.slice(cut)]
-                else:
-                    held = [whole]
-        if held:
-            yield from pairs(pa.concat_tables(held))
+        for blocks in runs(batches):
+            yield from pairs(blocks)
 
-    met = rows.repartition(F.shiftright("word", POS_BITS)).sortWithinPartitions("word").mapInArrow(run, "a binary, b binary, apart double, more boolean")
+    words = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1)).first()[0] or 0
+    blocks = dealt(rows, max(64, int(words) >> BUCKET_BITS))
+    met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary, apart double, more boolean")
     met = met.where("a <> b")
     if most is None:
         return met.select("a", "b", "more").distinct()
@@ -361,12 +505,12 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """For rows (``row``, ``id``, ``text``): each line with words (``row``, ``line``) that matches no earlier one."""
     shared = df.sparkSession.sparkContext.broadcast(rarity(df, "text").tobytes())
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         codes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            values, starts, keys, counts = line_sets(batch.column(2).to_pylist())
+            values, starts, counts = line_sets(batch.column(2), codes)
             sizes = np.diff(starts)
-            owner, place, tokens, bits = prefixes(values, starts, codes, share)
+            owner, place, tokens, bits = prefixes_of_ordered(values, starts, codes, share)
             tiles = 1 + np.where(codes[_counter(tokens)] > 16, 16 * 2.0 ** ((codes[_counter(tokens)].astype(float) - 15) / 8), 0).astype(np.int64) // TILE
             if (tiles > 1).any():  # a block meets every block of the word, in a task for each two
                 own = (mix(Parities(bits, np.arange(len(sizes))).folded[owner] + np.uint64(1)) % tiles.astype(np.uint64)).astype(np.int64)
@@ -375,28 +519,71 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
                 low, high = np.minimum(own[times], with_block), np.maximum(own[times], with_block)
                 salt = np.where(tiles[times] > 1, low * tiles[times] + high, 0).astype(np.uint64)
                 owner, place, tokens = owner[times], place[times], np.where(salt > 0, mix(tokens[times] + salt), tokens[times])
-            ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
             words = (tokens.view(np.int64) & ~POS_MOST) | np.minimum(place, POS_MOST)
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words))
             text = np.repeat(np.arange(len(counts)), counts)
             line = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            filled = pa.array([k is not None for k in keys], pa.bool_())
-            columns = [
-                pa.array(keys, pa.binary()), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(line, pa.int32()),
-                pa.array(sizes, pa.int32()), bits, prefix,
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "row", "id", "line", "n", "bits", "prefix"]).filter(filled)
-
-    schema = "node binary, row long, id long, line int, n int, bits binary, prefix array<long>"
-    found = df.select("row", "id", "text").mapInArrow(lines, schema)
-    classes = found.groupBy("node").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+            filled, low, high = set_numbers(values, starts)
+            of = batch.column(1).take(pa.array(text[filled]))
+            fields = [low.view(np.int64), (high >> np.uint64(32)).view(np.int64), batch.column(0).to_numpy()[text[filled]], of.fill_null(0).to_numpy(), of.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)]
+            parity, _, width = numbers_of(bits)
+            # lines without words have parities, but no prefix words
+            times = np.bincount(owner, minlength=len(sizes))[filled]
+            ends = np.concatenate([[0], np.cumsum(width)])
+            parity = taken(parity, ends[filled], width[filled])
+            yield [*fields, line[filled], sizes[filled], width[filled], times], parity, words.view(np.uint64)
+
+    def pack(held: list) -> pa.RecordBatch:
+        fields, (parity, words) = [np.concatenate(f) for f in zip(*(h[0] for h in held), strict=True)], (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        at = first_of_each(dict(zip(LINE_FIELDS, fields, strict=True)))
+        width, times = fields[-2], fields[-1]
+        streams = [(taken(x, (np.cumsum(count) - count)[at], count[at]), count[at]) for x, count in ((parity, width), (words, times))]
+        return blocks_of(fields[0][at].view(np.uint64), buckets, [f[at] for f in fields], streams)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found in lines(batches):
+            held.append(found)
+            size += len(found[0][0]) + len(found[2])
+            if size >= PACKED_ROWS:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+
+    def first_of_each(fields: dict[str, np.ndarray]) -> np.ndarray:
+        """The first line of each set, in the order of the sets' numbers."""
+        low, high = fields["low"].view(np.uint64), fields["high"]
+        return _firsts(np.lexsort((fields["line"], fields["row"], fields["id"], fields["filled"], high, low)), low, high)
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in runs(batches):
+            fields, (parity, words) = opened(blocks, LINE_FIELDS)
+            at = first_of_each(fields)
+            begin = {c: np.cumsum(fields[c]) - fields[c] for c in ("width", "words")}
+            for k in range(0, len(at), 8192):
+                some = at[k : k + 8192]
+                f = {c: v[some] for c, v in fields.items()}
+                ends = np.concatenate([[0], np.cumsum(f["words"])])
+                columns = [
+                    pa.array(f["row"]), pa.array(f["id"], mask=f["filled"] == 0), pa.array(f["line"], pa.int32()), pa.array(f["n"], pa.int32()),
+                    binary_runs(taken(parity, begin["width"][some], f["width"]), f["width"]),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(taken(words, begin["words"][some], f["words"]).view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "line", "n", "bits", "prefix"])
+
+    buckets = max(LINE_BUCKETS, BUCKETS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.select("row", "id", "text").mapInArrow(packed, "bucket int, head binary, records binary, bits binary, words binary")
+    found = found.repartition("bucket").sortWithinPartitions("bucket")
+    classes = found.mapInArrow(first_lines, "row long, id long, line int, n int, bits binary, prefix array<long>")
     # from here on a class goes by the place of its first line
-    classes = materialize(classes.select("first.row", "first.id", "first.line", "n", "bits", "prefix"), "line-classes")
+    classes = materialize(classes, "line-classes")
 
-    wanted, links, written = None, None, [classes]
+    rest, links, written, few = None, None, [classes], False
     for most in ROUNDS:
-        rows = _words(classes, wanted, share)
-        if wanted is not None:
+        if few and most is not None:
+            continue
+        rows = _words(classes, rest, share)
+        if rest is not None:
             rows = materialize(rows, "line-near")
             written.append(rows)
             rows = _with_widest(df, rows)
@@ -412,11 +599,11 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         rest = met.where("more").select(F.col("b").alias("node"))
         rest = materialize(rest.join(matched, "node", "left_anti"), "line-open")
         written.append(rest)
-        if rest.isEmpty():
+        open_lines = rest.count()
+        if not open_lines:
             break
-        wanted = node_filter(rest.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    named = classes.select("row", "line", _node(F.col("row"), F.col("line")).alias("node"))
-    found = materialize(named.join(matched, "node", "left_anti").select("row", "line"), "line-unmatched")
+        few = open_lines <= FEW
+    found = materialize(classes.select("row", "line").join(_places(matched), ["row", "line"], "left_anti"), "line-unmatched")
     discard(*written)
     return found
 
@@ -424,14 +611,12 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 def _hashed_again(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows and numbers of the lines in a filter of nodes, and their sets, for batches of rows and texts."""
     for batch in batches:
-        split = [t.encode().split(b"\n") if t is not None else [] for t in batch.column(1).to_pylist()]
-        counts = np.array([len(lines) for lines in split], dtype=np.int64)
+        lines, counts = lines_of(batch.column(1))
         number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         rows = np.repeat(batch.column(0).to_numpy(), counts)
         asked = np.flatnonzero(_marked(rows, number, bits))
         if len(asked):
-            whole = [line for lines in split for line in lines]
-            yield rows[asked], number[asked], *distinct(*word_hashes([whole[k] for k in asked]))
+            yield rows[asked], number[asked], *distinct(*word_hashes(lines.take(pa.array(asked)).to_pylist()))
 
 
 def _sets(df: DataFrame, pairs: DataFrame) -> DataFrame:

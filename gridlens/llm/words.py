@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks for the lowest 0 to 8 bytes of a number; bytes from which on a word is hashed byte by byte.
+_LOW_BYTES, LONG = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64), 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -20,18 +20,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space), in order, and where each text's begin (one more at the end)."""
-    data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    inside = ~_SPACE[data]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    lengths = np.diff(first, append=len(at))
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), _STEP))
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    hashes = mix(np.add.reduceat(_LETTERS[data[at]] * powers[place], first) + lengths.astype(np.uint64))
-    return hashes, np.concatenate([[0], np.searchsorted(at[first], ends)])
+    return hashes_in(b" ".join([*texts, b""]), np.cumsum([len(t) + 1 for t in texts]))
+
+
+def hashes_in(whole: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for texts that end before ``ends`` in one piece that ends with white space.
+
+    Words are read by eight bytes; those of more than ``LONG`` bytes are hashed byte by byte.
+    """
+    data = np.frombuffer(b"".join([b" ", whole, b" " * 8]), dtype=np.uint8)
+    inside = (data != 0x20) & (data - np.uint8(9) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    first, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(first):
+        return np.empty(0, np.uint64), np.zeros(len(ends) + 1, np.int64)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes = mix((eight[first] & _LOW_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * _STEP)
+    at, done = np.flatnonzero(lengths > 8), 8
+    while len(at) and done < LONG:
+        part = eight[first[at] + done] & _LOW_BYTES[np.minimum(lengths[at] - done, 8)]
+        hashes[at] = mix(hashes[at] * _STEP + part)
+        done += 8
+        at = at[lengths[at] > done]
+    if len(at):
+        sizes = lengths[at]
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+        powers = np.multiply.accumulate(np.full(int(sizes.max()), _STEP))
+        letters = _LETTERS[data[np.repeat(first[at], sizes) + place]]
+        hashes[at] = mix(np.add.reduceat(letters * powers[place], begin) + sizes.astype(np.uint64))
+    return hashes, np.concatenate([[0], np.searchsorted(first - 1, ends)])
 
 
 def order_within(owner: np.ndarray, values: np.ndarray, owners: int, code: np.ndarray | None = None) -> np.ndarray:
@@ -52,14 +70,14 @@ def order_within(owner: np.ndarray, values: np.ndarray, owners: int, code: np.nd
     return order
 
 
-def distinct(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each run, and where each run then begins."""
+def distinct(values: np.ndarray, starts: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each run, and where each run then begins; with the ``codes`` of values (one byte) in the order of these first."""
     sizes = np.diff(starts)
     if not len(sizes):
         return np.empty(0, values.dtype), np.zeros(1, np.int64)
     values = values[starts[0] : starts[-1]]
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = order_within(owner, values, len(sizes))
+    order = order_within(owner, values, len(sizes), codes)
     values, owner = values[order], owner[order]
     kept = np.ones(len(values), bool)
     kept[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
@@ -87,16 +105,22 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return distinct(folded[where], np.concatenate([[0], ends]))
 
 
+def set_numbers(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of distinct values that are not empty, and two numbers that stand for each."""
+    filled = np.flatnonzero(np.diff(starts))
+    if not len(filled):
+        return filled, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    low = mix(np.add.reduceat(mix(values), starts[filled]) + np.diff(starts)[filled].astype(np.uint64))
+    return filled, low, mix(np.bitwise_xor.reduceat(mix(values ^ _STEP), starts[filled]) + low)
+
+
 def set_keys(values: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
     """16 bytes that stand for each run of distinct values; None for an empty one."""
-    filled = np.flatnonzero(np.diff(starts))
+    filled, low, high = set_numbers(values, starts)
     keys: list[bytes | None] = [None] * (len(starts) - 1)
-    if len(filled):
-        low = mix(np.add.reduceat(mix(values), starts[filled]) + np.diff(starts)[filled].astype(np.uint64))
-        high = mix(np.bitwise_xor.reduceat(mix(values ^ _STEP), starts[filled]) + low)
-        packed = np.column_stack([low, high]).astype("<u8").tobytes()
-        for n, text in enumerate(filled):
-            keys[text] = packed[16 * n : 16 * n + 16]
+    packed = np.column_stack([low, high]).astype("<u8").tobytes()
+    for n, text in enumerate(filled):
+        keys[text] = packed[16 * n : 16 * n + 16]
     return keys
 
 

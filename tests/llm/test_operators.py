@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from types import SimpleNamespace
 
@@ -171,6 +172,58 @@ def test_counters_are_added_up_in_steps(spark, monkeypatch):
     assert codes[:2] == [int(16 + 8 * np.log2(lines["common"] / 16)), 1] and lines == {"common": 120, "only7": 1}
 
 
+def test_counters_of_many_small_tasks_are_small(spark):
+    """A task's counters take a fraction of eight bytes each, so that those of 256 tasks fit in one worker."""
+    df = spark.createDataFrame([(n, f"common first{n}\nonly{n} common") for n in range(60)], "doc_id long, text string").repartition(3)
+    rows = line_dedup.counted(df, "text").collect()
+    assert len(rows) == 3 * (line_dedup.COUNTERS // line_dedup.PART) and max(len(r.counts) for r in rows) < line_dedup.PART // 100
+
+
+def test_blocks_hold_all_words_in_ranges_of_hashes(monkeypatch):
+    """Packed and opened again: negative ids, large rows, streams of several lengths; one range of hashes to a bucket."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 7)
+    draw = np.random.default_rng(3)
+    hashes = np.sort(draw.integers(0, 2**64 - 1, 500, dtype=np.uint64))
+    fields = [hashes.view(np.int64), draw.integers(-(2**62), 2**62, 500), np.full(500, 5), draw.integers(0, 300, 500)]
+    count = draw.integers(0, 4, 500)
+    numbers = draw.integers(0, 2**63, count.sum()).astype(np.uint64)
+    batch = line_dedup.blocks_of(hashes, 10, fields, [(numbers, count)])
+    assert set(batch["bucket"].to_pylist()) == set(range(10)) and batch.num_rows >= 72
+    held = list(zip(*(batch[c].to_pylist() for c in ("head", "records", "bits")), strict=True))
+    found, (stream,) = line_dedup.opened(held, ("a", "b", "c", "d"))
+    assert all((found[c] == f).all() for c, f in zip("abcd", fields, strict=True)) and (stream == numbers).all()
+    one = line_dedup.blocks_of(hashes[:1], 10, [f[:1] for f in fields], [])
+    found, _ = line_dedup.opened([(one["head"][0].as_py(), one["records"][0].as_py())], ("a", "b", "c", "d"))
+    assert [f.tolist() for f in found.values()] == [[f[0]] for f in fields]
+
+
+def test_words_are_those_between_white_space():
+    """Against a pattern, with words of 1 to 200 bytes; equal words have equal hashes, others have not."""
+    draw, known = np.random.default_rng(2), {}
+    parts = [b"a", b"b", b" ", b"\t", b"\n", b"\x0b\x0c\r", b"\x1c", b"\x00", b"\x85\xa0", b"c" * 8, b"d" * 61, b"\x0e\x08"]
+    texts = [b"".join(parts[k] for k in draw.integers(0, len(parts), draw.integers(0, 12))) for _ in range(500)] + [b"", b"e" * 64, b"e" * 65]
+    hashes, starts = line_dedup.word_hashes(texts)
+    for text, at, end in zip(texts, starts, starts[1:], strict=False):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+        assert len(words) == end - at and all(known.setdefault(w, h) == h for w, h in zip(words, hashes[at:end].tolist(), strict=True))
+    assert len(set(known.values())) == len(known) > 300
+
+
+def test_few_open_lines_are_compared_with_all_at_once(spark, monkeypatch):
+    """The same lines go, with one search less."""
+    monkeypatch.setattr(line_dedup, "ROUNDS", (1, 2, None))
+    draw, searches = np.random.default_rng(4), []
+    lines = [" ".join(f"x{draw.integers(60)}" if k in at else f"w{k}" for k in range(20)) for at in (draw.choice(20, 2, replace=False) for _ in range(120))]
+    df = materialize(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "open")
+    candidates = line_dedup._candidates
+    monkeypatch.setattr(line_dedup, "_candidates", lambda rows, share, most: searches.append(most) or candidates(rows, share, most))
+    for few in (2048, 0):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        found = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()}
+        assert [found[n] for n in range(len(lines))] == _lines_with_earlier_match(lines)
+    assert searches == [1, None, 1, 2, None]
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
