@@ -47,8 +47,8 @@ SHARE = (80, 100)
 COUNTERS, PART = 1 << 22, 1 << 16
 #: Logarithm of the tables of counters that are added up at once.
 FAN_BITS = 8
-#: Lines with a prefix word that one task compares; bytes of blocks it reads before it does so (about 400,000 words).
-TILE, CHUNK = 16_384, 12_000_000
+#: Lines with a prefix word that one task compares; bytes of blocks it reads before it does so (about 130,000 words).
+TILE, CHUNK = 16_384, 4_000_000
 _CHECKSUMS = np.array([~zlib.crc32(bytes([n]), 0xFFFFFFFF) & 0xFFFFFFFF for n in range(256)], np.uint32)
 #: Earlier lines, by round, that a line may pass the filters with in a task; of so many only the nearest is checked, and if that fails, the line is in the next round.
 ROUNDS = (8, 64, None)
@@ -169,11 +169,11 @@ def parities(values: np.ndarray, starts: np.ndarray, by_size: list[tuple[int, in
 
 
 #: Rows in a block; words and lines that a task packs at once.
-BLOCK_ROWS, PACKED_ROWS = 2048, 1 << 19
+BLOCK_ROWS, PACKED_ROWS = 2048, 1 << 17
 WORD_FIELDS = ("word", "row", "id", "filled", "line", "n", "wanted", "width")
 LINE_FIELDS = ("low", "high", "row", "id", "filled", "line", "n", "width", "words")
 #: Logarithm of the prefix words in a bucket; buckets that lines are dealt to, at least, and for each shuffle partition.
-BUCKET_BITS, LINE_BUCKETS, BUCKETS_EACH = 17, 1024, 4
+BUCKET_BITS, LINE_BUCKETS, BUCKETS_EACH = 17, 256, 4
 
 
 def numbers_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
