@@ -584,9 +584,11 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
             continue
         rows = _words(classes, rest, share)
         if rest is not None:
-            rows = materialize(rows, "line-near")
+            near = materialize(rows, "line-near")
+            # written, as it is read twice, and as a task that also packs it would hold two Python workers
+            rows = materialize(_with_widest(df, near), "line-widest")
+            discard(near)
             written.append(rows)
-            rows = _with_widest(df, rows)
         met = materialize(_candidates(rows, share, most), "line-pairs")
         sets = _sets(df, met)
         new = materialize(verified(met, sets, share), "line-links")

@@ -224,6 +224,20 @@ def test_few_open_lines_are_compared_with_all_at_once(spark, monkeypatch):
     assert searches == [1, None, 1, 2, None]
 
 
+def test_lines_compared_again_are_written_before_they_are_packed(spark, monkeypatch):
+    """What a search packs is read from a table: no task holds two Python workers, and no text is hashed twice."""
+    monkeypatch.setattr(line_dedup, "ROUNDS", (1, 2, None))
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    draw, plans = np.random.default_rng(4), []
+    lines = [" ".join(f"x{draw.integers(60)}" if k in at else f"w{k}" for k in range(20)) for at in (draw.choice(20, 2, replace=False) for _ in range(120))]
+    df = materialize(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "again")
+    candidates = line_dedup._candidates
+    monkeypatch.setattr(line_dedup, "_candidates", lambda rows, share, most: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or candidates(rows, share, most))
+    found = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()}
+    assert [found[n] for n in range(len(lines))] == _lines_with_earlier_match(lines)
+    assert len(plans) == 3 and not any("MapInArrow" in p or "Join" in p for p in plans)
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
