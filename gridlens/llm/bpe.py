@@ -2,7 +2,7 @@
 
 A rank file lists tokens as bytes; two neighbouring tokens may be merged if their concatenation is
 a token, whose rank is the merge's. Each match of the pattern is a word; words that a task has not
-met yet become rows (word, position, token). One step of the recursive query joins neighbouring
+met yet become rows (word, list of tokens). One step of the recursive query joins neighbouring
 tokens with the merge table and contracts each word's leftmost pair of least rank; words without a
 pair are done. Texts are then put together from their words' ids. Decoding joins positions with the
 vocabulary and aggregates the bytes in their order.
@@ -37,22 +37,22 @@ DECODE_IDS = 500_000
 DUCKDB_MEMORY = "256MB"
 
 CONTRACT = """
-WITH RECURSIVE step(word, pos, token, done) AS (
-    SELECT word, pos, token, false FROM letters
+WITH RECURSIVE step(word, tokens, done) AS (
+    SELECT word, list(token ORDER BY pos), false FROM letters GROUP BY word
   UNION ALL (
-    WITH pairs AS (
-      SELECT word, pos, token, lead(token) OVER w AS following, lead(pos) OVER w AS next_pos
-      FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)
+    WITH open AS (
+      SELECT word, tokens FROM step WHERE NOT done
+    ), pairs AS (
+      SELECT word, unnest(range(1, len(tokens))) AS place, unnest(tokens[:-2]) * 4294967296 + unnest(tokens[2:]) AS pair FROM open
     ), best AS (
-      SELECT word, min(merged * 4294967296 + pos) AS least, arg_min(next_pos, merged * 4294967296 + pos) AS gone
-      FROM pairs JOIN merges ON token = first AND following = second GROUP BY word
+      SELECT word, min(merged * 4294967296 + place) AS least FROM pairs JOIN merges USING (pair) GROUP BY word
     )
-    SELECT p.word, p.pos, CASE WHEN p.pos = b.least % 4294967296 THEN b.least // 4294967296 ELSE p.token END, b.word IS NULL
-    FROM pairs p LEFT JOIN best b ON p.word = b.word
-    WHERE b.gone IS NULL OR p.pos <> b.gone
+    SELECT o.word, CASE WHEN b.word IS NULL THEN o.tokens
+      ELSE o.tokens[:b.least % 4294967296 - 1] || [b.least // 4294967296] || o.tokens[b.least % 4294967296 + 2:] END, b.word IS NULL
+    FROM open o LEFT JOIN best b ON o.word = b.word
   )
 )
-SELECT word, pos, token FROM step WHERE done ORDER BY word, pos
+SELECT word, tokens FROM step WHERE done ORDER BY word
 """
 DECODE = """
 SELECT text, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocabulary USING (token) GROUP BY text
@@ -96,7 +96,7 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.db = _connect()
-        table = pa.table({"first": merges[:, 0], "second": merges[:, 1], "merged": merges[:, 2]})
+        table = pa.table({"pair": (merges[:, 0] << 32) + merges[:, 1], "merged": merges[:, 2]})
         self.db.register("rows", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM rows")
         self.db.unregister("rows")
@@ -112,10 +112,10 @@ class Encoder:
             }
         )
         self.db.register("letters", letters)
-        found = self.db.execute(CONTRACT).fetchnumpy()
+        tokens = self.db.sql(CONTRACT).to_arrow_table()["tokens"].combine_chunks()
         self.db.unregister("letters")
-        ids = found["token"].astype("<u4")
-        at = np.searchsorted(found["word"], np.arange(len(words) + 1))
+        ids = tokens.flatten().to_numpy().astype("<u4")
+        at = np.cumsum([0, *tokens.value_lengths().to_pylist()])
         return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def _long(self, word: bytes) -> bytes:
