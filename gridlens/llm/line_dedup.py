@@ -67,17 +67,22 @@ def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def line_sets(texts: pa.Array, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of every line, with ``codes`` the rarer first, where each line's begin, and the number of lines of each text."""
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of every line, where each line's begin, and the number of lines of each text."""
     whole = texts.cast(pa.binary()).to_pylist()
     counts = np.array([0 if t is None else t.count(b"\n") + 1 for t in whole], dtype=np.int64)
     joined = b"\n".join([*(t for t in whole if t is not None), b""])
-    values, starts = hashes_in(joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x0A) + 1)
-    return *distinct(values, starts, None if codes is None else codes[_counter(values)]), counts
+    return *hashes_in(joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x0A) + 1), counts
+
+
+def line_sets(texts: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``line_words``, of every line the distinct ones, the rarer first."""
+    values, starts, counts = line_words(texts)
+    return *distinct(values, starts, codes[_counter(values)]), counts
 
 
 def _counter(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(20)).astype(np.int64) % COUNTERS
+    return (values >> np.uint64(20) & np.uint64(COUNTERS - 1)).view(np.int64)
 
 
 def _firsts(order: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -108,12 +113,14 @@ def counted(df: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = np.zeros(COUNTERS, dtype=np.uint32), [np.empty(0, np.int32)]
         for batch in batches:
-            values, starts, _ = line_sets(batch.column(0))
-            filled, low, high = set_numbers(values, starts)
+            values, starts, _ = line_words(batch.column(0))
+            filled, low, high = set_numbers(values, starts)  # lines of the same words as often are one here
             new = np.sort(filled[_firsts(np.lexsort((high, low)), low, high)])
             sizes = starts[new + 1] - starts[new]
             at = np.repeat(starts[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            held.append(_counter(values[at]).astype(np.int32))
+            # a line counts once for a counter, so the counters of its words are sorted, not the words
+            counter = np.sort(np.repeat(np.arange(len(new)) * COUNTERS, sizes) + _counter(values[at]))
+            held.append((counter[np.diff(counter, prepend=-1) > 0] % COUNTERS).astype(np.int32))
             if sum(map(len, held)) >= COUNTERS // 2:
                 counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
                 held = held[:1]
@@ -160,11 +167,18 @@ def parities(values: np.ndarray, starts: np.ndarray, by_size: list[tuple[int, in
     for most, width in reversed(by_size):
         widths[sizes <= most] = width
     ends = np.concatenate([[0], np.cumsum(widths)])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
     bit = values >> np.uint64(54)
+    ones = np.uint64(1) << (bit & np.uint64(63))
     words = np.zeros(ends[-1], dtype=np.uint64)
-    at = ends[owner] + (bit >> np.uint64(6)).astype(np.int64) % widths[owner]
-    np.bitwise_xor.at(words, at, np.uint64(1) << (bit & np.uint64(63)))
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        words[ends[filled]] = np.bitwise_xor.reduceat(ones, starts[filled])
+    wide = np.repeat(widths > 1, sizes)
+    if wide.any():
+        words[ends[np.flatnonzero(widths > 1)]] = 0
+        owner = np.repeat(np.arange(len(sizes)), sizes)[wide]
+        at = ends[owner] + ((bit[wide] >> np.uint64(6)).astype(np.int64) & (widths[owner] - 1))
+        np.bitwise_xor.at(words, at, ones[wide])
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
 
 
@@ -182,6 +196,14 @@ def numbers_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(packed.buffers()[2], np.uint8)[: 8 * ends[-1]].view("<u8"), ends[:-1], np.diff(ends)
 
 
+def flat(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signed numbers of 64 bits in binary values, one after the other, and how many each value has."""
+    if not pc.sum(pc.binary_length(packed)).as_py():
+        return np.empty(0, np.int64), np.zeros(len(packed), np.int64)
+    numbers, begin, count = numbers_of(packed)
+    return numbers[begin[0] :].view(np.int64), count
+
+
 def taken(numbers: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Runs of numbers, one after the other."""
     ends = np.cumsum(count)
@@ -270,9 +292,11 @@ class Parities:
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """At most as many values as are in one of two rows only; ``a`` is not wider than ``b``."""
-        out = np.empty(len(a), np.int64)
-        for width in np.unique(self.width[a]):
-            here = np.flatnonzero(self.width[a] == width)
+        out = np.bitwise_count(self.folded[a] ^ self.folded[b]).astype(np.int64)
+        widths = self.width[a]
+        wide = np.flatnonzero(widths > 1)
+        for width in np.unique(widths[wide]) if len(wide) else ():
+            here = wide[widths[wide] == width]
             out[here] = np.bitwise_count(self._of(a[here], width) ^ self._of(b[here], width)).sum(axis=1)
         return out
 
@@ -287,50 +311,65 @@ def prefixes_of_ordered(values: np.ndarray, starts: np.ndarray, codes: np.ndarra
     """As ``prefixes``, for lines whose words have the rarer first."""
     bits = parities(values, starts)
     sizes = np.diff(starts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    code = codes[_counter(values)]
-    place = np.arange(len(values)) - np.repeat(starts[:-1], sizes)
-    length = sizes - -(-share[0] * sizes // share[1]) + 1
-    wanted = (place < length[owner]) & (code > 1)
-    return owner[wanted], place[wanted], values[wanted], bits
+    length = np.where(sizes > 0, sizes - -(-share[0] * sizes // share[1]) + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), length)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+    first = values[starts[owner] + place]
+    wanted = codes[_counter(first)] > 1
+    return owner[wanted], place[wanted], first[wanted], bits
 
 
 def _meetings(
     token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Parities, first: np.ndarray, share: tuple[int, int], wanted: np.ndarray | None = None, most: int | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (sorted by token and size) that share a token and pass all filters, the one of lower ``first`` in front.
+    """Pairs of ``_measured``."""
+    for a, b, _ in _measured(token, n, pos, bits, first, share, wanted, most):
+        yield a, b
+
+
+def _measured(
+    token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Parities, first: np.ndarray, share: tuple[int, int], wanted: np.ndarray | None = None, most: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by token and size) that share a token and pass all filters, the one of lower ``first`` in front; and how far apart parities are.
 
     Of two lines the one of fewer words shares one of its first ``n - ceil(2 * share / (1 + share) * n) + 1`` words with the other's prefix.
     With ``wanted`` only those whose later row is; with ``most``, no further ones for a later row that has so many.
     """
+    if not len(token):
+        return
     found = np.zeros(len(token), np.int64)
     early = pos <= n - -(-2 * share[0] * n // (share[0] + share[1]))
-    alive, shift = np.flatnonzero(early[:-1]), 1
+    # rows of a token are in the order of size: those that a row may meet end at the last of like size
+    runs_at = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) * (int(n.max()) + 1)
+    last = np.searchsorted(runs_at + n, runs_at + np.minimum(share[1] * n // share[0], n.max()), "right") - 1
+    alive, shift = np.flatnonzero(early), 1
+    ends = last[alive]
     while len(alive):
-        alive = alive[alive + shift < len(token)]
-        other = alive + shift
-        near = (token[alive] == token[other]) & (share[1] * n[alive] >= share[0] * n[other])
-        alive, other = alive[near], other[near]
-        later = np.where(first[alive] < first[other], other, alive)
-        asked = first[alive] != first[other]
+        near = alive + shift <= ends
+        alive, ends = alive[near], ends[near]
+        a, b = alive, alive + shift
+        later = np.where(first[a] < first[b], b, a)
+        asked = first[a] != first[b]
         if wanted is not None:
             asked &= wanted[later]
         if most is not None:
             asked &= found[later] < most
-        a, b = alive[asked], other[asked]
-        together = n[a] + n[b]
-        by_bits = (together - np.bitwise_count(bits.folded[a] ^ bits.folded[b])) // 2
-        by_place = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
-        fits = (share[0] + share[1]) * np.minimum(by_bits, by_place) >= share[0] * together
-        a, b = a[fits], b[fits]
-        together = n[a] + n[b]
-        fits = (share[0] + share[1]) * ((together - bits.apart(a, b)) // 2) >= share[0] * together
-        a, b = a[fits], b[fits]
+        a, b = a[asked], b[asked]
+        for bound in ("bits", "place", "all bits"):
+            if bound == "bits":
+                most_common = (n[a] + n[b] - np.bitwise_count(bits.folded[a] ^ bits.folded[b])) // 2
+            elif bound == "place":
+                most_common = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
+            else:
+                apart = bits.apart(a, b)
+                most_common = (n[a] + n[b] - apart) // 2
+            fits = (share[0] + share[1]) * most_common >= share[0] * (n[a] + n[b])
+            a, b = a[fits], b[fits]
         if len(a):
             ahead = first[a] < first[b]
             a, b = np.where(ahead, a, b), np.where(ahead, b, a)
             np.add.at(found, b, 1)
-            yield a, b
+            yield a, b, apart[fits]
         shift += 1
 
 
@@ -379,8 +418,8 @@ def _open_words(classes: DataFrame, rest: DataFrame, share: tuple[int, int]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = batch.column(1)
-            word, n = prefix.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), prefix.value_lengths().to_numpy())
+            word, times = flat(batch.column(1))
+            n = np.repeat(batch.column(0).to_numpy(), times)
             places = np.unique(np.concatenate([_size_places(word, n, share, step) for step in (-1, 0, 1)]))
             yield pa.RecordBatch.from_arrays([pa.array(places)], names=["place"])
 
@@ -398,19 +437,18 @@ def _words(classes: DataFrame, rest: DataFrame | None, share: tuple[int, int]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_bits, near_bits = (np.frombuffer(b, np.uint8) for b in shared.value)
         for batch in batches:
-            prefix = batch.column(5)
-            owner = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy())
-            word, n = prefix.flatten().to_numpy(), batch.column(3).to_numpy()
+            word, times = flat(batch.column(5))
+            owner, n = np.repeat(np.arange(batch.num_rows), times), batch.column(3).to_numpy()
             near = in_filter_all(near_bits, _size_places(word, n[owner], share))
             if near.any():
                 met, times = np.unique(owner[near], return_counts=True)
-                left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(word[near]))
+                left = binary_runs(word[near], times)
                 asked = _marked(batch.column(0).to_numpy()[met], batch.column(2).to_numpy()[met], asked_bits)
                 columns = [batch.column(c).take(pa.array(met)) for c in range(5)]
                 yield pa.RecordBatch.from_arrays([*columns, left, pa.array(asked)], names=["row", "id", "line", "n", "bits", "prefix", "wanted"])
 
     rows = classes.select("row", "id", "line", "n", "bits", "prefix")
-    return rows.mapInArrow(run, "row long, id long, line int, n int, bits binary, prefix array<long>, wanted boolean")
+    return rows.mapInArrow(run, "row long, id long, line int, n int, bits binary, prefix binary, wanted boolean")
 
 
 def dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -419,10 +457,10 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
     def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         column = {c: table[c].chunk(0) for c in table.column_names}
-        word = column["prefix"].flatten().to_numpy()
+        word, times = flat(column["prefix"])
         order = np.argsort(word.view(np.uint64))
         word = word[order]
-        owner = np.repeat(np.arange(len(table)), column["prefix"].value_lengths().to_numpy())[order]
+        owner = np.repeat(np.arange(len(table)), times)[order]
         parity, begin, width = numbers_of(column["bits"])
         whole = {"id": column["id"].fill_null(0), "filled": column["id"].is_valid(), "width": pa.array(width)}
         fields = [word if f == "word" else whole.get(f, column.get(f)).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for f in WORD_FIELDS]
@@ -431,7 +469,7 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            size += len(batch.column(5).flatten())
+            size += (pc.sum(pc.binary_length(batch.column(5))).as_py() or 0) // 8
             held.append(batch)
             if size >= PACKED_ROWS:
                 yield pack(held)
@@ -465,16 +503,14 @@ def _candidates(rows: DataFrame, share: tuple[int, int], most: int | None) -> Da
 
         found, nearest, near = np.zeros(len(token), np.int32), np.full(len(token), np.inf), np.zeros(len(token), np.int32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in _meetings(token[order], n, pos[order], bits, first[order], share, fields["wanted"][order] > 0, most):
+        for a, b, apart in _measured(token[order], n, pos[order], bits, first[order], share, fields["wanted"][order] > 0, most):
             if most is None:
                 yield emit(a, b, np.zeros(len(a)), False)
                 continue
-            narrow, wide = np.minimum(a, b), np.maximum(a, b)  # rows are in the order of size
-            apart = bits.apart(narrow, wide) / (n[a] + n[b])
-            at = np.lexsort((apart, b))
-            at = at[np.diff(b[at], prepend=-1) > 0]
-            at = at[apart[at] < nearest[b[at]]]
-            nearest[b[at]], near[b[at]] = apart[at], a[at]
+            apart = apart / (n[a] + n[b])
+            for at in (np.flatnonzero(a < b), np.flatnonzero(a > b)):  # in each, no row is twice the later one
+                at = at[apart[at] < nearest[b[at]]]
+                nearest[b[at]], near[b[at]] = apart[at], a[at]
             np.add.at(found, b, 1)
             held.append((a.astype(np.int32), b.astype(np.int32)))
         if held:
@@ -507,11 +543,12 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         codes = np.frombuffer(shared.value, np.uint8)
+        tiles_of = 1 + np.where(np.arange(256) > 16, 16 * 2.0 ** ((np.arange(256) - 15) / 8), 0).astype(np.int64) // TILE
         for batch in batches:
             values, starts, counts = line_sets(batch.column(2), codes)
             sizes = np.diff(starts)
             owner, place, tokens, bits = prefixes_of_ordered(values, starts, codes, share)
-            tiles = 1 + np.where(codes[_counter(tokens)] > 16, 16 * 2.0 ** ((codes[_counter(tokens)].astype(float) - 15) / 8), 0).astype(np.int64) // TILE
+            tiles = tiles_of[codes[_counter(tokens)]]
             if (tiles > 1).any():  # a block meets every block of the word, in a task for each two
                 own = (mix(Parities(bits, np.arange(len(sizes))).folded[owner] + np.uint64(1)) % tiles.astype(np.uint64)).astype(np.int64)
                 times = np.repeat(np.arange(len(tiles)), tiles)
@@ -563,18 +600,17 @@ def unmatched(df: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
             for k in range(0, len(at), 8192):
                 some = at[k : k + 8192]
                 f = {c: v[some] for c, v in fields.items()}
-                ends = np.concatenate([[0], np.cumsum(f["words"])])
                 columns = [
                     pa.array(f["row"]), pa.array(f["id"], mask=f["filled"] == 0), pa.array(f["line"], pa.int32()), pa.array(f["n"], pa.int32()),
                     binary_runs(taken(parity, begin["width"][some], f["width"]), f["width"]),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(taken(words, begin["words"][some], f["words"]).view(np.int64))),
+                    binary_runs(taken(words, begin["words"][some], f["words"]), f["words"]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "line", "n", "bits", "prefix"])
 
     buckets = max(LINE_BUCKETS, BUCKETS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = df.select("row", "id", "text").mapInArrow(packed, "bucket int, head binary, records binary, bits binary, words binary")
     found = found.repartition("bucket").sortWithinPartitions("bucket")
-    classes = found.mapInArrow(first_lines, "row long, id long, line int, n int, bits binary, prefix array<long>")
+    classes = found.mapInArrow(first_lines, "row long, id long, line int, n int, bits binary, prefix binary")
     # from here on a class goes by the place of its first line
     classes = materialize(classes, "line-classes")
 
@@ -649,28 +685,35 @@ def _with_widest(df: DataFrame, rows: DataFrame) -> DataFrame:
 REMOVED = "lines_removed"
 
 
-def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
-    """Every row of ``df`` with its text without lines that match an earlier one, and the numbers of the lines taken out in ``lines_removed``."""
+def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE, count: str | None = None) -> DataFrame:
+    """Every row of ``df`` with its text without lines that match an earlier one, and the numbers of the lines taken out in ``lines_removed``.
+
+    With ``count``, a column of this name has the number of lines that the text had.
+    """
     table = Numbered(df)
     found = unmatched(table.select(id=F.col(id).cast("long"), text=F.col(text)), share)
     kept = found.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("kept"))
     kept = materialize(kept.select(F.col("row").alias("kept_row"), "kept"), "line-kept")
     discard(found)
-    rest = df.drop(REMOVED)
+    rest = df.drop(REMOVED, *([count] if count else []))
     names = rest.columns
-    joined = table.select(own=F.struct(*names)).join(kept, F.col("row") == F.col("kept_row"), "left").select("own.*", "kept")
-    fields = rest.select("*", F.array(F.lit(0)).alias(REMOVED)).schema
+    # numbers of a row's lines are fewer than its text, so they are hashed and texts need no sort
+    joined = table.select(own=F.struct(*names)).join(kept.hint("shuffle_hash"), F.col("row") == F.col("kept_row"), "left").select("own.*", "kept")
+    added = [F.array(F.lit(0)).alias(REMOVED)] + ([F.lit(0).cast("long").alias(count)] if count else [])
+    fields = rest.select("*", *added).schema
     column = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
+            texts, removed, had = [], [], []
             for whole, stay in zip(batch.column(column).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if whole is None:
                     texts.append(None)
                     removed.append([])
+                    had.append(0)
                     continue
                 stay, lines = set(stay or ()), whole.split("\n")
+                had.append(len(lines))
                 # white space as in the words of the sets
                 gone = [n for n, line in enumerate(lines) if n not in stay and line.strip(" \t\n\v\f\r")]
                 without = set(gone)
@@ -678,6 +721,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", share: tu
                 removed.append(gone)
             columns = list(batch.columns[:-1])
             columns[column] = pa.array(texts, columns[column].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.list_(pa.int32()))], names=fields.names)
+            columns += [pa.array(removed, pa.list_(pa.int32()))] + ([pa.array(had, pa.int64())] if count else [])
+            yield pa.RecordBatch.from_arrays(columns, names=fields.names)
 
     return joined.mapInArrow(cut, fields)

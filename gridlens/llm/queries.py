@@ -50,8 +50,7 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that match an earlier one."""
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", n_lines.cast("long").alias("n_lines"), "text"))
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), count="n_lines")
     return found.select("doc_id", "n_lines", "lines_removed", "text")
 
 

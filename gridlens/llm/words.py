@@ -77,8 +77,7 @@ def distinct(values: np.ndarray, starts: np.ndarray, codes: np.ndarray | None =
         return np.empty(0, values.dtype), np.zeros(1, np.int64)
     values = values[starts[0] : starts[-1]]
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = order_within(owner, values, len(sizes), codes)
-    values, owner = values[order], owner[order]
+    values = values[order_within(owner, values, len(sizes), codes)]
     kept = np.ones(len(values), bool)
     kept[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
     return values[kept], np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(sizes)))]).astype(np.int64)

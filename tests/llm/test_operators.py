@@ -239,6 +239,33 @@ def test_lines_compared_again_are_written_before_they_are_packed(spark, monkeypa
     assert len(plans) == 3 and not any("MapInArrow" in p or "Join" in p for p in plans)
 
 
+def test_lines_are_counted_where_they_are_cut_and_texts_not_sorted(spark, tmp_path):
+    """Texts go through Python once for both, and meet the numbers of their lines without a sort; a column of the same name is replaced."""
+    rows = [(0, "a b c\nd e f\n", 7), (1, "d e f\na b c", 7), (2, "", 7), (3, None, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_lines long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_line_dedup(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "split(" not in plan
+    assert {r.doc_id: (r.n_lines, r.text) for r in found.collect()} == {0: (3, rows[0][1]), 1: (2, ""), 2: (1, ""), 3: (0, None)}
+    counted = line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"), count="n_lines")
+    assert counted.columns == ["doc_id", "text", "lines_removed", "n_lines"] and {r.doc_id: r.n_lines for r in counted.collect()} == {0: 3, 1: 2, 2: 1, 3: 0}
+
+
+def test_measured_pairs_are_as_far_apart_as_all_their_bits():
+    """Lines of all widths, with a word in common, in the order of size."""
+    draw = np.random.default_rng(12)
+    base = draw.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.concatenate([base[:n], draw.integers(0, 2**63, n // 12).astype(np.uint64)]) for n in (20, 20, 70, 74, 90, 95, 200, 210, 380, 500, 520)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    n, zeros = np.diff(starts), np.zeros(len(sets), np.int64)
+    bits = line_dedup.Parities(line_dedup.parities(np.concatenate(sets), starts), np.arange(len(sets)))
+    pairs = [(a, b, d) for found in line_dedup._measured(zeros, n, zeros, bits, np.arange(len(sets))[::-1].copy(), (80, 100)) for a, b, d in zip(*found, strict=True)]
+    assert {(b, a) for a, b, _ in pairs} >= {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))}
+    for a, b, d in pairs:
+        true = len(np.setxor1d(sets[a], sets[b]))
+        assert d <= true and (d - true) % 2 == 0 and d == bits.apart(np.array([b]), np.array([a]))[0]
+
+
 def test_line_blocks_lose_no_pair():
     """Pairs that the task finds connect exactly the lines of a group that pass the filters."""
     share = (80, 100)
