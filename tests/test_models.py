@@ -202,6 +202,46 @@ def test_boosting_sums_are_those_of_the_whole_table(spark, classes, monkeypatch)
     assert np.allclose(whole.value, parts.value, atol=1e-5) and whole.border.tolist() == parts.border.tolist()
 
 
+def test_boosting_by_label_grows_the_trees_of_passes(spark, classes, monkeypatch):
+    """A round is one pass where every worker may hold all rows; the trees are those of a pass for every level."""
+    names = ["a", "b", "c", "d"]
+    monkeypatch.setattr(boosting, "TASK_FLOOR", 500)
+
+    def fitted(rounds):
+        spark.sparkContext.setJobGroup(f"boosting-{rounds}", "")
+        found = boosting.fit_boosted(classes, names, rounds=rounds, depth=4)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{rounds}"))
+
+    (shared, jobs), (_, fewer) = fitted(6), fitted(2)
+    assert jobs - fewer == 4
+    monkeypatch.setattr(boosting, "SHARED_BYTES", 0)
+    passes = boosting.fit_boosted(classes, names, rounds=6, depth=4)
+    assert shared.roots.tolist() == passes.roots.tolist() and shared.levels == passes.levels
+    x = np.array([[a, b, 7.0, d] for a in np.linspace(-2, 2, 21) for b in np.linspace(-2, 2, 21) for d in (0.0, 1.0)])
+    assert np.allclose(shared.probabilities(x), passes.probabilities(x), atol=1e-5)
+
+
+def test_trees_without_sums_of_larger_children_are_the_same():
+    """With all nodes summed up on their own; one feature has no other to be paired with."""
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 8, (5, 4000)).astype(np.uint8)
+    p = rng.integers(1, 64, 4000) / 64
+    true = (codes[0] > 3) ^ (codes[2] > 5) ^ (rng.random(4000) < 0.1)
+    g, h, rows = true - p, p * (1 - p), np.flatnonzero(rng.random(4000) < 0.8)
+    tree = boosting.grown(boosting.paired(codes, 8), rows, g, h, 5, 8, 6, 1, 3)
+    trees, active = [boosting.Tree() for _ in range(3)], [[], [0], []]
+    for _ in range(6):
+        at = trees[1].walk(codes)[rows]
+        parts = [rows[at == node] for node in active[1]]
+        table = np.array([[[np.bincount(c[part], x[part], 8) for c in codes] for part in parts] for x in (g, h)])
+        active = boosting.extended(trees, active, [(1, *s) for s in boosting.best_splits(table)])
+    assert tree == trees[1] and len(tree.feature) > 20
+    margins = np.zeros(4000)
+    boosting.add_tree(margins, tuple(np.array(getattr(tree, c)) for c in ("feature", "bin", "below", "above", "value")), boosting.paired(codes, 8), 8)
+    assert np.array_equal(margins, np.array(tree.value)[tree.walk(codes)])
+
+
 def test_first_split_is_the_best_one():
     rng = np.random.default_rng(4)
     codes, true = rng.integers(0, 6, (3, 400)).astype(np.uint8), rng.integers(0, 2, 400)
