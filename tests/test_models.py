@@ -362,6 +362,18 @@ def repeating(spark, devices):
     return df.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000).cast("timestamp_ntz"))
 
 
+def test_large_forests_are_saved_in_parts(spark, classes, monkeypatch, tmp_path):
+    """No task is sent all nodes; they are read in parts too, in their order."""
+    model = bagging.fit_random_forest(classes, ["a", "b", "c", "d"], trees=4, depth=5)
+    monkeypatch.setattr(bagging, "NODES_AT_A_TIME", 7)
+    model.save(spark, f"{tmp_path}/f")
+    assert len(list((tmp_path / "f/nodes").glob("*.parquet"))) == -(-len(model.feature) // 7) > 3
+    again = bagging.Bagged.load(spark, f"{tmp_path}/f")
+    for column in ("names", "roots", "feature", "border", "below", "above", "gain", "shares", "levels"):
+        assert np.array_equal(getattr(model, column), getattr(again, column))
+    assert again.shares.dtype == np.float32
+
+
 def test_forecaster_learns_a_repeating_load(spark):
     settings = Settings(lookback=12, horizon=3)
     df = repeating(spark, {1: 300})
